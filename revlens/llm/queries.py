@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontaminate, line_dedup, mixing, near_dedup, quality
+from revlens.llm import decontaminate, line_dedup, mixing, near_dedup, order_minhash, quality
 from revlens.llm.common import table
 
 
@@ -35,10 +35,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op10_near_dedup": op10_near_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op9_order_minhash": op9_order_minhash,
     "op4_mixing": op4_mixing,
     "op8_line_dedup": op8_line_dedup,
 }
