@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontaminate, line_dedup, mixing, near_dedup, order_minhash, quality
+from revlens.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, order_minhash, quality
 from revlens.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "items", (F.size("items") > 0).alias("contaminated"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op10_near_dedup": op10_near_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op7_html_extract": op7_html_extract,
     "op9_order_minhash": op9_order_minhash,
     "op4_mixing": op4_mixing,
     "op8_line_dedup": op8_line_dedup,
