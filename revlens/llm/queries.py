@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, order_minhash, quality, toxicity
+from revlens.llm import decontaminate, html_extract, language, line_dedup, mixing, near_dedup, order_minhash, quality, toxicity
 from revlens.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -52,6 +56,7 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op10_near_dedup": op10_near_dedup,
     "op5_decontaminate": op5_decontaminate,
