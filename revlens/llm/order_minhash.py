@@ -41,7 +41,7 @@ def fingerprint(text: str | None, words: Words, k: int = 1, hashes: int = HASHES
     nth[order] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     h = _mixed(h + nth * _MIX[1])
     a = np.random.default_rng(23).integers(1, 1 << 63, hashes, dtype=np.uint64) | np.uint64(1)
-    out = np.full(hashes, n, np.uint64)
+    out = np.zeros(hashes, np.uint64)
     if n:
         take = min(length, n)
         for j in range(hashes):

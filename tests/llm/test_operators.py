@@ -105,3 +105,11 @@ def test_scores_of_odd_rows(spark, score):
     out = [r.score for r in score(spark.createDataFrame(ODD, DOCS), labels).collect()]
     assert len(out) == 6 and all(0 <= s <= 1 for s in out)
     assert score(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_half_edited_is_nearer_than_another_text():
+    words, rng = decontaminate.Words(), random.Random(3)
+    a, b = (" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(2))
+    half = a[: len(a) // 2] + b[: len(a) // 2]
+    f = [order_minhash.fingerprint(t, words) for t in (a, half, b)]
+    assert order_minhash.likeness(f[0], f[1]) > order_minhash.likeness(f[0], f[2])
