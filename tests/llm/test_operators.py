@@ -113,3 +113,46 @@ def test_half_edited_is_nearer_than_another_text():
     half = a[: len(a) // 2] + b[: len(a) // 2]
     f = [order_minhash.fingerprint(t, words) for t in (a, half, b)]
     assert order_minhash.likeness(f[0], f[1]) > order_minhash.likeness(f[0], f[2])
+
+
+def test_repeats_agree_with_all_windows(spark):
+    from collections import Counter
+
+    from revlens.llm import suffix_dedup
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    shared = word(260)
+    docs = [(i, word(rng.randrange(300)) + shared[rng.randrange(40) :] + word(rng.randrange(100))) for i in range(25)]
+    docs += [(30, docs[0][1]), (31, "z" * 500), (32, None), (33, ""), (33, "")]
+    raw = [(i, (t or "").encode()) for i, t in docs]
+    seen = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
+    want = []
+    for i, b in raw:
+        gone = set()
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone |= set(range(k, k + 200))
+        want.append((i, len(b), len(gone), bytes(c for k, c in enumerate(b) if k not in gone)))
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in out) == sorted(want)
+
+
+def test_shards_merge_as_one():
+    from revlens.llm.suffix_dedup import repeated_starts
+
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)]
+    one, many = (repeated_starts(texts, [1] * 12, 6, size) for size in (1 << 20, 50))
+    assert all((a == b).all() for a, b in zip(one, many, strict=True))
+
+
+def test_language_of_odd_pages(spark):
+    from revlens.llm import language
+
+    pages = [(1, "http://a.example.com/fr/1", "<html lang=fr><p>le la de"), (2, None, None), (3, "", ""), (1, "http://a.example.com/fr/1", "<html lang=fr><p>le la de")]
+    known = spark.createDataFrame([("le la de que", "fr"), ("the of and that", "en")], "text string, lang string")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = language.identify(df, known).collect()
+    assert len(out) == 4 and {r.lang for r in out if r.page_id == 1} == {"fr"}
+    assert language.identify(df, known.limit(0)).count() == 4
