@@ -1,9 +1,11 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
 Each of `hashes` permutations gives two signature values, the minimum and the maximum. Bands of `rows`
-values meet in buckets; documents of equal sets count as one there. Within a bucket, members of
-different components are compared in blocks, so no task holds a bucket and no pair of one component is
-made twice. Pairs are confirmed exactly: 100 * intersection >= percent * union.
+values meet in buckets; documents of equal sets count as one there. Within a bucket, each member meets the
+smallest id, then members that stay in different components are compared: pair by pair in small buckets,
+in large ones in blocks, whose common shingles are counted together and which return a spanning forest of
+their links. So no task holds a bucket and no more pairs than members leave a block. Links are exact:
+100 * intersection >= percent * union.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 from revlens.llm.common import SPACE_BYTES, Stored, connected, map_texts
 
 _SPLIT = bytes.maketrans(SPACE_BYTES, b" " * len(SPACE_BYTES))
+#: Buckets up to FEW members are compared pair by pair; larger ones in blocks of about so many members and bytes of sets.
+FEW, BLOCK, BLOCK_BYTES = 16, 1024, 16 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -55,6 +59,73 @@ def min_max(s: np.ndarray, hashes: int) -> np.ndarray:
     return np.concatenate([low, high])
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, exact.
+
+    Shingles of many sets are counted by a matrix product, the rest by walking along equal shingles, so
+    the work follows what the sets share.
+    """
+    n = len(sets)
+    who = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    of = np.diff(np.append(first, len(flat)))
+    out = np.zeros((n, n), np.float32)
+    often = of > max(8, n // 16)
+    rows, cols = who[np.repeat(often, of)], np.repeat(np.arange(int(often.sum())), of[often])
+    step = max(1, (1 << 22) // n)
+    for lo in range(0, int(often.sum()), step):
+        a, b = np.searchsorted(cols, (lo, lo + step))
+        m = np.zeros((n, step), np.float32)
+        m[rows[a:b], cols[a:b] - lo] = 1
+        out += m @ m.T
+    rare = np.repeat(~often & (of > 1), of)
+    v, w = flat[rare], who[rare]
+    at = np.arange(len(v))
+    for t in range(1, max(8, n // 16) + 1):
+        at = at[at + t < len(v)]
+        at = at[v[at] == v[at + t]]
+        if not len(at):
+            break
+        np.add.at(out, (w[at], w[at + t]), 1)
+        np.add.at(out, (w[at + t], w[at]), 1)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def _block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links that join the components of one group, a spanning forest of all its links."""
+    ids, c = t.column("id").to_numpy(), t.column("c").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("s")]
+    common = common_counts(sets).astype(np.int64)
+    size = np.diag(common)
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    label = np.unique(c, return_inverse=True)[1]
+    found = []
+    while True:
+        best = np.where(linked, label[None, :], len(ids)).argmin(1)
+        moved = np.flatnonzero(label[best] < label)
+        if not len(moved):
+            break
+        up = np.arange(label.max() + 1)
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i in moved:
+            x, y = top(label[i]), top(label[best[i]])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                found.append((int(ids[i]), int(ids[best[i]])))
+        label = np.array([top(x) for x in range(len(up))])[label]
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array([min(x) for x in zip(a, b, strict=True)], pa.int64()), "b": pa.array([max(x) for x in zip(a, b, strict=True)], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 64, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
 
@@ -122,16 +193,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes:
     # First each member against its bucket's smallest id: one pair a row.
     links = store.put(confirm(bands2.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
     labels = connected(store, links)
-    # Then what these links leave apart: members of one bucket in different components, in blocks of 256.
-    held = bands2.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).select("band", "n", "id", "c")
-    split = held.groupBy("band").agg((F.min("c") != F.max("c")).alias("split")).where("split").select("band")
+    # Then what these links leave apart: members of one bucket in different components.
+    sizes = full.select("id", F.octet_length("s").alias("bytes"))
+    held = bands2.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).join(sizes, "id").select("band", "n", "id", "c", "bytes")
+    split = held.groupBy("band").agg((F.min("c") != F.max("c")).alias("split"), F.sum("bytes").alias("all")).where("split").select("band", "all")
     open_ = store.put(held.join(split, "band"))
-    k = F.ceil(F.col("n") / 256).cast("int")
+    # Small buckets give at most FEW - 1 pairs a row.
+    few = open_.where(F.col("n") <= FEW)
+    other = few.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
+    pairs = few.select("band", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "band").where("a < b AND ca <> cb").select("a", "b")
+    # Larger ones go through counts of common shingles, in groups of two blocks; every two blocks meet.
+    k = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_BYTES), F.lit(2)).cast("int")
     mine = F.pmod(F.xxhash64("id"), k).cast("int")
-    left = open_.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), mine.alias("i"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j")).where("i <= j")
-    right = open_.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), mine.alias("j"), F.explode(F.sequence(F.lit(0), k - 1)).alias("i")).where("i <= j")
-    cross = left.join(right, ["band", "i", "j"]).where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = store.put(confirm(cross))
+    dealt = open_.where(F.col("n") > FEW).select("band", "id", "c", mine.alias("i"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j")).where("i <> j")
+    groups = dealt.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "c").join(full, "id")
+    dense = groups.groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
+    more = store.put(confirm(pairs).unionByName(dense))
     store.drop(open_, bands2)
     found = connected(store, links.unionByName(more))
     member = classes.join(found, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))

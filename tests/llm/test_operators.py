@@ -53,6 +53,29 @@ def test_near_duplicates_agree_with_all_pairs(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame(ODD, DOCS)).count() == 6
 
 
+def test_crowded_buckets_keep_every_link(spark, monkeypatch):
+    """One bucket of texts that mostly stay under the threshold, over several blocks, against all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for i in range(200):
+        w = list(base)
+        for p in rng.sample(range(100), rng.choice((2, 3, 4, 5, 6))):
+            w[p] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(97)} for _, t in docs]
+    root = list(range(200))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(200):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    out = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), width=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: find(i) for i in range(200)}
+
+
 def test_leaks_with_a_substitution(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
     docs = [(1, f"before {item} after"), (2, "before " + item.replace("theta", "other")), (3, "nothing here"), (4, None)]
