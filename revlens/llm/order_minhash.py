@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm.decontaminate import Words
 
-HASHES, LENGTH = 64, 2
+HASHES, LENGTH, CHUNK = 64, 2, 512
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -42,14 +42,22 @@ def fingerprint(text: str | None, words: Words, k: int = 1, hashes: int = HASHES
     h = _mixed(h + nth * _MIX[1])
     a = np.random.default_rng(23).integers(1, 1 << 63, hashes, dtype=np.uint64) | np.uint64(1)
     out = np.zeros(hashes, np.uint64)
-    if n:
-        take = min(length, n)
-        for j in range(hashes):
-            v = h * a[j]
-            v ^= v >> np.uint64(32)
-            at = np.sort(np.argpartition(v, take - 1)[:take])
-            for p in at:
-                out[j : j + 1] = _mixed(out[j : j + 1] ^ v[p])
+    # The smallest values of every function and their places, CHUNK k-mers at a time.
+    low, where = np.empty((hashes, 0), np.uint64), np.empty((hashes, 0), np.int64)
+    for i in range(0, n, CHUNK):
+        v = h[None, i : i + CHUNK] * a[:, None]
+        v ^= v >> np.uint64(32)
+        for _ in range(min(length, v.shape[1])):
+            at = v.argmin(1)[:, None]
+            low = np.concatenate([low, np.take_along_axis(v, at, 1)], axis=1)
+            where = np.concatenate([where, at + i], axis=1)
+            np.put_along_axis(v, at, ~np.uint64(0), 1)
+        if low.shape[1] > length:
+            at = np.argpartition(low, length - 1, axis=1)[:, :length]
+            low, where = np.take_along_axis(low, at, 1), np.take_along_axis(where, at, 1)
+    in_order = np.take_along_axis(low, np.argsort(where, axis=1), 1)
+    for j in range(in_order.shape[1]):
+        out = _mixed(out ^ in_order[:, j])
     return "".join(f"{int(v) >> 48:04x}" for v in out)
 
 
