@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, k: int = 1, hashes: int = HASHES, length: int
     target = F.create_map(*[F.lit(x) for p in used for x in (p, to[p])])[F.col("part")]
     top = F.create_map(*[F.lit(x).cast("long" if j else "int") for p in used for j, x in enumerate((p, heads[p]))])[F.col("part")]
     halo = dealt.where(F.col("doc_id").eqNullSafe(top)).select("doc_id", "text", target.cast("int").alias("part"), F.lit(1).alias("halo"))
-    ready = dealt.withColumn("halo", F.lit(0)).unionByName(halo).repartition(n, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    ready = dealt.withColumn("halo", F.lit(0)).unionByName(halo).repartitionById(n, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before, out = Words(), None, []
