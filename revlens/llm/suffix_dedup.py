@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import Stored, map_texts
 
-GRAM, SHARD_BYTES = 64, 1 << 20
+#: A shard's bytes; a task merges shards of about MERGE_BYTES at once, which stay in the processor's cache.
+GRAM, SHARD_BYTES, MERGE_BYTES = 64, 1 << 15, 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -51,69 +52,97 @@ def pieces(x: np.ndarray, width: int) -> list[tuple[int, int, int]]:
 
 
 def shard_order(s: np.ndarray) -> np.ndarray:
-    """Suffix array of one shard by prefix doubling; symbols are its pieces' bytes, with distinct ends."""
-    rank, k = np.unique(s, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        nxt = np.zeros(len(s), np.int64)
-        nxt[:-k] = rank[k:] + 1
-        key = rank * (len(s) + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(s), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) > 0)])
-        if rank.max() == len(s) - 1 or k >= len(s):
-            return order
+    """Suffix array of one shard: ranks of seven symbols at once, then prefix doubling of the rows still tied."""
+    n = len(s)
+    padded = np.concatenate([s.astype(np.int64) + 1, np.zeros(7, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(7):
+        key = key << 9 | padded[i : n + i]
+    order, k = np.argsort(key), 7
+    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    at = np.flatnonzero(new)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(at, np.diff(np.append(at, n)))
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # rows, in order, whose rank isn't theirs alone
+    while len(tied):
+        pos = order[tied]
+        nxt = np.where(pos + k < n, rank[np.minimum(pos + k, n - 1)] + 1, 0)
+        key = rank[pos] * (n + 1) + nxt
+        by = np.argsort(key)
+        pos, key = pos[by], key[by]
+        order[tied] = pos
+        new = np.concatenate([[True], np.diff(key) != 0])
+        at = np.flatnonzero(new)
+        rank[pos] = np.repeat(tied[at], np.diff(np.append(at, len(tied))))
+        tied = tied[~(new & np.append(new[1:], True))]
         k *= 2
+    return order
 
 
-def merge(shards: list[np.ndarray], orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, class): which shard each merged row is of, and a number for equal first `depth` symbols.
+def merge(bwt: np.ndarray, last_first: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
+    """Rows whose first `depth` symbols also begin another row, from the rows that stand `depth` symbols after them.
 
-    Round h turns the interleave by h - 1 symbols into that by h: rows are taken in order, their BWT
-    symbols dealt stably. Classes follow the same way, so shared prefixes need no comparison of suffixes.
+    `bwt` and `last_first` hold the shards one after the other; `rows` interleaves them by no symbol yet.
+    A round takes the rows in order, deals them stably by their BWT symbol and moves each to the row that
+    this symbol begins: the interleave by one symbol more. Neighbours of equal symbol and equal class share
+    their prefix, so no suffixes are compared. A row alone in its class can't come to share one: it is left out.
     """
-    bwts = [s[o - 1] for s, o in zip(shards, orders, strict=True)]
-    z = np.concatenate([np.full(len(s), i, np.int32) for i, s in enumerate(shards)])
-    group = np.zeros(len(z), np.int64)
-    for _ in range(depth):
-        symbol = np.empty(len(z), bwts[0].dtype)
-        for i, b in enumerate(bwts):
-            symbol[z == i] = b
+    group = np.zeros(len(rows), np.int32)
+    for h in range(1, depth + 1):
+        symbol = bwt[rows]
         order = np.argsort(symbol, kind="stable")
-        z, sym, grp = z[order], symbol[order], group[order]
-        new = np.concatenate([[0], np.cumsum((sym[1:] != sym[:-1]) | (grp[1:] != grp[:-1]))])
-        group = new
-    return z, group
+        symbol, group, rows = symbol[order], group[order], last_first[rows[order]]
+        new = np.empty(len(rows) + 1, bool)
+        new[:1] = new[-1:] = True
+        np.logical_or(symbol[1:] != symbol[:-1], group[1:] != group[:-1], out=new[1:-1])
+        group = np.cumsum(new[:-1], dtype=np.int32)
+        if h % 4 == 0 or h == depth:
+            keep = ~(new[:-1] & new[1:])
+            rows, group = rows[keep], group[keep]
+            if not len(rows):
+                break
+    return rows
 
 
 def repeated_starts(texts: list[bytes], counts: list[int], width: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each distinct piece, which of its windows also start elsewhere (a piece that stands twice: all)."""
-    shards, members, size = [], [[]], 0
+    """For each distinct piece, which of its windows also start elsewhere (a piece that stands twice: all).
+
+    Pieces end in a symbol below all bytes. Only the rows of whole windows are merged, and those never reach an end.
+    """
+    members, size = [[]], 0
     for k, t in enumerate(texts):
         if size > shard_bytes:
             members.append([])
             size = 0
         members[-1].append(k)
         size += len(t) + 1
-    ends = 256
-    where = []
+    bwts, lasts, orders, starts, base = [], [], [], [], 0
     for mem in members:
-        parts, of, off = [], [], []
-        for k in mem:
-            parts += [np.frombuffer(texts[k], np.uint8).astype(np.int32), np.array([ends], np.int32)]
-            ends += 1  # every piece ends in a symbol of its own, so matches never cross pieces
-            of.append(np.full(len(texts[k]) + 1, k))
-            off.append(np.arange(len(texts[k]) + 1))
-        shards.append(np.concatenate(parts))
-        where.append((np.concatenate(of), np.concatenate(off)))
-    orders = [shard_order(s) for s in shards]
-    z, group = merge(shards, orders, width)
-    n = np.bincount(group)
-    out = [np.full(max(len(t) - width + 1, 0), c > 1) for t, c in zip(texts, counts, strict=True)]
-    for i, (of, off) in enumerate(where):
-        mine = n[group[z == i]] > 1
-        for p in orders[i][mine]:
-            if off[p] < len(out[of[p]]):
-                out[of[p]][off[p]] = True
+        lens = np.array([len(texts[k]) + 1 for k in mem])
+        s = np.frombuffer(b"\0".join(texts[k] for k in mem) + b"\0", np.uint8).astype(np.int16) + 1
+        s[np.cumsum(lens) - 1] = 0
+        order = shard_order(s)
+        rank = np.empty(len(s), np.int32)
+        rank[order] = np.arange(len(s), dtype=np.int32)
+        bwts.append((s[order - 1] - 1).astype(np.uint8))
+        lasts.append(rank[order - 1] + np.int32(base))
+        orders.append(order + base)
+        first = np.cumsum(lens) - lens + base
+        starts += list(zip(mem, first.tolist(), strict=True))
+        # The row `width` symbols after each window's start.
+        ends = np.zeros(len(s), bool)
+        for f, n in zip((first - base).tolist(), lens.tolist(), strict=True):
+            ends[f + width : f + n] = True
+        base += len(s)
+        orders[-1] = (orders[-1], ends[order])
+    sa = np.concatenate([o for o, _ in orders])
+    found = merge(np.concatenate(bwts), np.concatenate(lasts), np.flatnonzero(np.concatenate([e for _, e in orders])).astype(np.int32), width)
+    hit = np.zeros(base, bool)
+    hit[sa[found]] = True
+    out: list[np.ndarray] = [np.zeros(0, bool)] * len(texts)
+    for k, f in starts:
+        w = max(len(texts[k]) - width + 1, 0)
+        out[k] = np.full(w, True) if counts[k] > 1 else hit[f : f + w].copy()
     return out
 
 
@@ -163,7 +192,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
         last = None
         for part in parts:
             for g, ph, n, p in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
-                if g != last and size > 2 * SHARD_BYTES:  # groups are never cut
+                if g != last and size > MERGE_BYTES:  # groups are never cut
                     yield done()
                     todo, size = [], 0
                 last = g
