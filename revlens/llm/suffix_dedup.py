@@ -3,12 +3,14 @@
 Every document splits into pieces by the smallest 64-byte gram of each window (winnowing), so equal windows
 meet in one gram's group. A piece that stands twice is repeated whole. Distinct pieces of one group go to
 a bucket: each shard of a bucket has its own suffix order and BWT, and shards are merged by refining their
-interleave one symbol a round, which also yields the intervals that share `width` symbols.
+interleave one symbol a round, which also yields the intervals that share `width` symbols. A gram that stands
+in very many contexts has its pieces split by context first, so no task's work follows a group's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import Stored, map_texts
 
+#: Gram groups of over CROWD distinct pieces split by context, in blocks of BLOCKS windows in turn; in blocks of one, equal pieces are equal windows.
+CROWD, BLOCKS = 512, (36, 12, 4, 1)
 #: A shard's bytes; a task merges shards of about MERGE_BYTES at once, which stay in the processor's cache.
 GRAM, SHARD_BYTES, MERGE_BYTES = 64, 1 << 15, 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -31,8 +35,8 @@ def _powers(b: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def pieces(x: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(gram hash, first start, last start) of the runs of windows that share their smallest gram."""
+def pieces(x: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
+    """(gram hash, first start, last start, gram's start) of the runs of windows that share their smallest gram."""
     if len(x) < width:
         return []
     c = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _powers(_B, len(x)), dtype=np.uint64)])
@@ -48,7 +52,20 @@ def pieces(x: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     at = (m & np.uint64((1 << 28) - 1)).astype(np.int64)
     cut = np.flatnonzero(np.diff(at)) + 1
     a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-    return list(zip(h[at[a]].view(np.int64).tolist(), a.tolist(), b.tolist(), strict=True))
+    return list(zip(h[at[a]].view(np.int64).tolist(), a.tolist(), b.tolist(), at[a].tolist(), strict=True))
+
+
+def split(raw: bytes, a: int, b: int, at: int, block: int, width: int) -> list[tuple[int, int, int, int]]:
+    """A piece's windows in blocks of how far the gram at `at` stands from their start: (key, first, last, at).
+
+    Windows of one block share all but `block - 1` of their bytes; the key is of those, so equal windows keep meeting.
+    """
+    out = []
+    for low in range((at - b) // block * block, at - a + 1, block):
+        high = min(low + block - 1, width - GRAM)
+        key = xxhash.xxh3_64_intdigest(raw[at - low : at - high + width], seed=block * 1000 + low)
+        out.append((key - (1 << 63), max(a, at - high), min(b, at - low), at))
+    return out
 
 
 def shard_order(s: np.ndarray) -> np.ndarray:
@@ -150,35 +167,44 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row of `docs` (doc_id, text).
 
     Bytes covered by a `width`-byte string that also starts anywhere else go. Null texts count as empty;
-    repeated rows are documents of their own. Equal texts lose equal bytes, so texts are worked once.
+    repeated rows are documents of their own.
     """
     store = Stored(docs.sparkSession)
-    digest = lambda t: xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"))
-    keyed = map_texts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), lambda: lambda ts, _: {"uid": pa.array([digest(t) for t in ts], pa.binary())}, [("uid", T.BinaryType())])
-    copies = store.put(keyed.groupBy("uid").agg(F.count("*").alias("n")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.unhex(F.md5("text")))
 
-    def cut(parts: Iterator[pa.RecordBatch], bytes_too: bool):
+    def cut(parts: Iterator[pa.RecordBatch], block: int = 0):
         for part in parts:
             for i in range(0, part.num_rows, 64):
-                rows = []
-                for uid, text in zip(part.column("uid")[i : i + 64].to_pylist(), part.column("text")[i : i + 64].to_pylist(), strict=True):
+                some, rows = part.slice(i, 64), []
+                uids, texts = some.column("uid").to_pylist(), some.column("text").to_pylist()
+                olds = some.column("old").to_pylist() if block else [None] * len(uids)
+                for uid, text, old in zip(uids, texts, olds, strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
-                    for g, a, b in pieces(np.frombuffer(raw, np.uint8), width):
-                        p = raw[a : b + width]
-                        rows.append((uid, g, xxhash.xxh3_128_digest(p), a, b, p if bytes_too else None))
+                    found = [x for o in old for x in split(raw, o["a"], o["b"], o["at"], block, width)] if block else pieces(np.frombuffer(raw, np.uint8), width)
+                    rows += [(uid, g, xxhash.xxh3_128_digest(raw[a : b + width]), a, b, at) for g, a, b, at in found]
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["uid", "g", "ph", "a", "b", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["uid", "g", "ph", "a", "b", "at"])
 
-    schema = "uid binary, g long, ph binary, a int, b int, p binary"
-    spots = store.put(keyed.mapInArrow(lambda it: cut(it, False), schema).drop("p"))
-    kinds = store.put(spots.groupBy("g", "ph").agg(F.count("*").alias("n")))
-    groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
-    live = store.put(groups.where("all > 1").select("g", "kinds"))
+    schema = "uid binary, g long, ph binary, a int, b int, at int"
+    spots = store.put(keyed.mapInArrow(cut, schema))
+    settled = []
+    for block in (*BLOCKS, 0):
+        kinds = store.put(spots.groupBy("g", "ph").agg(F.count("*").alias("n")))
+        live = store.put(kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").select("g", "kinds"))
+        crowded = live.where(F.col("kinds") > CROWD).select("g")
+        if not block or crowded.isEmpty():
+            settled.append((spots, kinds, live))
+            break
+        settled.append((spots.join(crowded, "g", "left_anti"), kinds.join(crowded, "g", "left_anti"), live.where(F.col("kinds") <= CROWD)))
+        old = spots.join(crowded, "g", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("a", "b", "at")).alias("old"))
+        spots = store.put(keyed.select("uid", "text").join(old, "uid").mapInArrow(lambda it, block=block: cut(it, block), schema))
+    spots, kinds, live = (reduce(DataFrame.unionByName, x) for x in zip(*settled, strict=True))
     mixed = kinds.join(live.where("kinds > 1").select("g"), "g")
-    # One holder of each distinct piece of a mixed group brings its bytes.
-    need = store.put(spots.join(mixed.select("g", "ph", "n"), ["g", "ph"]).groupBy("g", "ph").agg(F.min(F.struct("uid", "a", "b")).alias("at"), F.max("n").alias("n")).select("g", "ph", "n", "at.*"))
-    held = keyed.join(need.select("uid").distinct(), "uid", "left_semi").dropDuplicates(["uid"]).select("uid", F.encode("text", "UTF-8").alias("raw"))
+    # One holder of each distinct piece of a mixed group brings its bytes. The join is written before it is grouped, so that a piece of very many holders can be split.
+    holders = store.put(spots.join(mixed.select("g", "ph", "n"), ["g", "ph"]).select("g", "ph", "n", "uid", "a", "b"))
+    need = store.put(holders.groupBy("g", "ph").agg(F.min(F.struct("uid", "a", "b")).alias("from"), F.max("n").alias("n")).select("g", "ph", "n", "from.*"))
+    held = keyed.groupBy("uid").agg(F.first("text").alias("text")).join(need.select("uid").distinct(), "uid", "left_semi").select("uid", F.encode("text", "UTF-8").alias("raw"))
     body = need.join(held, "uid").select("g", "ph", "n", F.expr("substring(raw, a + 1, b - a + %d)" % width).alias("p"))
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +218,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
         last = None
         for part in parts:
             for g, ph, n, p in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
-                if g != last and size > MERGE_BYTES:  # groups are never cut
+                if g != last and size > MERGE_BYTES:  # groups, of CROWD pieces at most, are never cut
                     yield done()
                     todo, size = [], 0
                 last = g
@@ -206,7 +232,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     whole = kinds.where("n > 1").select("ph", F.lit(None).cast("binary").alias("bits"))
     marks = store.put(whole.unionByName(bits.join(whole.select("ph"), "ph", "left_anti")))
     spans = spots.join(marks, "ph").groupBy("uid").agg(F.collect_set(F.struct("a", "b", "bits")).alias("marks"))
-    full = keyed.join(copies, "uid").join(spans, "uid", "left")
+    full = keyed.join(spans, "uid", "left")
 
     def finish():
         def f(texts, part):

@@ -161,6 +161,31 @@ def test_repeats_agree_with_all_windows(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in out) == sorted(want)
 
 
+def test_crowded_groups_split_by_context(spark, monkeypatch):
+    """One passage in many contexts, its ends cut at many places, copies among them: bytes removed as by counting all windows."""
+    import hashlib
+    from collections import Counter
+
+    from revlens.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(700)
+    docs = [(i, word(rng.randrange(400)) + passage[rng.randrange(9) : 690 + rng.randrange(10)] + word(rng.randrange(400))) for i in range(40)]
+    docs += [(100 + i, t) for i, t in docs[:8]] + [(200, None), (201, "é" * 300), (202, "aab" * 200), (203, passage[:205] + "!" + passage[205:])]
+    count = Counter(raw[i : i + 200] for _, t in docs for raw in [(t or "").encode()] for i in range(len(raw) - 199))
+    want = {}
+    for d, t in docs:
+        raw, gone = (t or "").encode(), set()
+        for i in range(len(raw) - 199):
+            if count[raw[i : i + 200]] > 1:
+                gone.update(range(i, i + 200))
+        want[d] = (len(gone), hashlib.sha256(bytes(c for i, c in enumerate(raw) if i not in gone)).hexdigest())
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in out} == want
+
+
 def test_shards_merge_as_one():
     from revlens.llm.suffix_dedup import repeated_starts
 
