@@ -75,3 +75,86 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def merged(done: DataFrame, fresh: DataFrame, key: str, value: str) -> DataFrame:
     """State after a resumed run: fresh values win, older ones stay."""
     return done.select(key, F.col(value).alias("_d")).join(fresh.select(key, F.col(value).alias("_f")), key, "full").select(key, F.coalesce("_f", "_d").alias(value), F.col("_f").isNotNull().alias("is_fresh"))
+
+
+def nearest_within(df: DataFrame, key: str, order: str, is_target: Column, tolerance: int) -> DataFrame:
+    """For each row, the `order` of the nearest target of its key, before or after, itself included, within the tolerance; of two as near, the earlier."""
+    w = Window.partitionBy(key).orderBy(order)
+    mark = F.when(is_target, F.col(order))
+    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = df.withColumn("_b", before).withColumn("_a", after)
+    pick = F.when(F.col("_a").isNull() | (F.col(order) - F.col("_b") <= F.col("_a") - F.col(order)), F.col("_b")).otherwise(F.col("_a"))
+    return near.withColumn("anchor", pick).withColumn("anchor", F.when(F.abs(F.col("anchor") - F.col(order)) <= tolerance, F.col("anchor"))).drop("_a", "_b")
+
+
+def smallest_containing(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, longest: int) -> DataFrame:
+    """For each point, the shortest span of at most `longest` that holds it, then the first to start; NULL where none does.
+
+    Spans are dealt to bins of half the greatest length, three at most each, so the join is by equal bins. Rows of
+    one point are equal here: points are taken once each.
+    """
+    width = max(longest // 2, 1)
+    bins = spans.where((F.col(end) >= F.col(start)) & (F.col(end) - F.col(start) <= longest)).select(F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
+    bins = bins.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
+    at = points.select(point).distinct().withColumn("_bin", F.floor(F.col(point) / width))
+    best = F.min(F.when(F.col("_s").isNotNull(), F.struct((F.col("_e") - F.col("_s")).alias("length"), F.col("_s").alias("start"))))
+    held = at.join(bins, (at["_bin"] == bins["_bin"]) & (F.col("_s") <= F.col(point)) & (F.col(point) <= F.col("_e")), "left")
+    return held.groupBy(point).agg(best.alias("_x")).select(point, F.col("_x.start").alias("span_start"), F.col("_x.length").alias("span_length"))
+
+
+def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """Mean, minimum and maximum of each metric over the rows; NULLs are skipped, a metric without values is absent."""
+    long = df.select([F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
+    return long.where("value IS NOT NULL").groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def drift(declared: DataFrame, locked: DataFrame, key: str, satisfied: Column) -> DataFrame:
+    """missing (declared, not locked), undeclared (locked directly, not declared), unsatisfied (the constraint is false; NULL is unknown)."""
+    missing = declared.join(locked, key, "left_anti").select(key, F.lit("missing").alias("kind"))
+    extra = locked.where("direct").join(declared, key, "left_anti").select(key, F.lit("undeclared").alias("kind"))
+    wrong = declared.join(locked, key).where(~satisfied).select(key, F.lit("unsatisfied").alias("kind"))
+    return missing.unionByName(extra).unionByName(wrong)
+
+
+def unseen_by_either(df: DataFrame, seen: DataFrame, keys: list[str], seen_key: str) -> DataFrame:
+    """Rows none of whose `keys` is in `seen`: one equal-key anti-join for each key, in place of an OR."""
+    known = seen.select(F.col(seen_key).alias("_k")).distinct()
+    for k in keys:
+        df = df.join(known, df[k] == known["_k"], "left_anti")
+    return df
+
+
+def unique_prefix(short: DataFrame, full: DataFrame, prefix: str, name: str, length: int) -> DataFrame:
+    """Prefixes of `length` that begin exactly one of the distinct names, with that name."""
+    only = full.select(name).distinct().groupBy(F.substring(name, 1, length).alias(prefix)).agg(F.count("*").alias("_n"), F.min(name).alias(name)).where("_n = 1")
+    return short.select(prefix).distinct().join(only.select(prefix, name), prefix)
+
+
+def running_numbers(df: DataFrame, key: str, order: str, removed: Column) -> DataFrame:
+    """Line numbers on the new side: a removed line doesn't advance them and has none."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("new_line", F.when(~removed, F.sum(F.when(removed, 0).otherwise(1)).over(w)).cast("long"))
+
+
+def around_changes(df: DataFrame, key: str, order: str, changed: Column, reach: int) -> DataFrame:
+    """Rows at most `reach` rows from a changed row of their key."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-reach, reach)
+    return df.withColumn("_near", F.max(F.when(changed, 1).otherwise(0)).over(w)).where("_near = 1").drop("_near")
+
+
+def ordered_digest(df: DataFrame, key: str, order: str, line: str, length: int = 16) -> DataFrame:
+    """SHA-256 of each key's lines in order, joined by newlines, its first `length` hex digits. Memory follows one key's lines."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))), lambda x: x["t"])
+    return df.groupBy(key).agg(F.substring(F.sha2(F.concat_ws("\n", lines), 256), 1, length).alias("digest"))
+
+
+def listed(df: DataFrame, key: str, column: str, most: int = 5) -> DataFrame:
+    """A count, and the first `most` distinct values joined by commas with 'and n more' for the rest."""
+    n = df.groupBy(key).agg(F.count("*").alias("n"))
+    each = df.select(key, column).distinct()
+    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(column)))
+    names = F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.struct("_r", F.col(column).alias("v"))))), lambda x: x["v"].cast("string")))
+    total = F.count(column)
+    text = ranked.groupBy(key).agg(F.concat(names, F.when(total > most, F.concat(F.lit(" and "), total - most, F.lit(" more"))).otherwise("")).alias("names"))
+    return n.join(text, key)

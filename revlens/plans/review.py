@@ -44,6 +44,24 @@ QUERIES = {
     "division": lambda s, d: _t(s, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")).alias("ok")).where("ok").select("l_orderkey"),
     "first_reason_counts": lambda s, d: _t(s, d, "documents").select(F.when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 5000, "long").when(F.col("lang") != "en", "language").otherwise("none").alias("reason"), "text").groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts")),
 }
+
+
+def _hashes(s, d):
+    return _t(s, d, "benchmark").select(F.sha2("text", 256).alias("name"))
+
+
+QUERIES |= {
+    "nearest_within": lambda s, d: op.nearest_within(_t(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error", 300).select("event_id", "anchor"),
+    "enclosing_span": lambda s, d: op.smallest_containing(_t(s, d, "supplier"), _t(s, d, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + F.col("p_size")).alias("b")), "s_suppkey", "a", "b", 40),
+    "metric_summary": lambda s, d: op.metric_summary(_t(s, d, "labels").select("quality", "toxic", F.lit(None).cast("double").alias("never")), ["quality", "toxic", "never"]),
+    "drift": lambda s, d: op.drift(_t(s, d, "documents").where("doc_id % 3 <> 0").select("doc_id", "n_chars"), _t(s, d, "labels").select("doc_id", (F.col("doc_id") % 2 == 0).alias("direct"), "quality"), "doc_id", (F.col("n_chars") > 500) | (F.col("quality") == 1)),
+    "unseen_by_either": lambda s, d: op.unseen_by_either(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), _t(s, d, "nation"), ["l_partkey", "l_suppkey"], "n_nationkey").select("l_orderkey", "l_linenumber"),
+    "unique_prefix": lambda s, d: op.unique_prefix(_hashes(s, d).select(F.substring("name", 1, 2).alias("prefix")), _hashes(s, d), "prefix", "name", 2),
+    "running_numbers": lambda s, d: op.running_numbers(_t(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "new_line"),
+    "around_changes": lambda s, d: op.around_changes(_t(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error", 2).select("event_id"),
+    "ordered_digest": lambda s, d: op.ordered_digest(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("line")), "l_orderkey", "l_linenumber", "line"),
+    "listed": lambda s, d: op.listed(_t(s, d, "documents").select("source", "lang"), "source", "lang", 2),
+}
 QUERIES["review_report"] = QUERIES["eval_by_kind"]
 
 _SCORED = "(SELECT lang, quality = 1 AS expected, n_chars > 1000 AS found FROM labels JOIN documents USING (doc_id))"
@@ -69,4 +87,17 @@ SQL = {
     "division": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_shipdate < TIMESTAMP '1997-01-01')",
     "first_reason_counts": "SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars > 5000 THEN 'long' WHEN lang <> 'en' THEN 'language' ELSE 'none' END AS reason, count(*) AS n, count(DISTINCT text) AS distinct_texts FROM documents GROUP BY 1",
 }
+_HASHES = "(SELECT DISTINCT sha256(text) AS name FROM benchmark)"
+SQL |= {
+    "nearest_within": "SELECT event_id, CASE WHEN abs(x - event_id) <= 300 THEN x END AS anchor FROM (SELECT event_id, CASE WHEN a IS NULL OR event_id - b <= a - event_id THEN b ELSE a END AS x FROM (SELECT event_id, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM events))",
+    "enclosing_span": "SELECT s_suppkey, p_partkey AS span_start, p_size AS span_length FROM (SELECT s_suppkey, p_partkey, p_size, row_number() OVER (PARTITION BY s_suppkey ORDER BY p_size, p_partkey) AS k FROM supplier LEFT JOIN part ON p_size BETWEEN 0 AND 40 AND s_suppkey BETWEEN p_partkey AND p_partkey + p_size) WHERE k = 1",
+    "metric_summary": "SELECT metric, avg(value) AS mean, min(value) AS low, max(value) AS high FROM (SELECT 'quality' AS metric, quality::DOUBLE AS value FROM labels UNION ALL SELECT 'toxic', toxic::DOUBLE FROM labels) WHERE value IS NOT NULL GROUP BY metric",
+    "drift": "WITH m AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, 'missing' AS kind FROM m WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'undeclared' FROM labels WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM m) UNION ALL SELECT doc_id, 'unsatisfied' FROM m JOIN labels USING (doc_id) WHERE NOT (n_chars > 500 OR quality = 1)",
+    "unseen_by_either": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = l_partkey OR n_nationkey = l_suppkey)",
+    "unique_prefix": f"SELECT substr(name, 1, 2) AS prefix, min(name) AS name FROM {_HASHES} GROUP BY 1 HAVING count(*) = 1",
+    "running_numbers": "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS new_line FROM conversations",
+    "around_changes": "SELECT event_id FROM (SELECT event_id, bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM events) WHERE near",
+    "ordered_digest": "SELECT l_orderkey, substr(sha256(string_agg(l_returnflag || l_linestatus, chr(10) ORDER BY l_linenumber, l_returnflag || l_linestatus)), 1, 16) AS digest FROM lineitem GROUP BY l_orderkey",
+    "listed": "SELECT source, n, names FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) JOIN (SELECT source, string_agg(CASE WHEN k <= 2 THEN lang END, ', ' ORDER BY k) || CASE WHEN count(*) > 2 THEN ' and ' || (count(*) - 2) || ' more' ELSE '' END AS names FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY lang) AS k FROM (SELECT DISTINCT source, lang FROM documents)) GROUP BY source) USING (source)",
+}
 SQL["review_report"] = SQL["eval_by_kind"]

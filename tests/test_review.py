@@ -17,7 +17,7 @@ def spark():
 @pytest.mark.parametrize("name", sorted(review.QUERIES))
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in "part orders lineitem events documents pages benchmark labels conversations".split():
+    for t in "nation supplier part orders lineitem events documents pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = review.QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({review.SQL[name]})").fetchall()
