@@ -192,12 +192,14 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     for block in (*BLOCKS, 0):
         kinds = store.put(spots.groupBy("g", "ph").agg(F.count("*").alias("n")))
         live = store.put(kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1").select("g", "kinds"))
-        crowded = live.where(F.col("kinds") > CROWD).select("g")
-        if not block or crowded.isEmpty():
-            settled.append((spots, kinds, live))
+        # Most pieces stand once, in a group of their own: later steps don't read them.
+        kept = store.put(spots.join(live, "g"))
+        store.drop(spots)
+        if not block or live.where(F.col("kinds") > CROWD).isEmpty():
+            settled.append((kept, kinds, live))
             break
-        settled.append((spots.join(crowded, "g", "left_anti"), kinds.join(crowded, "g", "left_anti"), live.where(F.col("kinds") <= CROWD)))
-        old = spots.join(crowded, "g", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("a", "b", "at")).alias("old"))
+        settled.append((kept.where(F.col("kinds") <= CROWD), kinds, live.where(F.col("kinds") <= CROWD)))
+        old = kept.where(F.col("kinds") > CROWD).groupBy("uid").agg(F.collect_set(F.struct("a", "b", "at")).alias("old"))
         spots = store.put(keyed.select("uid", "text").join(old, "uid").mapInArrow(lambda it, block=block: cut(it, block), schema))
     spots, kinds, live = (reduce(DataFrame.unionByName, x) for x in zip(*settled, strict=True))
     mixed = kinds.join(live.where("kinds > 1").select("g"), "g")
