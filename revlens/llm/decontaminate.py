@@ -2,11 +2,14 @@
 
 Fixed masks leave out some token positions, so a substituted word breaks few seeds. Test hashes meet
 training hashes; around each hit the item is laid along the hit's diagonal and the words that agree
-are counted.
+are counted. Masks follow an item's length: each has at least one clean hit, wherever the words that
+the rule lets differ may stand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,8 +19,10 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import map_texts
 
-#: 1: the word counts, 0: it is ignored. Shorter items use their whole length.
-MASKS = ("11011011", "11101101")
+#: The most words that a mask counts, and the shortest part of a longer item that has a clean hit of its own.
+WEIGHT, PART = 6, 13
+#: So many words of texts, or one text, are hashed at once.
+CHUNK = 200_000
 #: Items that one pass over the training texts takes; further items take further passes.
 BLOCK = 20_000
 
@@ -34,32 +39,81 @@ class Words(dict):
         return np.array([self[w] for w in (x.strip("&%$#*!|.,;:?\"'()[]") for x in (text or "").lower().split()) if w], np.uint64)
 
 
-def seeds(x: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    n = len(x) - len(mask) + 1
-    h = np.full(max(n, 0), salt, np.uint64)
-    for i, keep in enumerate(mask):
-        if keep == "1" and n > 0:
-            h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h
+#: Factors of a seed's words, and a hash that no item holds, between texts.
+_MIX = np.random.default_rng(13).integers(1, 1 << 63, WEIGHT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EDGE = np.uint64(0x5DEECE66D1234567)
+
+
+def weight(n: int, identity: float = 0.8) -> int:
+    """How many words the masks of an item of n words count, WEIGHT at most.
+
+    e differing words leave n - e in e + 1 runs. If no two neighbouring runs had w words together, all would
+    have (w - 1) * ceil((e + 1) / 2) at most; w is the largest for which that is too few. A longer item
+    holds a part of PART to 2 * PART - 1 words that differs no more than the whole does.
+    """
+    out = WEIGHT
+    for k in [n] if n < PART else range(PART, 2 * PART):
+        e = int((1 - identity) * k + 1e-9)
+        out = min(out, max(k - e - 1, 0) // ((e + 2) // 2) + 1)
+    return out
+
+
+def seeds(x: np.ndarray, w: int) -> list[tuple[int, np.ndarray]]:
+    """(span, hashes by position) of every mask of w words: without a gap, and with one word left out after each."""
+    y = [x * _MIX[i] for i in range(w)]
+    out = []
+    for a in range(w, 0, -1):
+        span = w + (a < w)
+        n = max(len(x) - span + 1, 0)
+        h = np.full(n, w, np.uint64)
+        for i in range(w):
+            h += y[i][i + (i >= a) : i + (i >= a) + n]
+        out.append((span, h ^ (h >> np.uint64(29))))
+    return out
 
 
-def _index(items: list[tuple[int, str | None]]):
+def _index(items: list[tuple[int, str | None]], identity: float):
+    """The items' words, and for each weight the sorted seeds with their item, place and span, and a sieve of them."""
     words = Words()
     texts = [(i, words.of(t)) for i, t in items]
-    masks = {m for m in MASKS} | {"1" * len(x) for _, x in texts if 0 < len(x) < len(MASKS[0])}
-    h, item, at = [], [], []
-    for k, m in enumerate(sorted(masks)):
-        for n, (_, x) in enumerate(texts):
-            if (m in MASKS and len(x) >= len(m)) or (m not in MASKS and len(x) == len(m)):
-                s = seeds(x, m, k)
-                h.append(s)
-                item.append(np.full(len(s), n))
-                at.append(np.arange(len(s)))
-    cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.empty(0, t)
-    h, item, at = cat(h, np.uint64), cat(item, np.int64), cat(at, np.int64)
-    order = np.argsort(h, kind="stable")
-    return texts, sorted(masks), h[order], item[order], at[order]
+    found: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+    for n, (_, x) in enumerate(texts):
+        if len(x):
+            w = weight(len(x), identity)
+            found.setdefault(w, []).extend((h, n, span) for span, h in seeds(x, w))
+    index = []
+    for w, got in sorted(found.items()):
+        h = np.concatenate([g[0] for g in got])
+        item, span = (np.repeat(np.array([g[k] for g in got], np.int32), [len(g[0]) for g in got]) for k in (1, 2))
+        at = np.concatenate([np.arange(len(g[0]), dtype=np.int32) for g in got])
+        order = np.argsort(h, kind="stable")
+        shift = np.uint64(64 - min(max(int(16 * len(h)).bit_length(), 16), 26))
+        sieve = np.zeros(1 << int(64 - shift), bool)
+        sieve[h >> shift] = True
+        index.append((w, h[order], item[order], at[order], span[order], shift, sieve))
+    return texts, index
+
+
+def hits(texts: list[np.ndarray], index) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(text, item, place in the text, place in the item, span there, span here) of equal seeds, by text."""
+    start = np.cumsum([0] + [len(x) + 2 for x in texts])
+    # Two edges between texts: no mask leaves out both.
+    x = np.concatenate([p for t in texts for p in (t, np.full(2, _EDGE))])
+    out = []
+    for w, h, item, at, span, shift, sieve in index:
+        for here, s in seeds(x, w):
+            p = np.flatnonzero(sieve[s >> shift])
+            lo = np.searchsorted(h, s[p], "left")
+            ok = lo < len(h)
+            ok[ok] = h[lo[ok]] == s[p[ok]]
+            p, lo = p[ok], lo[ok]
+            n = np.searchsorted(h, s[p], "right") - lo
+            q = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            p = np.repeat(p, n)
+            t = np.searchsorted(start, p, "right") - 1
+            out.append(np.stack([t, item[q], p - start[t], at[q], span[q], np.full(len(q), here)], 1))
+    got = np.concatenate(out) if out else np.empty((0, 6), np.int64)
+    return iter(got[np.argsort(got[:, 0], kind="stable")].tolist())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -78,28 +132,33 @@ def find(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, block: in
         held = spark.sparkContext.broadcast([(x[0], x[1]) for x in rows])
 
         def make(held=held):
-            texts, masks, h, item, at = _index(held.value)
-            sieve = np.zeros(1 << 20, bool)
-            sieve[h >> np.uint64(44)] = True
+            texts, index = _index(held.value, identity)
             words = Words()
 
-            def one(text: str | None) -> list[int]:
-                x, found, seen = words.of(text), set(), set()
-                for k, m in enumerate(masks):
-                    s = seeds(x, m, k)
-                    for p in np.flatnonzero(sieve[s >> np.uint64(44)]):
-                        for q in range(np.searchsorted(h, s[p]), np.searchsorted(h, s[p], "right")):
-                            key = (int(item[q]), int(p) - int(at[q]))
-                            if key in seen or texts[key[0]][0] in found:
-                                continue
-                            seen.add(key)
-                            i, y = texts[key[0]]
-                            lo, hi = max(key[1], 0), min(key[1] + len(y), len(x))
-                            if np.sum(x[lo:hi] == y[lo - key[1] : hi - key[1]]) >= identity * len(y):
-                                found.add(i)
-                return sorted(found)
-
-            return lambda got, part: {"items": pa.array([sorted({*a, *one(t)}) for a, t in zip(part.column("items").to_pylist(), got, strict=True)], pa.list_(pa.int64()))}
+            def some(got: list[np.ndarray]) -> list[set[int]]:
+                found, seen = [set() for _ in got], set()
+                for t, n, p, q, _, _ in hits(got, index):
+                    key, (i, y), x = (t, n, p - q), texts[n], got[t]
+                    if key in seen or i in found[t]:
+                        continue
+                    seen.add(key)
+                    lo, hi = max(p - q, 0), min(p - q + len(y), len(x))
+                    if np.sum(x[lo:hi] == y[lo - p + q : hi - p + q]) >= identity * len(y) - 1e-9:
+                        found[t].add(i)
+                return found
+
+            def f(got: list[str | None], part: pa.RecordBatch) -> dict[str, pa.Array]:
+                found, wait, size = [], [], 0
+                for text in got:
+                    wait.append(words.of(text))
+                    size += len(wait[-1])
+                    if size >= CHUNK:
+                        found += some(wait)
+                        wait, size = [], 0
+                found += some(wait)
+                return {"items": pa.array([sorted({*a, *b}) for a, b in zip(part.column("items").to_pylist(), found, strict=True)], pa.list_(pa.int64()))}
+
+            return f
 
         out = map_texts(out, make, [("items", T.ArrayType(T.LongType()))])
     return out

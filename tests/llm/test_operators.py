@@ -204,3 +204,24 @@ def test_language_of_odd_pages(spark):
     out = language.identify(df, known).collect()
     assert len(out) == 4 and {r.lang for r in out if r.page_id == 1} == {"fr"}
     assert language.identify(df, known.limit(0)).count() == 4
+
+
+def test_leaks_agree_with_all_diagonals(spark):
+    rng = random.Random(6)
+    items, docs = [], []
+    for n in [*range(1, 31), 40, 60] * 6:
+        x = [f"w{rng.randrange(900)}" for _ in range(n)]
+        y = list(x)
+        for k in rng.sample(range(n), n // 5):
+            y[k] = f"v{rng.randrange(900)}"
+        items.append((len(items), " ".join(x)))
+        docs.append((len(docs), " ".join([f"u{rng.randrange(900)}" for _ in range(rng.randrange(9))] + y + ["u"] * rng.randrange(3))))
+    want = {}
+    for d, t in docs:
+        x = t.split()
+        for i, s in items:
+            y = s.split()
+            if any(5 * sum(x[k + j] == w for j, w in enumerate(y) if 0 <= k + j < len(x)) >= 4 * len(y) for k in range(-len(y), len(x))):
+                want.setdefault(d, set()).add(i)
+    out = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(d in want[d] for d, _ in docs) and all(want[r.doc_id] <= set(r["items"]) for r in out)
