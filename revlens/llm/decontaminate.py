@@ -1,9 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks leave out some token positions, so a substituted word breaks few seeds. Test hashes meet
-training hashes; around each hit the item is laid along the hit's diagonal and the words that agree
-are counted. Masks follow an item's length: each has at least one clean hit, wherever the words that
-the rule lets differ may stand.
+training hashes; from each hit, item and text are read on both ways, over words that differ, are put in
+or left out. Masks follow an item's length: at least one has a clean hit, wherever the words that the
+rule lets differ may stand. Seeds of different masks may meet, which finds words put in or left out.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import map_texts
 
-#: The most words that a mask counts, and the shortest part of a longer item that has a clean hit of its own.
+#: The most words that a mask counts, and the shortest part that counts of a longer item.
 WEIGHT, PART = 6, 13
 #: So many words of texts, or one text, are hashed at once.
 CHUNK = 200_000
@@ -47,7 +47,7 @@ _EDGE = np.uint64(0x5DEECE66D1234567)
 def weight(n: int, identity: float = 0.8) -> int:
     """How many words the masks of an item of n words count, WEIGHT at most.
 
-    e differing words leave n - e in e + 1 runs. If no two neighbouring runs had w words together, all would
+    e edits leave n - e words or more in e + 1 runs. If no two neighbouring runs had w words together, all would
     have (w - 1) * ceil((e + 1) / 2) at most; w is the largest for which that is too few. A longer item
     holds a part of PART to 2 * PART - 1 words that differs no more than the whole does.
     """
@@ -58,50 +58,49 @@ def weight(n: int, identity: float = 0.8) -> int:
     return out
 
 
-def seeds(x: np.ndarray, w: int) -> list[tuple[int, np.ndarray]]:
-    """(span, hashes by position) of every mask of w words: without a gap, and with one word left out after each."""
+def seeds(x: np.ndarray, w: int) -> list[np.ndarray]:
+    """Hashes by position of every mask of w words: without a gap, and with one word left out after each."""
     y = [x * _MIX[i] for i in range(w)]
     out = []
     for a in range(w, 0, -1):
-        span = w + (a < w)
-        n = max(len(x) - span + 1, 0)
+        n = max(len(x) - w - (a < w) + 1, 0)
         h = np.full(n, w, np.uint64)
         for i in range(w):
             h += y[i][i + (i >= a) : i + (i >= a) + n]
-        out.append((span, h ^ (h >> np.uint64(29))))
+        out.append(h ^ (h >> np.uint64(29)))
     return out
 
 
 def _index(items: list[tuple[int, str | None]], identity: float):
-    """The items' words, and for each weight the sorted seeds with their item, place and span, and a sieve of them."""
+    """The items' words, and for each weight the sorted seeds with their item and place, and a sieve of them."""
     words = Words()
     texts = [(i, words.of(t)) for i, t in items]
-    found: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+    found: dict[int, list[tuple[np.ndarray, int]]] = {}
     for n, (_, x) in enumerate(texts):
         if len(x):
             w = weight(len(x), identity)
-            found.setdefault(w, []).extend((h, n, span) for span, h in seeds(x, w))
+            found.setdefault(w, []).extend((h, n) for h in seeds(x, w))
     index = []
     for w, got in sorted(found.items()):
         h = np.concatenate([g[0] for g in got])
-        item, span = (np.repeat(np.array([g[k] for g in got], np.int32), [len(g[0]) for g in got]) for k in (1, 2))
+        item = np.repeat(np.array([g[1] for g in got], np.int32), [len(g[0]) for g in got])
         at = np.concatenate([np.arange(len(g[0]), dtype=np.int32) for g in got])
         order = np.argsort(h, kind="stable")
         shift = np.uint64(64 - min(max(int(16 * len(h)).bit_length(), 16), 26))
         sieve = np.zeros(1 << int(64 - shift), bool)
         sieve[h >> shift] = True
-        index.append((w, h[order], item[order], at[order], span[order], shift, sieve))
+        index.append((w, h[order], item[order], at[order], shift, sieve))
     return texts, index
 
 
-def hits(texts: list[np.ndarray], index) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(text, item, place in the text, place in the item, span there, span here) of equal seeds, by text."""
-    start = np.cumsum([0] + [len(x) + 2 for x in texts])
+def hits(texts: list[np.ndarray], index) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, place in the text, place in the item) of equal seeds, by text."""
+    start = np.cumsum([2] + [len(x) + 2 for x in texts])
     # Two edges between texts: no mask leaves out both.
-    x = np.concatenate([p for t in texts for p in (t, np.full(2, _EDGE))])
+    x = np.concatenate([np.full(2, _EDGE), *(p for t in texts for p in (t, np.full(2, _EDGE)))])
     out = []
-    for w, h, item, at, span, shift, sieve in index:
-        for here, s in seeds(x, w):
+    for w, h, item, at, shift, sieve in index:
+        for s in seeds(x, w):
             p = np.flatnonzero(sieve[s >> shift])
             lo = np.searchsorted(h, s[p], "left")
             ok = lo < len(h)
@@ -111,16 +110,59 @@ def hits(texts: list[np.ndarray], index) -> Iterator[tuple[int, int, int, int, i
             q = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             p = np.repeat(p, n)
             t = np.searchsorted(start, p, "right") - 1
-            out.append(np.stack([t, item[q], p - start[t], at[q], span[q], np.full(len(q), here)], 1))
-    got = np.concatenate(out) if out else np.empty((0, 6), np.int64)
+            out.append(np.stack([t, item[q], p - start[t], at[q]], 1))
+    got = np.concatenate(out) if out else np.empty((0, 4), np.int64)
     return iter(got[np.argsort(got[:, 0], kind="stable")].tolist())
 
 
+def _reach(a: list[int], b: list[int], edits: int) -> list[int]:
+    """How many words from the start of a the start of b holds with 0, 1, ... `edits` edits, at most."""
+    out, far = [], {0: 0}  # by diagonal (place in b less place in a), the furthest place in a
+    for e in range(edits + 1):
+        if e:
+            old, far = far, {}
+            for d in range(-e, e + 1):
+                # A word of b put in, a word of a left out, or one for the other.
+                i = max(old.get(d - 1, -1), old.get(d + 1, -2) + 1, old.get(d, -2) + 1)
+                i = min(i, len(a))
+                if i >= 0 and 0 <= i + d <= len(b):
+                    far[d] = i
+                elif 0 <= len(b) - d < i:
+                    far[d] = len(b) - d
+        for d, i in far.items():
+            while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            far[d] = i
+        out.append(max([*far.values(), *out[-1:]]))
+    return out
+
+
+def _held(y: np.ndarray, x: np.ndarray, q: int, p: int, identity: float) -> bool:
+    """Whether x holds y by an alignment in which word p of x is word q of y."""
+    most, least = 2 * PART - 2, min(len(y), PART)
+    edits = int((1 - identity) * (most + 1) + 1e-9)
+    ahead = _reach(y[q + 1 : q + 1 + most].tolist(), x[p + 1 : p + 1 + most + edits].tolist(), edits)
+    back = _reach(y[max(q - most, 0) : q][::-1].tolist(), x[max(p - most - edits, 0) : p][::-1].tolist(), edits)
+    return any((n := 1 + ahead[e] + back[k]) >= least and e + k <= (1 - identity) * n + 1e-9 for e in range(edits + 1) for k in range(edits + 1 - e))
+
+
+def leaks(got: list[np.ndarray], texts: list[tuple[int, np.ndarray]], index, identity: float) -> list[set[int]]:
+    """The items that each text holds, by its words."""
+    found, seen = [set() for _ in got], set()
+    for t, n, p, q in hits(got, index):
+        key = (t, n, p, q)
+        if texts[n][0] not in found[t] and key not in seen:
+            seen.add(key)
+            if _held(texts[n][1], got[t], q, p, identity):
+                found[t].add(texts[n][0])
+    return found
+
+
 def find(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """`docs` with items: the sorted item_ids of `benchmark` that a text holds.
 
-    A text holds an item if along one diagonal at least `identity` of all the item's words agree with the
-    text's, and a seed hits there. Null, empty and wordless texts and items hold and match nothing; equal items
+    A text holds an item if it holds all the item's words, or PART or more in a row of a longer item, with
+    at most 1 - `identity` edits a word of these; a word that differs, is put in or left out is one edit. Null, empty and wordless texts and items hold and match nothing; equal items
     are found each; a null item_id is left out. Items are read in blocks of `block`, each with its own pass.
     """
     spark = docs.sparkSession
@@ -135,27 +177,15 @@ def find(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, block: in
             texts, index = _index(held.value, identity)
             words = Words()
 
-            def some(got: list[np.ndarray]) -> list[set[int]]:
-                found, seen = [set() for _ in got], set()
-                for t, n, p, q, _, _ in hits(got, index):
-                    key, (i, y), x = (t, n, p - q), texts[n], got[t]
-                    if key in seen or i in found[t]:
-                        continue
-                    seen.add(key)
-                    lo, hi = max(p - q, 0), min(p - q + len(y), len(x))
-                    if np.sum(x[lo:hi] == y[lo - p + q : hi - p + q]) >= identity * len(y) - 1e-9:
-                        found[t].add(i)
-                return found
-
             def f(got: list[str | None], part: pa.RecordBatch) -> dict[str, pa.Array]:
                 found, wait, size = [], [], 0
                 for text in got:
                     wait.append(words.of(text))
                     size += len(wait[-1])
                     if size >= CHUNK:
-                        found += some(wait)
+                        found += leaks(wait, texts, index, identity)
                         wait, size = [], 0
-                found += some(wait)
+                found += leaks(wait, texts, index, identity)
                 return {"items": pa.array([sorted({*a, *b}) for a, b in zip(part.column("items").to_pylist(), found, strict=True)], pa.list_(pa.int64()))}
 
             return f

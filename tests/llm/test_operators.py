@@ -225,3 +225,40 @@ def test_leaks_agree_with_all_diagonals(spark):
                 want.setdefault(d, set()).add(i)
     out = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert all(d in want[d] for d, _ in docs) and all(want[r.doc_id] <= set(r["items"]) for r in out)
+
+
+def test_leaks_of_edited_parts(spark):
+    y = [f"w{i}" for i in range(59)]
+    short = [f"s{i}" for i in range(15)]
+    texts = [y[:20] + ["put", "in"] + y[20:], y[:29] + y[30:], ["a"] * 9 + y[9:49] + ["b"] * 30, short[:7] + ["in"] + short[7:], short[:7] + short[8:], y[:10] + ["z"] * 40, short[:5] + ["in"] * 9 + short[5:]]
+    out = decontaminate.find(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(y)), (8, " ".join(short))], "item_id long, text string")).collect()
+    assert {r.doc_id: r["items"] for r in out} == {0: [7], 1: [7], 2: [7], 3: [8], 4: [8], 5: [], 6: []}
+
+
+def test_leaks_agree_with_edit_distances():
+    def holds(y, x):
+        least = min(len(y), decontaminate.PART)
+        for start in range(len(y) - least + 1):
+            row = [0] * (len(x) + 1)
+            for n, w in enumerate(y[start:], 1):
+                new = [n]
+                for j, v in enumerate(x):
+                    new.append(min(row[j] + (v != w), row[j + 1] + 1, new[j] + 1))
+                row = new
+                if n >= least and 5 * min(row) <= n:
+                    return True
+        return False
+
+    rng, words, seen = random.Random(8), decontaminate.Words(), set()
+    for _ in range(1500):
+        y = [f"w{rng.randrange(rng.choice([4, 40]))}" for _ in range(rng.randrange(1, 34))]
+        x = []
+        for w in y:
+            k = rng.random()
+            x += [w] if k > 0.24 else [[f"w{rng.randrange(40)}"], [], [w, "in"]][int(k / 0.08)]
+        x = x[rng.randrange(4) :] + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5))]
+        texts, index = decontaminate._index([(0, " ".join(y))], 0.8)
+        got = decontaminate.leaks([words.of("a b c"), words.of(" ".join(x))], texts, index, 0.8)
+        assert got == [set(), {0} if holds(y, x) else set()], (y, x)
+        seen.add((len(y) < decontaminate.PART, bool(got[1])))
+    assert len(seen) == 4 and decontaminate.leaks([], texts, index, 0.8) == []
