@@ -34,7 +34,7 @@ def _grams(text: str) -> np.ndarray:
 def text_model(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities of trigrams) from labelled (text, lang), `rows` of each at most."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect())
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
     table = []
     for lang in langs:
         few = known.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(rows).select("text").collect()
@@ -42,6 +42,12 @@ def text_model(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str],
     return langs, np.array([np.log(t / t.sum()) for t in table]).reshape(len(langs), BUCKETS)
 
 
+def _sums(df: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
+    """Sums of arrays by element, through a row for each element."""
+    flat = df.select(*by, F.posexplode(column).alias("i", "v")).groupBy(*by, "i").agg(F.sum("v").alias("v"))
+    return flat.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).getField("v").alias(out))
+
+
 def identify(pages: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """`pages` (page_id, url, html) with lang and probability.
 
@@ -64,8 +70,9 @@ def identify(pages: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> D
 
         return lambda got, _: {"likely": pa.array([one(p) for p in got], pa.list_(pa.float64()))}
 
-    array = lambda f: F.array(*[f(i, x) for i, x in enumerate(langs)])
-    vote = lambda col, trust: array(lambda i, x: F.when(col.isin(langs), F.when(col == x, float(np.log(trust))).otherwise(float(np.log((1 - trust) / max(n - 1, 1))))).otherwise(0.0))
+    names = F.lit(langs)
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    vote = lambda col, trust: each(lambda i: F.when(names[i] == col, float(np.log(trust))).when(F.array_contains(names, col), float(np.log((1 - trust) / max(n - 1, 1)))).otherwise(0.0))
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", 1))
     host = F.lower(F.regexp_extract("url", r"^\w+://([^/:?#]+)", 1))
     suffix = F.coalesce(F.nullif(F.regexp_extract("url", r"^\w+://[^/]+/([a-z]{2})(?:/|$)", 1), F.lit("")), F.regexp_extract(host, r"\.([a-z]{2})$", 1))
@@ -73,19 +80,21 @@ def identify(pages: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> D
     own = scored.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), F.zip_with(F.zip_with("likely", vote(declared, DECLARED), lambda a, b: a + b), vote(F.coalesce(suffix, F.lit("")), SUFFIX), lambda a, b: a + b).alias("e"))
     soft = F.transform("e", lambda x: F.exp(x - F.array_max("e")))
     own = store.put(own.withColumn("q", F.transform(soft, lambda x: x / F.aggregate(soft, F.lit(0.0), lambda a, b: a + b))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
-    sums = [F.sum(F.col("q")[i]).alias(f"s{i}") for i in range(n)]
-    by_host = store.put(own.groupBy("host", "domain").agg(*sums))
-    by_domain = by_host.groupBy("domain").agg(*[F.sum(f"s{i}").alias(f"d{i}") for i in range(n)])
-    whole = [x or 0.0 for x in by_host.agg(*[F.sum(f"s{i}") for i in range(n)]).first()]
+    by_host = store.put(_sums(own, ["host", "domain"], "q", "s"))
+    by_domain = _sums(by_host, ["domain"], "s", "d")
+    whole = [0.0] * n
+    for i, v in by_host.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v")).collect():
+        whole[i] = v
     base = [(x + 1) / (sum(whole) + n) for x in whole]
     # Hot hosts: pages meet their host's row in salted buckets.
     salts = 16
     prior = by_host.join(by_domain, "domain").drop("domain").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(prior, ["host", "salt"])
-    total = lambda p: sum((F.greatest(F.col(f"{p}{i}") - F.col("q")[i], F.lit(0.0)) for i in range(n)), F.lit(0.0))
-    less = lambda p, i: F.greatest(F.col(f"{p}{i}") - F.col("q")[i], F.lit(0.0))
-    domain = lambda i: (less("d", i) + DOMAIN_WEIGHT * base[i]) / (total("d") + DOMAIN_WEIGHT)
-    post = array(lambda i, x: F.col("e")[i] + F.log((less("s", i) + HOST_WEIGHT * domain(i)) / (total("s") + HOST_WEIGHT)))
+    less = lambda p, i: F.greatest(F.col(p)[i] - F.col("q")[i], F.lit(0.0))
+    total = lambda p: F.aggregate(each(lambda i: less(p, i)), F.lit(0.0), lambda a, b: a + b)
+    met = met.withColumns({"total_s": total("s"), "total_d": total("d")})
+    domain = lambda i: (less("d", i) + DOMAIN_WEIGHT * F.lit(base)[i]) / (F.col("total_d") + DOMAIN_WEIGHT)
+    post = each(lambda i: F.col("e")[i] + F.log((less("s", i) + HOST_WEIGHT * domain(i)) / (F.col("total_s") + HOST_WEIGHT)))
     done = met.select("page_id", "url", post.alias("p"))
     best = F.array_max("p")
-    return done.select("page_id", "url", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("p", best).cast("int")).alias("lang"), (1 / F.aggregate(F.transform("p", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, b: a + b)).alias("probability"))
+    return done.select("page_id", "url", F.element_at(names, F.array_position("p", best).cast("int")).alias("lang"), (1 / F.aggregate(F.transform("p", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, b: a + b)).alias("probability"))

@@ -262,3 +262,13 @@ def test_leaks_agree_with_edit_distances():
         assert got == [set(), {0} if holds(y, x) else set()], (y, x)
         seen.add((len(y) < decontaminate.PART, bool(got[1])))
     assert len(seen) == 4 and decontaminate.leaks([], texts, index, 0.8) == []
+
+
+def test_every_language_is_known(spark):
+    from revlens.llm import language
+
+    langs = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(70)]
+    labelled = [(f"{x}qx{x}z {x}j{x} w{x}{x}k", x) for x in langs for _ in range(1 + (x != langs[-1]))]
+    pages = [(i, f"http://h{i}.com/", f"<html lang={x}>{x}qx{x}z {x}j{x} w{x}{x}k") for i, x in enumerate(langs)]
+    out = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labelled, "text string, lang string"), rows=2).collect()
+    assert {r.page_id: r.lang for r in out} == dict(enumerate(langs))
