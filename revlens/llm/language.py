@@ -11,13 +11,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.common import Stored, map_texts
 
-#: At most so many rows of each language fit the text model; buckets of trigrams.
+#: At most so many distinct texts of each language fit the text model; buckets of trigrams.
 TRAIN_ROWS, BUCKETS = 300, 1 << 14
 #: How far a declaration and an address suffix are trusted, and the weights of a parent's prior.
 DECLARED, SUFFIX, HOST_WEIGHT, DOMAIN_WEIGHT = 0.9, 0.8, 5.0, 20.0
@@ -32,14 +32,15 @@ def _grams(text: str) -> np.ndarray:
 
 
 def text_model(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of trigrams) from labelled (text, lang), `rows` of each at most."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    table = []
-    for lang in langs:
-        few = known.where(F.col("lang") == lang).orderBy(F.xxhash64("text"), "text").limit(rows).select("text").collect()
-        table.append(sum((_grams(r.text) for r in few), np.zeros(BUCKETS)) + 0.1)
-    return langs, np.array([np.log(t / t.sum()) for t in table]).reshape(len(langs), BUCKETS)
+    """(languages, log probabilities of trigrams) from labelled (text, lang), `rows` distinct texts of each at most."""
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"), "text")
+    first = Window.partitionBy("lang").orderBy("h")
+    few = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows).select("lang", "h")
+    table: dict[str, np.ndarray] = {}
+    for r in known.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).toLocalIterator():
+        table[r.lang] = table.get(r.lang, 0.1) + _grams(r.text)
+    langs = sorted(table)
+    return langs, np.array([np.log(table[x] / table[x].sum()) for x in langs]).reshape(len(langs), BUCKETS)
 
 
 def _sums(df: DataFrame, by: list[str], column: str, out: str) -> DataFrame:

@@ -272,3 +272,11 @@ def test_every_language_is_known(spark):
     pages = [(i, f"http://h{i}.com/", f"<html lang={x}>{x}qx{x}z {x}j{x} w{x}{x}k") for i, x in enumerate(langs)]
     out = language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(labelled, "text string, lang string"), rows=2).collect()
     assert {r.page_id: r.lang for r in out} == dict(enumerate(langs))
+
+
+def test_copies_take_one_place_in_the_language_sample(spark):
+    from revlens.llm import language
+
+    texts = [f"text {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}" for i in range(8)]
+    once, many = (language.text_model(spark.createDataFrame([(t, "en") for t in texts for _ in range(n)], "text string, lang string"), rows=5) for n in (1, 9))
+    assert once[0] == many[0] == ["en"] and np.allclose(once[1], many[1])
