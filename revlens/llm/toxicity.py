@@ -1,16 +1,17 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's inputs are its own (hashed) evidence and that of its character n-grams, as learned from the
-training rows. Windows of WINDOW words, STRIDE apart, cover the whole text; a text scores as its highest
-window does, and training follows each text's highest window in turn.
+A word enters as its learned word vector, the mean of the learned vectors of its character n-grams and its
+length. Both tables of vectors are trained with the network. All overlapping windows of WINDOW words are
+scored (one every STRIDE words); a text scores as its highest window does, and training follows each text's
+highest window in turn.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,17 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import map_texts
 
-WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 6
-#: At most so many labelled rows of each label fit the network.
-TRAIN_ROWS = 1500
-TABLE = 1 << 17
+#: Words of a window, words between the starts of neighbours, and units of the network in each direction.
+WINDOW, STRIDE, HIDDEN = 16, 1, 8
+#: Entries of a word's vector and of its n-grams' mean, the n-grams' lengths, and the inputs of the network.
+WORD, CHAR, GRAMS = 4, 4, (3, 4, 5)
+INPUTS = WORD + CHAR + 1
+#: Character n-grams are hashed to so many bits.
+GRAM_BITS = 17
+#: At most so many labelled rows of each label fit the network; words and n-grams of fewer rows have no vector of their own.
+TRAIN_ROWS, MIN_ROWS = 1500, 3
+#: Words that one pass scores at once, and words whose gate inputs a worker keeps.
+CHUNK, KEPT_WORDS = 1 << 12, 250_000
 _EDGE = "&%$#*!|.,;:?\"'()[]{}<>-_"
 
 
@@ -29,97 +37,113 @@ def _word(raw: str) -> str:
     return raw.lower().strip(_EDGE)
 
 
-def _hash(s: str) -> int:
-    return xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass")) % TABLE
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(which word, bucket) of the character n-grams of words, edges marked: all words at once."""
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    x = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(x))  # code points from here to the word's end
+    whose, bucket = [], []
+    for n in GRAMS:
+        h = np.full(max(len(x) - n + 1, 0), n, np.uint64)
+        for i in range(n):
+            h = (h ^ x[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        inside = left[: len(h)] >= n
+        whose.append(of[: len(h)][inside])
+        bucket.append((h[inside] >> np.uint64(64 - GRAM_BITS)).astype(np.int64))
+    return np.concatenate(whose), np.concatenate(bucket)
+
+
+class Vocabulary:
+    """Rows of the two tables for the words and (hashed) character n-grams that stand in MIN_ROWS training texts or more; row 0 is for all others."""
+
+    def __init__(self, texts: list[str]):
+        words, known = Counter(), {}
+        held = np.zeros(1 << GRAM_BITS, np.int64)
+        for t in texts:
+            own = {_word(r) for r in t.split()} - {""}
+            words.update(own)
+            if fresh := sorted(own - known.keys()):
+                whose, bucket = grams(fresh)
+                known |= dict(zip(fresh, np.split(bucket[np.argsort(whose, kind="stable")], np.cumsum(np.bincount(whose, minlength=len(fresh)))[:-1]), strict=True))
+            if own:
+                held[np.unique(np.concatenate([known[w] for w in own]))] += 1
+        self.words = {w: i for i, w in enumerate(sorted(w for w, n in words.items() if n >= MIN_ROWS), 1)}
+        often = held >= MIN_ROWS
+        self.buckets = np.where(often, np.cumsum(often), 0).astype(np.int32)
+        self.n_grams = int(often.sum())
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the words, which word each known n-gram is of, rows of the n-grams, lengths as an input)."""
+        whose, bucket = grams(words)
+        row = self.buckets[bucket]
+        return np.array([self.words.get(w, 0) for w in words], np.int64), whose[row > 0], row[row > 0], np.minimum(np.array([len(w) for w in words], np.float32), 20) / 20
+
+
+class Tokens(dict):
+    """Numbers of the words met so far; number 0 pads."""
 
-
-def _grams(w: str) -> set[int]:
-    p = f"<{w}>"
-    return {_hash(p[i : i + n]) for n in (3, 4, 5, 6) for i in range(len(p) - n + 1)}
-
-
-def _odds(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of words and of character n-grams, by the documents that hold them; rare ones count little."""
-    tables = [[np.zeros(TABLE), np.zeros(TABLE)] for _ in range(2)]
-    known: dict[str, set[int]] = {}
-    for text, label in zip(texts, y, strict=True):
-        words, grams = set(map(_word, text.split())), set()
-        for w in words:
-            if w not in known:
-                known[w] = _grams(w)
-            grams |= known[w]
-        tables[0][int(label)][list({_hash(f"w{w}") for w in words})] += 1
-        tables[1][int(label)][list(grams)] += 1
-    n = np.array([max((y == 0).sum(), 1), max((y == 1).sum(), 1)])
-    return tuple(((np.log((b + 1) / (n[1] + 2)) - np.log((a + 1) / (n[0] + 2))) * (a + b) / (a + b + 4)).astype(np.float32) for a, b in tables)
-
-
-class Vectors(dict):
-    def __init__(self, odds):
-        self.odds = odds
-        self.rows = np.zeros((1 << 12, INPUTS), np.float32)
-        self.n = 1  # row 0 pads
+    def __init__(self):
+        super().__init__()
+        self.fresh, self.count = [], 1
 
     def __missing__(self, raw: str) -> int:
-        w = _word(raw)
-        g = self.odds[1][list(_grams(w))] if w else np.zeros(1)
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n] = (self.odds[0][_hash(f"w{w}")], g.max(), g.mean(), g.min(), min(len(w), 20) / 20, 1.0)
-        self[raw] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of all texts' windows (padded with 0), and which text each is of."""
-        if self.n > 300_000:
-            self.clear()
-            self.n = 1
-        out, of = [], []
-        for k, t in enumerate(texts):
-            x = np.array([self[w] for w in t.split()], np.int32)
-            n = max(1, 1 + -(-(len(x) - WINDOW) // STRIDE))
-            x = np.pad(x, (0, (n - 1) * STRIDE + WINDOW - len(x)))
-            out.append(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE])
-            of += [k] * n
-        return np.concatenate(out), np.array(of)
+        self.fresh.append(_word(raw))
+        self[raw] = n = self.count
+        self.count += 1
+        return n
+
+    def take(self) -> list[str]:
+        """The words that are new since the last call, in the order of their numbers."""
+        out, self.fresh = self.fresh, []
+        return out
 
 
 def _sig(x):
-    return 0.5 + 0.5 * x / (1 + np.abs(x))  # a gate without exp
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Net:
-    def __init__(self):
+    def __init__(self, words: int, grams: int):
         rng, h = np.random.default_rng(7), HIDDEN
         r = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("W", r(INPUTS, 3 * h)), ("U", r(h, 2 * h)), ("V", r(h, h)), ("c", np.zeros(3 * h, np.float32)))} | {"a": r(2 * h), "o": r(2 * h), "z": np.zeros(1, np.float32)}
-
-    def forward(self, x: np.ndarray, keep: bool = False):
-        """Logits of windows (n, WINDOW, INPUTS); with keep, also what backward() needs."""
+        self.words, self.grams = r(words, WORD), r(grams, CHAR)
+        self.words[0] = self.grams[0] = 0
+
+    def inputs(self, word: np.ndarray, whose: np.ndarray, grams: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Input vectors of words from Vocabulary.rows()."""
+        n, out = len(word), np.empty((len(word), INPUTS), np.float32)
+        out[:, :WORD], out[:, -1] = self.words[word], length
+        many = np.maximum(np.bincount(whose, minlength=n), 1)
+        for j in range(CHAR):
+            out[:, WORD + j] = np.bincount(whose, weights=self.grams[grams, j], minlength=n) / many
+        return out
+
+    def forward(self, x: np.ndarray, real: np.ndarray, keep: bool = False):
+        """Logits of windows (n, WINDOW, INPUTS), of whose words those marked `real` (n, WINDOW) count; with keep, also what backward() needs."""
         p, h, n = self.p, HIDDEN, len(x)
-        states, tape = np.empty((n, WINDOW, 2 * h), np.float32), {}
+        states, tape = np.empty((n, WINDOW, 2 * h), x.dtype), {}
         for d, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            s, g, tape[d] = np.zeros((n, h), np.float32), x @ p[f"W{d}"] + p[f"c{d}"], []
+            s, g, tape[d] = np.zeros((n, h), x.dtype), x @ p[f"W{d}"] + p[f"c{d}"], []
             for t in steps:
-                pre = g[:, t, : 2 * h] + s @ p[f"U{d}"]
-                zr = _sig(pre)
-                z, r = zr[:, :h], zr[:, h:]
-                q = g[:, t, 2 * h :] + (r * s) @ p[f"V{d}"]
-                c = q / (1 + np.abs(q))
+                zr = _sig(g[:, t, : 2 * h] + s @ p[f"U{d}"])
+                z, r = zr[:, :h] * real[:, t, None], zr[:, h:]
+                c = np.tanh(g[:, t, 2 * h :] + (r * s) @ p[f"V{d}"])
                 new = s + z * (c - s)
                 if keep:
-                    tape[d].append((t, s, pre, zr, q, c))
+                    tape[d].append((t, s, z, r, c))
                 s = new
                 states[:, t, h * (d == "b") : h * (d == "b") + h] = s
-        e = states @ p["a"] + np.where(x[:, :, -1] > 0, 0, -30)
-        w = np.exp(e - e.max(1, keepdims=True))
-        w /= w.sum(1, keepdims=True)
+        w = np.exp(np.clip(states @ p["a"], -30, 30)) * real
+        w /= np.maximum(w.sum(1, keepdims=True), 1e-20)
         ctx = (w[:, :, None] * states).sum(1)
         out = ctx @ p["o"] + p["z"]
         return (out, (states, tape, w, ctx)) if keep else out
 
-    def backward(self, x: np.ndarray, kept, d_out: np.ndarray) -> dict[str, np.ndarray]:
+    def backward(self, x: np.ndarray, real: np.ndarray, kept, d_out: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the parameters and of the inputs."""
         (states, tape, w, ctx), p, h = kept, self.p, HIDDEN
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["o"], g["z"][0] = ctx.T @ d_out, d_out.sum()
@@ -128,85 +152,239 @@ class Net:
         d_e = w * (d_w - (w * d_w).sum(1, keepdims=True))
         g["a"] = np.einsum("nt,nth->h", d_e, states)
         d_states = w[:, :, None] * d_ctx[:, None] + d_e[:, :, None] * p["a"]
+        dx = np.zeros_like(x)
         for d in "fb":
-            ds = np.zeros((len(x), h), np.float32)
-            for t, s, pre, zr, q, c in reversed(tape[d]):
+            ds = np.zeros((len(x), h), x.dtype)
+            for t, s, z, r, c in reversed(tape[d]):
                 ds = ds + d_states[:, t, h * (d == "b") : h * (d == "b") + h]
-                z, r = zr[:, :h], zr[:, h:]
-                dq = ds * z / (1 + np.abs(q)) ** 2
+                dq = ds * z * (1 - c * c)
                 drs = dq @ p[f"V{d}"].T
-                dpre = np.concatenate([ds * (c - s), drs * s], 1) * 0.5 / (1 + np.abs(pre)) ** 2
-                dg = np.concatenate([dpre, dq], 1)
+                # A word that doesn't count has z = 0, and its gates get no gradient.
+                dzr = np.concatenate([ds * (c - s) * z * (1 - z), drs * s * r * (1 - r)], 1) * real[:, t, None]
+                dg = np.concatenate([dzr, dq], 1)
                 g[f"W{d}"] += x[:, t].T @ dg
                 g[f"c{d}"] += dg.sum(0)
-                g[f"U{d}"] += s.T @ dpre
+                g[f"U{d}"] += s.T @ dzr
                 g[f"V{d}"] += (r * s).T @ dq
-                ds = ds * (1 - z) + drs * r + dpre @ p[f"U{d}"].T
-        return g
-
-    def fit(self, rows: np.ndarray, win: np.ndarray, of: np.ndarray, y: np.ndarray, rounds: int = 12, steps: int = 40):
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v, k, rng = {a: b.copy() for a, b in m.items()}, 0, np.random.default_rng(9)
+                dx[:, t] += dg @ p[f"W{d}"].T
+                ds = ds * (1 - z) + drs * r + dzr @ p[f"U{d}"].T
+        return g, dx
+
+    def fit(self, rows: tuple[np.ndarray, ...], ids: np.ndarray, place: np.ndarray, of: np.ndarray, y: np.ndarray, rounds: int = 8, steps: int = 60, size: int = 128):
+        """Train on the windows of texts `of` with labels y that start at `place` of `ids`; `rows` are Vocabulary.rows() of the words from number 0."""
+        word, whose, flat, length = rows
+        flat = flat[np.argsort(whose, kind="stable")]
+        sizes = np.bincount(whose, minlength=len(word))
+        begin = np.cumsum(sizes) - sizes
+        rng, k, top = np.random.default_rng(9), 0, None
+        m = {a: np.zeros_like(v) for a, v in self.p.items()}
+        v = {a: b.copy() for a, b in m.items()}
+        seen = [np.full(len(self.words), 1e-6, np.float32), np.full(len(self.grams), 1e-6, np.float32)]
         start = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
+        many = np.diff(np.append(start, len(of)))
         for turn in range(rounds):
-            # At first the window with the most evidence stands for a text, then the network's highest.
-            s = rows[win][:, :, :2].max((1, 2)) if turn == 0 else self.logits(rows, win)
-            order = np.lexsort((-s, of))
-            top = order[start]
+            if turn % 2 == 0 and turn:  # at first any window may stand for its text, then the network's highest
+                gates = self.gates(self.inputs(word, np.repeat(np.arange(len(word)), sizes), flat, length))
+                got = np.concatenate([self.sweep(gates, ids[i : i + CHUNK + WINDOW])[: CHUNK // STRIDE] for i in range(0, len(ids), CHUNK)])
+                top = np.lexsort((-got[place // STRIDE], of))[start]
             for _ in range(steps):
-                i = rng.integers(0, len(y), 128)
-                x = rows[win[top[i]]]
-                out, kept = self.forward(x, True)
-                k += 1
-                for a, b in self.backward(x, kept, ((1 / (1 + np.exp(-out)) - y[i]) / len(i)).astype(np.float32)).items():
+                i = rng.integers(0, len(y), size)
+                at = top[i] if top is not None else start[i] + (rng.random(size) * many[i]).astype(np.int64)
+                got = ids[place[at][:, None] + np.arange(WINDOW)]
+                mine, to = np.unique(got, return_inverse=True)
+                to = to.reshape(got.shape)
+                own = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[mine], sizes[mine], strict=True)]).astype(np.int64)
+                grams = flat[own]
+                x = self.inputs(word[mine], np.repeat(np.arange(len(mine)), sizes[mine]), grams, length[mine])[to]
+                # Some words show only their letters, so that the n-grams learn too.
+                hide = rng.random(got.shape) < 0.2
+                x[hide, :WORD] = 0
+                real = (got > 0).astype(np.float32)
+                out, kept = self.forward(x, real, True)
+                rate, k = 1 - k / (rounds * steps), k + 1
+                g, dx = self.backward(x, real, kept, ((_sig(out) - y[i]) / size).astype(np.float32))
+                for a, b in g.items():
                     m[a] = 0.9 * m[a] + 0.1 * b
                     v[a] = 0.999 * v[a] + 0.001 * b * b
-                    self.p[a] = (self.p[a] - 0.02 * (m[a] / (1 - 0.9**k)) / (np.sqrt(v[a] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
+                    self.p[a] = (self.p[a] - 0.02 * rate * (m[a] / (1 - 0.9**k)) / (np.sqrt(v[a] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
+                # The tables: only rows of words in the batch move, by their summed gradient (Adagrad).
+                dx[hide, :WORD] = 0
+                each = np.zeros((len(mine), INPUTS), np.float32)
+                np.add.at(each, to.ravel(), dx.reshape(-1, INPUTS))
+                for table, total, at_, grad in ((self.words, seen[0], word[mine], each[:, :WORD]), (self.grams, seen[1], grams, np.repeat(each[:, WORD : WORD + CHAR] / np.maximum(sizes[mine], 1)[:, None], sizes[mine], axis=0))):
+                    row, back = np.unique(at_, return_inverse=True)
+                    d = np.zeros((len(row), table.shape[1]), np.float32)
+                    np.add.at(d, back, grad)
+                    total[row] += (d * d).mean(1)
+                    table[row] -= rate * (0.2 * d / np.sqrt(total[row])[:, None] + 1e-3 * table[row]) * (row > 0)[:, None]
+
+    def gates(self, x: np.ndarray) -> np.ndarray:
+        """What words add to all gates of both directions, one column for each gate: computed once a word. Signs and factors are those of sweep()."""
+        h = HIDDEN
+        sign = np.repeat([-1.0, -1.0, -2.0], h)
+        return np.concatenate([(x @ self.p[f"W{d}"] + self.p[f"c{d}"]) * sign for d in "fb"], axis=1).astype(np.float32)
+
+    def sweep(self, gates: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of the windows that start at every STRIDE-th of `ids`, the same as forward() of these windows.
+
+        All windows take a step together: step t of window k meets word k * STRIDE + t, so a step's words are one
+        slice of each residue's words. The pooled sum is kept as two numbers a window, so no states are stored.
+        """
+        h, n = HIDDEN, len(ids) // STRIDE
+        ids = np.concatenate([ids, np.zeros(WINDOW, ids.dtype)])
+        words = [gates[ids[r::STRIDE]].T.copy() for r in range(STRIDE)]  # (gates, windows and more)
+        real = [(ids[r::STRIDE] > 0).astype(np.float32) for r in range(STRIDE)]
+        there = lambda t: slice(t // STRIDE, t // STRIDE + n)
+        pool = np.empty((2, WINDOW, 2, n), np.float32)
+        pre, q, rs = (np.empty((k * h, n), np.float32) for k in (2, 1, 1))
+        for d in (0, 1):
+            name = "fb"[d]
+            u, v = (-self.p[f"U{name}"].T).astype(np.float32).copy(), (-2 * self.p[f"V{name}"].T).astype(np.float32).copy()
+            look = np.stack([self.p["a"][d * h : d * h + h], self.p["o"][d * h : d * h + h]]).astype(np.float32)
+            s = np.zeros((h, n), np.float32)
+            for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                g = words[t % STRIDE][3 * h * d : 3 * h * d + 3 * h, there(t)]
+                np.matmul(u, s, out=pre)
+                pre += g[: 2 * h]
+                np.minimum(pre, 30, out=pre)
+                np.exp(pre, out=pre)
+                pre += 1
+                np.reciprocal(pre, out=pre)
+                np.multiply(pre[h:], s, out=rs)
+                np.matmul(v, rs, out=q)
+                q += g[2 * h :]
+                np.minimum(q, 60, out=q)
+                np.exp(q, out=q)
+                q += 1
+                np.divide(2, q, out=q)
+                q -= 1
+                q -= s
+                q *= pre[:h]
+                q *= real[t % STRIDE][there(t)]
+                s += q
+                np.matmul(look, s, out=pool[d, t])
+        e = np.clip(pool[0, :, 0] + pool[1, :, 0], -30, 30)
+        np.exp(e, out=e)
+        for t in range(WINDOW):
+            e[t] *= real[t % STRIDE][there(t)]
+        return (e * (pool[0, :, 1] + pool[1, :, 1])).sum(0) / np.maximum(e.sum(0), 1e-20) + self.p["z"][0]
+
+
+def _starts(n: int) -> int:
+    """How many windows cover n words: the last one holds the last word."""
+    return 1 + max(0, -(-(n - WINDOW) // STRIDE))
+
+
+def _room(n: int) -> int:
+    """Places that n windows take: the next text begins at a multiple of STRIDE that none of them reaches."""
+    return -(-((n - 1) * STRIDE + WINDOW) // STRIDE) * STRIDE
+
+
+def windows(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all texts' words (padded with 0), where in them the windows start, and which text each is of."""
+    ids, place, of, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        x = np.array([tokens[w] for w in t.split()], np.int32)
+        n = _starts(len(x))
+        x = np.pad(x, (0, _room(n) - len(x)))
+        ids.append(x)
+        place.append(size + STRIDE * np.arange(n))
+        of += [k] * n
+        size += len(x)
+    return np.concatenate(ids), np.concatenate(place), np.array(of)
+
+
+class Scorer:
+    """Scores texts; the gate inputs of words stay from one call to the next."""
+
+    def __init__(self, vocabulary: Vocabulary, net: Net):
+        self.vocabulary, self.net = vocabulary, net
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens = Tokens()
+        # The padding word's own entry is never used: it doesn't count.
+        self.gates = np.zeros((1 << 14, 6 * HIDDEN), np.float32)
+
+    def learn(self) -> None:
+        first = self.tokens.count - len(self.tokens.fresh)
+        if first == self.tokens.count:
+            return
+        while self.tokens.count > len(self.gates):
+            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
+        self.gates[first : self.tokens.count] = self.net.gates(self.net.inputs(*self.vocabulary.rows(self.tokens.take())))
+
+    def top(self, texts: list[str]) -> np.ndarray:
+        """The highest logit of each text's windows. A long text goes through in parts of CHUNK words, which overlap by a window."""
+        out = np.full(len(texts), -np.inf)
+        ids, of, size = [], [], 0
+
+        def done():
+            nonlocal ids, of, size
+            if ids:
+                self.learn()
+                got = self.net.sweep(self.gates, np.concatenate(ids))
+                for k, at, n in of:
+                    out[k] = max(out[k], got[at : at + n].max())
+            ids, of, size = [], [], 0
 
-    def logits(self, rows: np.ndarray, win: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(rows[win[i : i + 4096]]) for i in range(0, len(win), 4096)])
+        for k, t in enumerate(texts):
+            if self.tokens.count > KEPT_WORDS:
+                done()
+                self.clear()
+            words = t.split()
+            total = _starts(len(words))
+            step = CHUNK // STRIDE
+            for a in range(0, total, step):
+                n = min(step, total - a)
+                part = [self.tokens[w] for w in words[a * STRIDE : (a + n - 1) * STRIDE + WINDOW]]
+                room = _room(n)
+                of.append((k, size // STRIDE, n))
+                ids.append(np.array(part + [0] * (room - len(part)), np.int64))
+                size += room
+                if size >= CHUNK:
+                    done()
+        done()
+        return out
+
+
+def train(texts: list[str], y: np.ndarray) -> tuple[Vocabulary, Net]:
+    vocabulary = Vocabulary(texts)
+    net, tokens = Net(len(vocabulary.words) + 1, vocabulary.n_grams + 1), Tokens()
+    ids, place, of = windows(texts, tokens)
+    net.fit(vocabulary.rows(["", *tokens.take()]), ids, place, of, y.astype(np.float32))
+    return vocabulary, net
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """`docs` with score: the probability that the text is toxic, from the text alone.
 
-    `labels` (doc_id, label) may hold any rows that may be learned from; null labels and ids are left
-    out. At most `train_rows` of each label, the first by hash of doc_id, fit the network. Without both
-    labels every score is the share of label 1 (0.5 without any). Null and empty texts score as one
-    empty window; the highest window decides, so a clean rest of a text hides nothing.
+    `labels` (doc_id, label) may hold any rows that may be learned from; null labels and ids are left out, an id
+    with several labels counts once for each. At most `train_rows` of each label, the first by hash of doc_id, fit
+    the network. Without both labels every score is the share of label 1 (0.5 without any). Null and empty texts
+    score as one empty window; the highest window decides, so a clean rest of a text hides nothing. Very long texts
+    go through in parts. Repeated rows score alike, a row each; other columns stay, but one named score gives way.
+    An empty table gives an empty table.
     """
     spark = docs.sparkSession
     ok = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     few = [ok.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for v in (0, 1)]
-    train = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").orderBy("doc_id").toPandas()
-    held, share = None, float(train.label.mean()) if len(train) else 0.5
-    if train.label.nunique() > 1:
-        y, texts = train.label.to_numpy(), [t or "" for t in train.text]
-        # Evidence for one half of the rows comes from the other, so that the network learns how far to trust it.
-        half = np.arange(len(y)) % 2 == 0
-        net, xs = Net(), []
-        for side in (half, ~half):
-            vec = Vectors(_odds([t for t, s in zip(texts, side, strict=True) if not s], y[~side]))
-            win, of = vec.windows([t for t, s in zip(texts, side, strict=True) if s])
-            xs.append((vec.rows[: vec.n], win, of, y[side]))
-        (r1, w1, o1, y1), (r2, w2, o2, y2) = xs
-        net.fit(np.concatenate([r1, r2]), np.concatenate([w1, np.where(w2 > 0, w2 + len(r1), 0)]), np.concatenate([o1, o2 + len(y1)]), np.concatenate([y1, y2]))
-        held = (_odds(texts, y), net)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").orderBy("doc_id", "label", F.xxhash64("text")).toPandas()
+    held, share = None, float(rows.label.mean()) if len(rows) else 0.5
+    if rows.label.nunique() > 1:
+        held = train([t or "" for t in rows.text], rows.label.to_numpy())
     model = spark.sparkContext.broadcast(cloudpickle.dumps(held))
 
     def make():
         got = cloudpickle.loads(model.value)
-        vec = Vectors(got[0]) if got else None
+        scorer = Scorer(*got) if got else None
 
         def f(texts, _):
             s = np.full(len(texts), share)
-            if got and len(texts):
-                win, of = vec.windows([t or "" for t in texts])
-                top = np.full(len(texts), -np.inf)
-                np.maximum.at(top, of, got[1].logits(vec.rows, win))
-                s = 1 / (1 + np.exp(-np.clip(top.astype(np.float64), -50, 50)))
+            if scorer and len(texts):
+                s = 1 / (1 + np.exp(-np.clip(scorer.top([t or "" for t in texts]), -50, 50)))
             return {"score": pa.array(s.astype(np.float64))}
 
         return f
 
-    return map_texts(docs, make, [("score", T.DoubleType())], rows=128)
+    return map_texts(docs, make, [("score", T.DoubleType())], rows=512)

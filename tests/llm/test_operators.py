@@ -107,19 +107,60 @@ def test_fingerprints(spark):
 
 
 def test_network_gradient():
-    net, rng = toxicity.Net(), np.random.default_rng(2)
-    x = np.abs(rng.normal(size=(3, toxicity.WINDOW, toxicity.INPUTS))).astype(np.float64)
+    net, rng = toxicity.Net(2, 2), np.random.default_rng(2)
+    x = rng.normal(size=(3, toxicity.WINDOW, toxicity.INPUTS))
+    real = np.ones((3, toxicity.WINDOW))
+    real[0, 9:] = 0
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    out, kept = net.forward(x, True)
-    g = net.backward(x, kept, np.ones(3))
-    for k in ("Wf", "Ub", "Vf", "a", "o"):
-        at = tuple(0 for _ in net.p[k].shape)
-        net.p[k][at] += 1e-2
-        up = net.forward(x).sum()
-        net.p[k][at] -= 2e-2
-        down = net.forward(x).sum()
-        net.p[k][at] += 1e-2
-        assert g[k][at] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=1e-3)
+    out, kept = net.forward(x, real, True)
+    g, dx = net.backward(x, real, kept, np.ones(3))
+
+    def slope(a, at):
+        a[at] += 1e-5
+        up = net.forward(x, real).sum()
+        a[at] -= 2e-5
+        down = net.forward(x, real).sum()
+        a[at] += 1e-5
+        return (up - down) / 2e-5
+
+    for k, v in net.p.items():
+        at = tuple(0 for _ in v.shape)
+        assert g[k][at] == pytest.approx(slope(v, at), rel=1e-3, abs=1e-6), k
+    for at in ((0, 3, 1), (0, 12, 1), (2, 15, 8)):
+        assert dx[at] == pytest.approx(slope(x, at), rel=1e-3, abs=1e-6)
+    assert dx[0, 12, 1] == 0
+
+
+def test_all_windows_score_as_a_plain_loop_does(monkeypatch):
+    """A text of several parts, a short, an empty and a repeated one: each scores as its highest window, looked at one by one."""
+    monkeypatch.setattr(toxicity, "CHUNK", 24)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["good", "vile,", "Plain", "the", "of", "..."]) for _ in range(n)) for n in (100, 3, 0, 16, 17)]
+    texts.append(texts[0])
+    vocabulary = toxicity.Vocabulary(texts * 3)
+    net = toxicity.Net(len(vocabulary.words) + 1, vocabulary.n_grams + 1)
+    got = toxicity.Scorer(vocabulary, net).top(texts)
+
+    def one(words):
+        x, real = np.zeros((1, toxicity.WINDOW, toxicity.INPUTS), np.float32), np.zeros((1, toxicity.WINDOW), np.float32)
+        for i, w in enumerate(words):
+            x[0, i], real[0, i] = net.inputs(*vocabulary.rows([toxicity._word(w)]))[0], 1
+        return net.forward(x, real)[0]
+
+    for text, score in zip(texts, got, strict=True):
+        w = text.split()
+        assert score == pytest.approx(max(one(w[i : i + toxicity.WINDOW]) for i in range(max(1, len(w) - toxicity.WINDOW + 1))), abs=1e-4)
+    assert got[0] == got[-1]
+
+
+def test_toxic_words_are_learned_wherever_they_stand(spark):
+    rng = random.Random(3)
+    fill = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    rows = [(i, " ".join(fill(rng.randrange(60)) + (["vile", "scum"] if i % 2 else []) + fill(rng.randrange(60)))) for i in range(120)]
+    rows += [(500, " ".join(fill(6000) + ["scum"] + fill(20))), (501, " ".join(fill(6000))), (502, None), (503, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(3, 0), (None, 1), (5, None)], "doc_id long, label int")
+    out = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string"), labels).collect()}
+    assert all((out[i] > 0.5) == bool(i % 2) for i in range(100, 120)) and out[500] > 0.5 > out[501] and out[502] == out[503]
 
 
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
