@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as its learned word vector, the mean of the learned vectors of its character n-grams and its
-length. Both tables of vectors are trained with the network. All overlapping windows of WINDOW words are
+length. Both tables of vectors are trained with the network; a word's vector starts at its log odds. All overlapping windows of WINDOW words are
 scored (one every STRIDE words); a text scores as its highest window does, and training follows each text's
 highest window in turn.
 """
@@ -58,18 +58,24 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     """Rows of the two tables for the words and (hashed) character n-grams that stand in MIN_ROWS training texts or more; row 0 is for all others."""
 
-    def __init__(self, texts: list[str]):
-        words, known = Counter(), {}
+    def __init__(self, texts: list[str], labels: np.ndarray):
+        words, known = [Counter(), Counter()], {}
         held = np.zeros(1 << GRAM_BITS, np.int64)
-        for t in texts:
+        for t, label in zip(texts, labels, strict=True):
             own = {_word(r) for r in t.split()} - {""}
-            words.update(own)
+            words[int(label)].update(own)
             if fresh := sorted(own - known.keys()):
                 whose, bucket = grams(fresh)
                 known |= dict(zip(fresh, np.split(bucket[np.argsort(whose, kind="stable")], np.cumsum(np.bincount(whose, minlength=len(fresh)))[:-1]), strict=True))
             if own:
                 held[np.unique(np.concatenate([known[w] for w in own]))] += 1
-        self.words = {w: i for i, w in enumerate(sorted(w for w, n in words.items() if n >= MIN_ROWS), 1)}
+        names = sorted(w for w, n in (words[0] + words[1]).items() if n >= MIN_ROWS)
+        self.words = {w: i for i, w in enumerate(names, 1)}
+        # Log odds of the label by the words' texts, small for rare words: where a word's vector starts.
+        one, zero = (np.array([0, *(words[v][w] for w in names)], np.float64) for v in (1, 0))
+        ones = np.sum(np.asarray(labels) == 1)
+        self.odds = ((np.log((one + 1) / (ones + 2)) - np.log((zero + 1) / (len(texts) - ones + 2))) * (one + zero) / (one + zero + 4)).astype(np.float32)
+        self.odds[0] = 0
         often = held >= MIN_ROWS
         self.buckets = np.where(often, np.cumsum(often), 0).astype(np.int32)
         self.n_grams = int(often.sum())
@@ -105,11 +111,12 @@ def _sig(x):
 
 
 class Net:
-    def __init__(self, words: int, grams: int):
+    def __init__(self, odds: np.ndarray, grams: int):
         rng, h = np.random.default_rng(7), HIDDEN
         r = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
         self.p = {f"{k}{d}": v for d in "fb" for k, v in (("W", r(INPUTS, 3 * h)), ("U", r(h, 2 * h)), ("V", r(h, h)), ("c", np.zeros(3 * h, np.float32)))} | {"a": r(2 * h), "o": r(2 * h), "z": np.zeros(1, np.float32)}
-        self.words, self.grams = r(words, WORD), r(grams, CHAR)
+        self.words, self.grams = r(len(odds), WORD), r(grams, CHAR)
+        self.words[:, 0] = odds
         self.words[0] = self.grams[0] = 0
 
     def inputs(self, word: np.ndarray, whose: np.ndarray, grams: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -176,21 +183,23 @@ class Net:
         flat = flat[np.argsort(whose, kind="stable")]
         sizes = np.bincount(whose, minlength=len(word))
         begin = np.cumsum(sizes) - sizes
-        rng, k, top = np.random.default_rng(9), 0, None
+        rng, k = np.random.default_rng(9), 0
         m = {a: np.zeros_like(v) for a, v in self.p.items()}
         v = {a: b.copy() for a, b in m.items()}
         seen = [np.full(len(self.words), 1e-6, np.float32), np.full(len(self.grams), 1e-6, np.float32)]
         start = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
-        many = np.diff(np.append(start, len(of)))
         for turn in range(rounds):
-            if turn % 2 == 0 and turn:  # at first any window may stand for its text, then the network's highest
+            if turn == 0:  # at first the window with the word that speaks loudest stands for its text, then the network's highest
+                loud = np.append(self.words[word, 0][ids], np.zeros(WINDOW, np.float32))
+                loud = np.lib.stride_tricks.sliding_window_view(loud, WINDOW)[place].max(1)
+                top = np.lexsort((-loud, of))[start]
+            elif turn % 2 == 0:
                 gates = self.gates(self.inputs(word, np.repeat(np.arange(len(word)), sizes), flat, length))
                 got = np.concatenate([self.sweep(gates, ids[i : i + CHUNK + WINDOW])[: CHUNK // STRIDE] for i in range(0, len(ids), CHUNK)])
                 top = np.lexsort((-got[place // STRIDE], of))[start]
             for _ in range(steps):
                 i = rng.integers(0, len(y), size)
-                at = top[i] if top is not None else start[i] + (rng.random(size) * many[i]).astype(np.int64)
-                got = ids[place[at][:, None] + np.arange(WINDOW)]
+                got = ids[place[top[i]][:, None] + np.arange(WINDOW)]
                 mine, to = np.unique(got, return_inverse=True)
                 to = to.reshape(got.shape)
                 own = np.concatenate([np.arange(b, b + n) for b, n in zip(begin[mine], sizes[mine], strict=True)]).astype(np.int64)
@@ -349,8 +358,8 @@ class Scorer:
 
 
 def train(texts: list[str], y: np.ndarray) -> tuple[Vocabulary, Net]:
-    vocabulary = Vocabulary(texts)
-    net, tokens = Net(len(vocabulary.words) + 1, vocabulary.n_grams + 1), Tokens()
+    vocabulary = Vocabulary(texts, y)
+    net, tokens = Net(vocabulary.odds, vocabulary.n_grams + 1), Tokens()
     ids, place, of = windows(texts, tokens)
     net.fit(vocabulary.rows(["", *tokens.take()]), ids, place, of, y.astype(np.float32))
     return vocabulary, net
