@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. A session that names none must be local, and gets a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(sc, "_revlens_shared", None)
     if own is None:
         own = sc._revlens_shared = tempfile.mkdtemp(prefix="revlens-")
@@ -33,12 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """Tables written to the shared folder, so that a lost executor costs no more than the stage in hand."""
+    """Tables written to the shared folder, so that a lost executor costs no more than the stage in hand.
+
+    A result may read them lazily, so what drop() leaves goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/revlens-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self.n += 1
@@ -47,6 +56,8 @@ class Stored:
         (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._revlens_path = path
+        # Spark's cleaner deletes a query's shuffle files once the driver has collected the query.
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *dfs: DataFrame | None) -> None:
