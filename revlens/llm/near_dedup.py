@@ -127,90 +127,123 @@ def _block_links(t: pa.Table, percent: int) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 64, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash, stays) for each row of `docs` (doc_id, text); other columns are left out.
+
+    `kept` marks rows whose id is their component's; `stays` marks, of each component, rows of one id and one text
+    (text_hash is xxhash64 of the text), and all rows that are linked with nothing.
 
     Null, empty and blank texts have no shingles and are linked with nothing; so are null ids, whose
-    component is null and which are kept. Rows of equal id fall into one component. Bands miss a link
-    at the threshold itself once in about 2e7.
+    component is null and which are kept. Texts of equal sets are one node, whatever their ids; rows of one id with
+    different texts are nodes of their own, and each is kept unless its component holds a smaller id. Bands miss a
+    link at the threshold itself once in about 2e7. A set takes 8 bytes a word of a text and must fit a worker.
+    An empty table gives an empty table.
     """
     store = Stored(docs.sparkSession)
+    n_bands = 2 * hashes // rows
 
-    def sets():
+    def scan():
         known: dict[bytes, int] = {}
 
         def f(texts, _):
             found = [shingle_set(t, width, known) for t in texts]
-            return {"n_shingles": pa.array([len(s) for s in found], pa.int64()), "cls": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary())}
+            bands = [[xxhash.xxh3_64_intdigest(x.tobytes(), seed=k) for k, x in enumerate(min_max(s, hashes).reshape(n_bands, rows))] if len(s) else [] for s in found]
+            return {
+                "n_shingles": pa.array([len(s) for s in found], pa.int64()),
+                "cls": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
+                "bands": pa.array([np.array(b, np.uint64).view(np.int64) for b in bands], pa.list_(pa.int64())),
+            }
 
         return f
 
-    sized = store.put(map_texts(docs.select("doc_id", "text"), sets, [("n_shingles", T.LongType()), ("cls", T.BinaryType())]).drop("text"))
-    classes = store.put(sized.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("id")))
-
-    def band(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for part in parts:
-            for i in range(0, part.num_rows, 512):
-                ids, bands = [], []
-                for doc, text in zip(part.column(0)[i : i + 512].to_pylist(), part.column(1)[i : i + 512].to_pylist(), strict=True):
-                    if len(s := shingle_set(text, width, known)):
-                        b = min_max(s, hashes).reshape(-1, rows)
-                        bands += [xxhash.xxh3_64_intdigest(x.tobytes(), seed=k) for k, x in enumerate(b)]
-                        ids += [doc] * len(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(bands, np.uint64).view(np.int64)), pa.array(ids, pa.int64())], ["band", "id"])
-
-    reps = docs.select("doc_id", "text").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = store.put(reps.mapInArrow(band, "band long, id long"))
-    many = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    bands2 = store.put(bands.join(many, "band"))
+    fields = [("n_shingles", T.LongType()), ("cls", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
+    sized = store.put(map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), scan, fields, rows=512).drop("text"))
+    # Texts of equal sets are one node: a number, the smallest id, the size.
+    nodes = sized.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    nodes = store.put(nodes.withColumn("id", F.monotonically_increasing_id()))
+    bands = store.put(sized.join(nodes.select("cls", "doc_id", "id"), ["cls", "doc_id"]).select("id", F.explode("bands").alias("band")))
+    many = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("band", "n", "lead")
+    shared = store.put(bands.join(many, "band"))
     store.drop(bands)
-    # Only documents that share a bucket need their sets again.
-    need = bands2.select(F.col("id").alias("doc_id")).distinct()
+    # Only nodes that share a bucket need their sets again: texts of their ids, and of these the rows of their class.
+    need = shared.select("id").distinct().join(nodes, "id")
 
     def whole():
         known: dict[bytes, int] = {}
-        return lambda texts, _: {"s": pa.array([shingle_set(t, width, known).tobytes() for t in texts], pa.binary())}
 
-    full = store.put(map_texts(docs.select("doc_id", "text").join(need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), whole, [("s", T.BinaryType())], rows=256).select(F.col("doc_id").alias("id"), "s"))
+        def f(texts, _):
+            found = [shingle_set(t, width, known).tobytes() for t in texts]
+            return {"s": pa.array(found, pa.binary()), "cls": pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary())}
+
+        return f
+
+    again = docs.select("doc_id", "text").join(need.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    full = map_texts(again, whole, [("s", T.BinaryType()), ("cls", T.BinaryType())], rows=256)
+    full = store.put(full.join(need.select("cls", "doc_id", "id"), ["cls", "doc_id"]).select("id", "s"))
+    sizes = nodes.select("id", "size")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+        """The links (a, b) among pairs (a, b). Members of one a, at most about 256 of them a group, meet its set in one stream."""
+        groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
+        member = pairs.join(groups, "a").join(full.withColumnRenamed("id", "b"), "b").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", "s")
+        lead = groups.join(full.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "s")
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, None
             for part in parts:
                 ok = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    common = 0
-                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                        common = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(p) + len(q) - common))
+                for a, b, x in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("s"), strict=True):
+                    q = np.frombuffer(x.as_buffer(), np.uint64)
+                    if b is None:
+                        now, held = a, q.copy()
+                        ok.append(False)
+                        continue
+                    assert a == now
+                    common = len(np.intersect1d(held, q, assume_unique=True))
+                    ok.append(100 * common >= percent * (len(held) + len(q) - common))
                 keep = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
-
-        return both.mapInArrow(run, "a long, b long")
-
-    # First each member against its bucket's smallest id: one pair a row.
-    links = store.put(confirm(bands2.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+
+        met = lead.unionByName(member).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return met.mapInArrow(run, "a long, b long")
+
+    # Each member could link with the smallest of its buckets, where the sizes allow it.
+    pairs = shared.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("times"))
+    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
+    pairs = store.put(pairs.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b", "times"))
+    # First with the one that it shares most buckets with, then with those that are still in another component.
+    best = pairs.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    links = store.put(confirm(best))
+    labels = connected(store, links)
+    of = lambda df, col, out: df.join(labels.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
+    apart = of(of(pairs.join(best, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    links = store.put(links.unionByName(confirm(store.put(apart))))
     labels = connected(store, links)
     # Then what these links leave apart: members of one bucket in different components.
-    sizes = full.select("id", F.octet_length("s").alias("bytes"))
-    held = bands2.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).join(sizes, "id").select("band", "n", "id", "c", "bytes")
+    held = of(shared, "id", "c").join(full.select("id", F.octet_length("s").alias("bytes")), "id").select("band", "n", "id", "c", "bytes")
     split = held.groupBy("band").agg((F.min("c") != F.max("c")).alias("split"), F.sum("bytes").alias("all")).where("split").select("band", "all")
     open_ = store.put(held.join(split, "band"))
     # Small buckets give at most FEW - 1 pairs a row.
-    few = open_.where(F.col("n") <= FEW)
-    other = few.select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-    pairs = few.select("band", F.col("id").alias("a"), F.col("c").alias("ca")).join(other, "band").where("a < b AND ca <> cb").select("a", "b")
+    few = open_.where(F.col("n") <= FEW).join(sizes, "id")
+    other = few.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("size").alias("nb"))
+    close = few.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("size").alias("na")).join(other, "band").where("a < b AND ca <> cb")
+    close = close.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     # Larger ones go through counts of common shingles, in groups of two blocks; every two blocks meet.
     k = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_BYTES), F.lit(2)).cast("int")
     mine = F.pmod(F.xxhash64("id"), k).cast("int")
     dealt = open_.where(F.col("n") > FEW).select("band", "id", "c", mine.alias("i"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j")).where("i <> j")
     groups = dealt.select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "c").join(full, "id")
     dense = groups.groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
-    more = store.put(confirm(pairs).unionByName(dense))
-    store.drop(open_, bands2)
+    more = store.put(confirm(store.put(close)).unionByName(dense))
+    store.drop(open_, shared)
     found = connected(store, links.unionByName(more))
-    member = classes.join(found, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
-    out = sized.join(member, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    member = store.put(nodes.join(found, "id", "left").select("cls", "doc_id", F.coalesce("component", "id").alias("c")))
+    first = member.groupBy("c").agg(F.min("doc_id").alias("component"))
+    named = store.put(member.join(first, "c").select("cls", "c", "component"))
+    # The smallest id of a component may stand in several rows, with texts that differ: the smallest hash stays.
+    here = sized.select("doc_id", "cls", "text_hash").join(named.withColumnRenamed("component", "doc_id"), ["cls", "doc_id"])
+    one = here.groupBy("c").agg(F.min("text_hash").alias("one"))
+    named = named.join(one, "c").drop("c")
+    out = sized.join(named, "cls", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    alone = F.col("cls").isNull() | F.col("doc_id").isNull()
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "text_hash", (alone | (F.col("kept") & (F.col("text_hash") == F.col("one")))).alias("stays"))

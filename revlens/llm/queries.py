@@ -52,7 +52,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+    out = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

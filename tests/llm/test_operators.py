@@ -321,3 +321,22 @@ def test_copies_take_one_place_in_the_language_sample(spark):
     texts = [f"text {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}" for i in range(8)]
     once, many = (language.text_model(spark.createDataFrame([(t, "en") for t in texts for _ in range(n)], "text string, lang string"), rows=5) for n in (1, 9))
     assert once[0] == many[0] == ["en"] and np.allclose(once[1], many[1])
+
+
+def test_rows_of_one_id_and_repeated_rows(spark):
+    """Different texts of one id are nodes of their own; of each component one id's one text stays."""
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "other")
+    rows = [(1, text), (1, "quite another text of six words"), (2, near), (3, near), (3, near), (None, text), (4, None), (5, " \n"), (6, "one two")]
+    rows += [(7, "quite another text of six words."), (1, text.replace(" ", "  ")), (8, "One  TWO")]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    assert {r.component_id for r in by[2] + by[3]} == {1} and not any(r.kept for r in by[2] + by[3])
+    assert by[None][0].component_id is None and by[None][0].kept and by[4][0].kept and by[5][0].n_shingles == 0
+    assert by[8][0].component_id == 6 and by[6][0].kept
+    stay = [r for r in out if r.stays]
+    assert sorted((r.doc_id or 0, r.n_shingles) for r in stay) == [(0, 36), (1, 2), (1, 36), (4, 0), (5, 0), (6, 1), (7, 2)]
+    assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
