@@ -25,9 +25,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    kept = near_dedup.near_duplicates(docs, width=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One document of each group of near copies stays, that of the smallest id; repeated rows count as copies.
+
+    Documents without words and those without an id are in no group and stay, a row each.
+    """
+    found = near_dedup.near_duplicates(docs, width=5, percent=80).where("stays").select("doc_id", "text_hash", "n_shingles").distinct()
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    grouped = keyed.join(found.where("n_shingles > 0 AND doc_id IS NOT NULL"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    blank = keyed.join(found.where("n_shingles = 0 AND doc_id IS NOT NULL"), ["doc_id", "text_hash"], "left_semi")
+    return grouped.unionByName(blank).unionByName(keyed.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
