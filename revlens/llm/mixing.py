@@ -8,7 +8,7 @@ order until the sample has its fixed size in words (the document at the edge goe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.common import Stored
@@ -52,11 +52,11 @@ def source_targets(store: Stored, sizes: DataFrame, max_times: float = 3.0, shar
 
 
 def mix(docs: DataFrame, max_times: float = 3.0, share: float = 1.0, weights: int = 3, seed: int = 17) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies), a row for each row of `docs` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies), a row for each row of `docs` (doc_id, text, source); other columns are left out.
 
-    Ranks come from a hash of doc_id, seed and text, so reruns agree; equal rows are told apart by their
-    order, and are interchangeable. Null doc_id, text and source are values like others; a null or empty
-    text has size 0 and is never taken. An empty table gives an empty table.
+    Ranks come from a hash of doc_id, seed and text, so reruns agree. Rows equal in all three are interchangeable: of
+    those at the edge, as many are taken as the target asks for. Null doc_id, text and source are values like others; a
+    null or empty text has size 0 and is never taken; a long text counts whole. An empty table gives an empty table.
     """
     store = Stored(docs.sparkSession)
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed), F.xxhash64("text")), 11).cast("double") + 0.5) / float(1 << 53)
@@ -69,10 +69,23 @@ def mix(docs: DataFrame, max_times: float = 3.0, share: float = 1.0, weights: in
     ranked = store.put(sized.join(targets, same).select(sized["source"], "doc_id", "size", "u", "source_size", "target", "whole", "rest", rank.alias("rank")))
     edge = _edge(store, ranked)
     same = ranked["source"].eqNullSafe(edge["source"])
-    first = F.col("rank") < F.col("edge_rank")
-    tied = (F.col("rank") == F.col("edge_rank")) & (F.struct("u", F.coalesce("doc_id", F.lit(0))) <= F.struct("edge_u", "edge_id"))
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.coalesce(first | tied, F.lit(False)).cast("long"))
-    return ranked.join(edge.withColumnRenamed("source", "edge_source"), ranked["source"].eqNullSafe(F.col("edge_source")), "left").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    mine = F.struct("rank", "u", F.coalesce("doc_id", F.lit(0)))
+    at = F.struct("edge_rank", "edge_u", "edge_id")
+    met = ranked.join(edge.withColumnRenamed("source", "edge_source"), ranked["source"].eqNullSafe(F.col("edge_source")), "left")
+    met = met.withColumn("tied", F.coalesce((mine == at) & (F.col("size") > 0), F.lit(False))).withColumn("drawn", F.coalesce(mine < at, F.lit(False)))
+    some = F.col("tied") & (F.col("edge_take") < F.col("edge_rows"))
+
+    def rows(df: DataFrame, drawn: Column) -> DataFrame:
+        copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + drawn.cast("long"))
+        return df.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+
+    # Equal rows at the edge of which some are taken: numbered within the partition they are stored in, then by partition.
+    equal = store.put(met.where(some).withColumn("part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id"))
+    before = equal.groupBy("source", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(_by("part")) - F.col("n"))
+    before = before.select(F.col("source").alias("bs"), F.col("part").alias("bp"), "before")
+    numbered = equal.withColumn("k", within).join(before, F.col("source").eqNullSafe(F.col("bs")) & (F.col("part") == F.col("bp")))
+    return rows(met.where(~some), F.col("tied") | F.col("drawn")).unionByName(rows(numbered, F.col("k") + F.col("before") <= F.col("edge_take")))
 
 
 def _edge(store: Stored, ranked: DataFrame) -> DataFrame:
@@ -91,23 +104,23 @@ def _edge(store: Stored, ranked: DataFrame) -> DataFrame:
         # Where rest > all, the last bin is the hit; every source that has rows has one hit.
         nxt = left.join(hit, F.col("source").eqNullSafe(F.col("hs")) & (F.shiftright("rank", shift) == F.col("hb")))
         left = store.put(nxt.select("source", "rank", "u", "size", "id", (F.col("rest") - F.col("before")).alias("rest")))
-    order = _by("rank", "u", "id")
-    rows = left.withColumn("up_to", F.sum("size").over(order)).withColumn("before", F.col("up_to") - F.col("size"))
+    # Equal rows are one row here, with their number.
+    rows = left.groupBy("source", "rank", "u", "id", "size", "rest").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("before", F.sum(F.col("n") * F.col("size")).over(_by("rank", "u", "id")) - F.col("n") * F.col("size"))
     # The document at the edge is taken if that comes nearer to the target.
-    near = (F.col("up_to") <= F.col("rest")) | ((F.col("before") < F.col("rest")) & (F.col("up_to") - F.col("rest") <= F.col("rest") - F.col("before")))
-    taken = rows.where(near).groupBy("source").agg(F.max(F.struct("rank", "u", "id")).alias("e"))
+    open_ = F.greatest(F.col("rest") - F.col("before"), F.lit(0.0))
+    fit = F.floor(open_ / F.col("size"))
+    rows = rows.withColumn("take", F.least(F.col("n"), fit + ((open_ > 0) & (2 * (open_ - fit * F.col("size")) >= F.col("size"))).cast("long")))
+    taken = rows.where("take > 0").groupBy("source").agg(F.max(F.struct("rank", "u", "id", "take", "n")).alias("e"))
     # Where the last bin gives none, all of the bins before it are taken: the edge lies just before its first row.
     none = rows.groupBy("source").agg(F.min("rank").alias("lo"))
-    return none.join(taken.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts")), "left").select("source", F.coalesce("e.rank", F.col("lo")).alias("edge_rank"), F.coalesce("e.u", F.lit(-1.0)).alias("edge_u"), F.coalesce("e.id", F.lit(0).cast("long")).alias("edge_id"))
+    out = none.join(taken.withColumnRenamed("source", "ts"), F.col("source").eqNullSafe(F.col("ts")), "left")
+    return out.select("source", F.coalesce("e.rank", F.col("lo")).alias("edge_rank"), F.coalesce("e.u", F.lit(-1.0)).alias("edge_u"), F.coalesce("e.id", F.lit(0).cast("long")).alias("edge_id"), F.coalesce("e.take", F.lit(0).cast("long")).alias("edge_take"), F.coalesce("e.n", F.lit(0).cast("long")).alias("edge_rows"))
 
 
 def _by(*cols: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy("source").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _all():
-    from pyspark.sql import Window
-
     return Window.partitionBy("source")
