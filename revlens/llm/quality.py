@@ -21,21 +21,20 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import map_texts
 
-#: Token buckets, width of a vector, nonzero entries of an index vector.
-BUCKETS, WIDTH, NONZERO = 8192, 32, 4
+#: Buckets that words are hashed to, width of a vector, nonzero entries of an index vector.
+BUCKETS, WIDTH, NONZERO = 1 << 16, 32, 4
 #: At most so many labelled rows of each label fit the network.
 TRAIN_ROWS = 3000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
 class _Ids(dict):
-    """Bucket of a token: short words and marks by themselves, long ones by case, shape and ending."""
+    """Bucket of a token, by the token itself."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        key = word if len(word) <= 4 else f"{word.isupper():d}{word[0].isupper():d}{min(len(word), 20) // 4}{word[-3:]}"
-        out = self[word] = xxhash.xxh32_intdigest(key.encode("utf-8", "surrogatepass")) % BUCKETS
+        out = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % BUCKETS
         return out
 
 
@@ -55,7 +54,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         at, sign = _index()
         ids, total = _Ids(), np.zeros(BUCKETS * WIDTH)
         for part in parts:
-            for i in range(0, part.num_rows, 512):
+            for i in range(0, part.num_rows, 2048):
                 runs = [x for t in part.column(0)[i : i + 512].to_pylist() for x in (token_ids(t, ids), np.array([-1]))]
                 x = np.concatenate(runs)
                 a, b = x[:-1], x[1:]
@@ -66,9 +65,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                         total += np.bincount(me * WIDTH + at[other, k], weights=sign[other, k], minlength=len(total))
         m = total.reshape(BUCKETS, WIDTH)
         rows = np.flatnonzero(m.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(list(m[rows]), pa.list_(pa.float64()))], ["bucket", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(list(m[rows].astype(np.float32)), pa.list_(pa.float32()))], ["bucket", "v"])
 
-    parts = docs.select("text").mapInArrow(run, "bucket int, v array<double>")
+    parts = docs.select("text").mapInArrow(run, "bucket int, v array<float>")
     sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(WIDTH)]).alias("v")).toArrow()
     out = np.zeros((BUCKETS, WIDTH), np.float32)
     if sums.num_rows:
@@ -122,7 +121,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     `labels` (doc_id, label) may hold any rows that may be learned from; those of null label or id are
     left out. At most `train_rows` of each label, the first by hash of doc_id, fit the network; a tenth
     of them calibrates it. Without both labels every score is the share of label 1 (0.5 without any).
-    Null and empty texts are scored as documents without words.
+    Null and empty texts are scored as documents without words, long ones whole. An id with several labels counts
+    once for each; repeated rows score alike, a row each; other columns stay, but one named score gives way. An empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     ok = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
