@@ -1,8 +1,9 @@
 """HTML extraction by minimum-cut labelling.
 
-A page becomes blocks with features of their place and text. A log-linear classifier gives each block the
-costs of being labelled content and boilerplate, which become terminal capacities; adjacency and DOM
-proximity become smoothness edges. The minimum cut, found by augmenting paths, labels the blocks.
+A page's text blocks and the elements that hold them are the nodes of a graph. A log-linear classifier of each
+node's own features (an element's name and classes, a block's words and links) gives the costs of labelling it
+content and boilerplate, which become terminal capacities. DOM proximity (element and child) and adjacency
+(neighbouring blocks) become smoothness edges. The minimum cut labels all nodes; blocks on the source's side stay.
 """
 
 from __future__ import annotations
@@ -17,129 +18,238 @@ from pyspark.sql import types as T
 
 from revlens.llm.common import map_texts
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Comments, raw elements with all they hold, tags and declarations. A tag whose quotes don't close ends at its first '>' or before the next '<'.
+_PIECE = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|template|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][\w:-]*)(?:((?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*+)>|([^<>]*)(?:>|(?=<)|\Z))"
+    r"|<[!?/][^>]*(?:>|\Z)",
+    re.S | re.I,
+)
+_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Weights of the classifier's log odds for content: by element, then by words in class, id or role.
-_ELEMENT = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "dialog": -9.0, "menu": -9.0, "header": -6.0, "head": -20.0}
-_HINT = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|comments?|replies|disqus|related|share|social|widget|login|search)(?:$|[\s_-])", re.I)
+_ALONE = frozenset("p li tr td th dt dd option".split())
+#: Weights of an element's log odds for content, by its name.
+_ELEMENT = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "dialog": -9.0, "menu": -9.0, "noscript": -9.0, "svg": -9.0, "header": -6.0, "head": -20.0, "title": -20.0}
+#: A class, id or role speaks against content if it is such a word, or joins such a word with a word for a part of a page.
+_HINT = "ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|cookie|cookies|consent|notice|alert|popup|modal|newsletter|subscribe|signup|comment|comments|replies|disqus|related|share|sharing|social|widget|login|search"
+_PART = r"bar|box|block|area|container|wrap|wrapper|section|list|links?|form|item|items|banner|text|inner|outer|top|bottom|left|right|main|site|page|post|article|content|slot|unit|widget|buttons?|icons?|thread|\d+"
+_CLASS = re.compile(rf"(?:(?:{_PART})[_-])*(?:{_HINT})(?:[_-](?:{_PART}|{_HINT}))*", re.I)
 _HINT_WEIGHT, _LINK_WEIGHT, _WORD_WEIGHT, _BIAS = -9.0, -4.0, 0.4, -1.0
-#: Smoothness: blocks side by side in one container, and blocks side by side elsewhere.
-_NEAR, _ADJACENT = 1.0, 0.2
+#: Smoothness. What it costs to keep a child of boilerplate, and to leave out a child of content: a block below a sure
+#: element, a block elsewhere, an element of no evidence. Then for neighbouring blocks of one element, and of two.
+#: What holds for elements counts once for each block below them, so an element's evidence weighs as much as its blocks'.
+_DOWN, _SURE, _LOOSE, _SAME, _NEAR, _ADJACENT = 12.0, 5.0, 0.3, 3.0, 1.0, 0.2
 _SPACE = re.compile(r"\s+")
 
 
-class _Block:
-    __slots__ = ("parts", "linked", "odds", "parent")
+class Graph:
+    """Text blocks and elements of a page, with the log odds of each and edges (a, b, cost if only a is content, cost if only b is)."""
 
-    def __init__(self, odds: float, parent: int):
-        self.parts, self.linked, self.odds, self.parent = [], 0, odds, parent
+    def __init__(self, page: str):
+        self.odds: list[float] = [0.0]  # node 0 is the page
+        self.edges: list[tuple[int, int, float, float]] = []
+        self.texts: list[str] = []
+        self.nodes: list[int] = []  # the node of each text
+        above: list[tuple[int, int, float]] = []  # elements that hold something: node, parent, what leaving it out costs
+        held: list[int] = []  # the element of each block
+        parts: list[str] = []
+        linked = 0
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, node, below an article, has evidence
+        at, link, last = 0, 0, None
 
+        def text(raw: str) -> None:
+            nonlocal linked
+            if raw:
+                raw = html.unescape(raw)
+                parts.append(raw)
+                if link:
+                    linked += len(raw)
 
-def blocks(page: str) -> list[_Block]:
-    """The page's text blocks in order, each with the log odds of its ancestors."""
-    out: list[_Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # name, summed log odds, number of the container
-    at, n, link, open_ = 0, 0, 0, None
+        def close() -> None:
+            nonlocal linked, last
+            got = _SPACE.sub(" ", "".join(parts)).strip() if parts else ""
+            if got:
+                parent, sure = stack[-1][1], stack[-1][2]
+                node = len(self.odds)
+                words = got.count(" ", 0, 400) + 1
+                self.odds.append(_BIAS + _WORD_WEIGHT * min(words, 10) + _LINK_WEIGHT * (linked > len(got) / 2))
+                self.edges.append((parent, node, _SURE if sure else _LOOSE, _DOWN))
+                held.append(parent)
+                if last:
+                    near = _NEAR if last[1] == parent else _ADJACENT
+                    self.edges.append((last[0], node, near, near))
+                last = (node, parent)
+                self.texts.append(got)
+                self.nodes.append(node)
+            parts.clear()
+            linked = 0
 
-    def text(raw: str) -> None:
-        nonlocal open_
-        if raw:
-            if open_ is None:
-                open_ = _Block(stack[-1][1], stack[-1][2])
-                out.append(open_)
-            raw = html.unescape(raw)
-            open_.parts.append(raw)
-            if link:
-                open_.linked += len(raw)
+        for m in _PIECE.finditer(page):
+            text(page[at : m.start()])
+            at = m.end()
+            name = (m[3] or "").lower()
+            if not name:
+                continue
+            if name == "a":
+                link = 0 if m[2] else 1
+            if name in _INLINE:
+                if name == "br" and parts:
+                    parts.append(" ")
+                continue
+            close()
+            if m[2]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        break
+            elif name not in _VOID:
+                if name in _ALONE and stack[-1][0] == name:
+                    stack.pop()
+                _, parent, sure, _ = stack[-1]
+                weight = 0.0 if name == "header" and sure else _ELEMENT.get(name, 0.0)  # an article's own head
+                attrs = m[4] or m[5]
+                if attrs and name not in ("html", "body", "article", "main") and any(_CLASS.fullmatch(c) for v in _NAMED.findall(attrs) for c in "".join(v).split()):
+                    weight += _HINT_WEIGHT
+                if weight or name not in _ALONE and not re.fullmatch("h[1-6]", name):
+                    node = len(self.odds)
+                    self.odds.append(weight)
+                    # An element with evidence of its own may differ from content that holds it for nothing.
+                    above.append((node, parent, 0.0 if weight else _SAME if sure else _LOOSE))
+                    stack.append((name, node, weight > 0 or sure and not weight, bool(weight)))
+                else:  # a paragraph is no node of its own
+                    stack.append((name, parent, sure, False))
+        text(page[at:])
+        close()
+        blocks = [0] * len(self.odds)
+        for parent in held:
+            blocks[parent] += 1
+        for node, parent, _ in reversed(above):  # a parent's number is the smaller one
+            blocks[parent] += blocks[node]
+        for node, parent, cost in above:
+            self.odds[node] *= blocks[node]
+            self.edges.append((parent, node, cost * blocks[node], _DOWN * blocks[node]))
 
-    for m in _PIECE.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
+
+def minimum_cut(odds: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
+    """Which nodes lie on the source's side of a minimum cut; of several, of that with the fewest such nodes.
+
+    Node i has terminal capacities max(odds, 0) and max(-odds, 0); an edge (a, b, c, d) costs c if only a is on the
+    source's side, d if only b is. Nodes whose odds outweigh all of their edges are settled first, which moves the
+    edges' costs to their neighbours; level graphs and blocking flows (Dinic) settle the rest.
+    """
+    n = len(odds)
+    odds, near = list(odds), [[] for _ in range(n)]
+    for a, b, c, d in edges:
+        near[a].append((b, c, d))
+        near[b].append((a, d, c))
+    side: list[bool | None] = [None] * n
+    keep, lose = [sum(c for _, c, _ in x) for x in near], [sum(d for _, _, d in x) for x in near]
+    todo = deque(range(n))
+    while todo:
+        a = todo.popleft()
+        if side[a] is not None:
             continue
-        if name == "a":
-            link = 0 if m[2] else 1
-        if name in _INLINE:
-            if name == "br" and open_:
-                open_.parts.append(" ")
+        if odds[a] > keep[a]:
+            side[a] = True
+        elif -odds[a] >= lose[a]:
+            side[a] = False
+        else:
             continue
-        open_ = None
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name not in _VOID:
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == name:
-                stack.pop()
-            n += 1
-            odds = stack[-1][1] + _ELEMENT.get(name, 0.0)
-            if name == "header" and any(s[0] in ("article", "main") for s in stack):
-                odds = stack[-1][1]  # an article's own head
-            if m[4] and name not in ("html", "body", "article", "main") and _HINT.search(" ".join(re.findall(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", m[4], re.I))):
-                odds += _HINT_WEIGHT
-            # A paragraph is no container of its own: its neighbours are those of its parent.
-            stack.append((name, odds, stack[-1][2] if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else n))
-    text(page[at:])
-    return [b for b in out if "".join(b.parts).strip()]
-
-
-def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes lie on the source's side of a minimum cut (Edmonds-Karp; a node on no cut: the sink's)."""
-    n = len(source)
-    flow: list[dict[int, float]] = [{} for _ in range(n + 2)]
-
-    def add(a: int, b: int, c: float, back: float = 0.0) -> None:
-        flow[a][b] = flow[a].get(b, 0.0) + c
-        flow[b][a] = flow[b].get(a, 0.0) + back
-
-    for i in range(n):
-        direct = min(source[i], sink[i])  # what passes through the node itself needs no search
-        add(n, i, source[i] - direct)
-        add(i, n + 1, sink[i] - direct)
-    for a, b, c in edges:
-        add(a, b, c, c)
+        for b, c, d in near[a]:
+            if side[b] is None:
+                # (c: only a, d: only b) Now a is known, its edge is a capacity of b.
+                odds[b] += c if side[a] else -d
+                keep[b] -= d
+                lose[b] -= c
+                todo.append(b)
+    rest = [i for i in range(n) if side[i] is None]
+    if not rest:
+        return [bool(x) for x in side]
+    # What is left: arcs as parallel lists, an arc and its reverse side by side.
+    number = {i: k for k, i in enumerate(rest)}
+    m = len(rest)
+    heads: list[list[int]] = [[] for _ in range(m + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def arc(a: int, b: int, c: float, d: float) -> None:
+        heads[a].append(len(to))
+        to.append(b)
+        room.append(c)
+        heads[b].append(len(to))
+        to.append(a)
+        room.append(d)
+
+    for i in rest:
+        if odds[i] > 0:
+            arc(m, number[i], odds[i], 0.0)
+        elif odds[i] < 0:
+            arc(number[i], m + 1, -odds[i], 0.0)
+    for a, b, c, d in edges:
+        if side[a] is None and side[b] is None and (c or d):
+            arc(number[a], number[b], c, d)
     while True:
-        came, queue = {n: n}, deque([n])
-        while queue and n + 1 not in came:
+        level = [-1] * (m + 2)
+        level[m] = 0
+        queue = deque([m])
+        while queue:
             a = queue.popleft()
-            for b, c in flow[a].items():
-                if c > 1e-9 and b not in came:
-                    came[b] = a
-                    queue.append(b)
-        if n + 1 not in came:
-            return [i in came for i in range(n)]
-        path, b = [], n + 1
-        while b != n:
-            path.append((came[b], b))
-            b = came[b]
-        least = min(flow[a][b] for a, b in path)
-        for a, b in path:
-            flow[a][b] -= least
-            flow[b][a] += least
+            for e in heads[a]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[m + 1] < 0:
+            break
+        nxt = [0] * (m + 2)
+        path: list[int] = []
+        a = m
+        while True:
+            if a == m + 1:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                while room[path[-1]] > 1e-9 or any(room[e] <= 1e-9 for e in path[:-1]):
+                    path.pop()
+                a = to[path.pop() ^ 1]
+                continue
+            for k in range(nxt[a], len(heads[a])):
+                e = heads[a][k]
+                if room[e] > 1e-9 and level[to[e]] == level[a] + 1:
+                    nxt[a] = k
+                    path.append(e)
+                    a = to[e]
+                    break
+            else:
+                nxt[a] = len(heads[a])
+                if a == m:
+                    break
+                level[a] = -1
+                a = to[path.pop() ^ 1]
+    for i in rest:
+        side[i] = level[number[i]] >= 0
+    return [bool(x) for x in side]
 
 
 def main_text(page: str | None) -> str:
     """The main text: content blocks in page order, joined by newlines; a null or empty page has none."""
-    found = blocks(page or "")
-    if not found:
+    graph = Graph(page or "")
+    if not graph.texts:
         return ""
-    texts = [_SPACE.sub(" ", "".join(b.parts)).strip() for b in found]
-    odds = [b.odds + _BIAS + _WORD_WEIGHT * min(len(t.split()), 10) + _LINK_WEIGHT * (b.linked > len(t) / 2) for b, t in zip(found, texts, strict=True)]
-    edges = [(i, i + 1, _NEAR if found[i].parent == found[i + 1].parent else _ADJACENT) for i in range(len(found) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):  # blocks of one container that others come between
-        if b.parent in last and last[b.parent] < i - 1:
-            edges.append((last[b.parent], i, _NEAR))
-        last[b.parent] = i
-    keep = minimum_cut([max(o, 0.0) for o in odds], [max(-o, 0.0) for o in odds], edges)
-    return "\n".join(t for t, k in zip(texts, keep, strict=True) if k and t)
+    keep = minimum_cut(graph.odds, graph.edges)
+    return "\n".join(t for t, i in zip(graph.texts, graph.nodes, strict=True) if keep[i])
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """`pages` with text and n_chars; a row in gives a row out, a null or empty page an empty text."""
+    """`pages` with text and n_chars; a row in gives a row out.
+
+    A null or empty page, and one of markup only, gives an empty text. Broken markup never fails: tags that aren't
+    closed end with the page, quotes that aren't closed end with their tag. Pages of any length go through whole;
+    memory follows the longest. Repeated rows give equal texts; columns named text or n_chars give way, others stay.
+    An empty table gives an empty table.
+    """
     def make():
         def f(got, _):
             out = [main_text(p) for p in got]
