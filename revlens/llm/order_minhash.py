@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.decontaminate import Words
@@ -61,36 +61,45 @@ def fingerprint(text: str | None, words: Words, k: int = 1, hashes: int = HASHES
     return "".join(f"{int(v) >> 48:04x}" for v in out)
 
 
+def _longs(values: list[int | None]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
+
+
 def likeness(a: str, b: str) -> float:
     return sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / (len(a) // 4)
 
 
 def fingerprints(docs: DataFrame, k: int = 1, hashes: int = HASHES, length: int = LENGTH, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of `docs` (doc_id, text); other columns are left out.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the
-    next document's, in descending doc_id, null ids last and then by text; the last document's next is
-    the first, a single document's next is itself. Null texts count as empty. Documents are dealt by
-    ranges of doc_id; each range also gets the first documents of the range after it, so no task sees
-    more than its range.
+    next document's, in descending doc_id, null ids last by a hash of their text; rows of one id by their text. The
+    last document's next is the first, a single document's next is itself. Null texts count as empty; texts of any
+    length count whole; an empty table gives an empty table. Documents are dealt by ranges of doc_id, those without
+    one by ranges of the hash; each range also gets the first documents of the range after it, so no task sees more
+    than its range. Rows of one id, or of one text without an id, stay in one range.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(c) for c in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)}, reverse=True)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    # 0 holds the largest ids; null ids come last.
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: F.col("doc_id") < c)))
-    dealt = rows.withColumn("part", part.cast("int"))
-    heads = {r.part: r.top for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a row for each range
-    used = sorted(heads)
-    if not used:
-        used, heads = [0], {0: None}
-    to = {p: used[i - 1] for i, p in enumerate(used)}  # whom a range's first document also goes to
-    target = F.create_map(*[F.lit(x) for p in used for x in (p, to[p])])[F.col("part")]
-    top = F.create_map(*[F.lit(x).cast("long" if j else "int") for p in used for j, x in enumerate((p, heads[p]))])[F.col("part")]
-    halo = dealt.where(F.col("doc_id").eqNullSafe(top)).select("doc_id", "text", target.cast("int").alias("part"), F.lit(1).alias("halo"))
-    ready = dealt.withColumn("halo", F.lit(0)).unionByName(halo).repartitionById(n, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    at = [i / n for i in range(1, n)]
+    cuts = sorted({int(c) for c in rows.approxQuantile("doc_id", at, 0.2 / n)}, reverse=True) if at else []
+    bounds, steps = _longs(cuts), [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    # Binary search for the number of bounds above the id: 0 holds the largest ids; null ids come last.
+    search = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) > F.col("doc_id"), at + step).otherwise(at)) if cuts else F.lit(0)
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    # The largest hashes come first, as the largest ids do.
+    last = F.lit(len(cuts) + n) - F.shiftright((F.shiftright(key, 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
+    dealt = rows.withColumn("key", key).withColumn("part", F.when(F.col("doc_id").isNull(), last).otherwise(search).cast("int"))
+    heads = {r.part: r.top for r in dealt.groupBy("part").agg(F.max("key").alias("top")).collect()}  # a row for each range
+    used = sorted(heads) or [0]
+    # The same by range number: whom a range's first document also goes to, and that document's key.
+    to, top = [None] * (len(cuts) + n + 1), [None] * (len(cuts) + n + 1)
+    for i, p in enumerate(used):
+        to[p], top[p] = used[i - 1], heads.get(p)
+    halo = dealt.where(F.col("key") == F.get(_longs(top), F.col("part"))).select("doc_id", "text", "key", F.get(_longs(to), F.col("part")).cast("int").alias("part"), F.lit(1).alias("halo"))
+    ready = dealt.withColumn("halo", F.lit(0)).select("doc_id", "text", "key", "part", "halo").unionByName(halo)
+    ready = ready.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part", "halo", F.col("key").desc(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before, out = Words(), None, []
