@@ -84,13 +84,37 @@ def test_leaks_with_a_substitution(spark):
 
 
 def test_minimum_cut_by_brute_force():
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        s, t = rng.random(6), rng.random(6)
-        e = [(i, i + 1, float(rng.random())) for i in range(5)]
-        cost = lambda k: sum(t[i] if k[i] else s[i] for i in range(6)) + sum(c for a, b, c in e if k[a] != k[b])
-        got = html_extract.minimum_cut(list(s), list(t), e)
-        assert cost(got) == pytest.approx(min(cost([m >> i & 1 for i in range(6)]) for m in range(64)))
+    rng = random.Random(0)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        odds = [round(rng.uniform(-4, 4), 1) for _ in range(n)]
+        edges = [(a, b, round(rng.uniform(0, 3), 1), round(rng.uniform(0, 3), 1)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+
+        def cost(k, n=n, odds=odds, edges=edges):
+            ends = sum(max(-odds[i], 0) if k[i] else max(odds[i], 0) for i in range(n))
+            return ends + sum(c if k[a] and not k[b] else d if k[b] and not k[a] else 0 for a, b, c, d in edges)
+
+        assert cost(html_extract.minimum_cut(odds, edges)) == pytest.approx(min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n)))
+
+
+def test_pages_of_odd_markup(spark):
+    import time
+
+    text = html_extract.main_text
+    assert text("<article><p class='share-price'>The price.</p><p class=\"a>Hello there</p><p>x</p><div class='post-comments'><p>A reader's comment, long enough to look like text.</p></div></article>") == "The price.\nHello there\nx"
+    assert text("<div class=comments><article><p>A long comment by some reader who goes on for long.</p></article></div><article><header><h1>T</h1></header><p><a href=1>one link</a></p></article>") == "T\none link"
+    assert text("<title>t</title><noscript>n</noscript><svg><text>s</text></svg><article>a<script>if (1<2) x</script>b<!-- <p>c --></article") == "ab"
+    assert [text(x) for x in (None, "", "<", "<p", "a < b &lt; &#x63;", "<p>four words of text<!-- x")] == ["", "", "", "", "a < b < c", "four words of text"]
+    page = "<article>" + "".join(f"<p>{'word ' * (i % 13)}x</p><div class=ad><p>buy {i}</p></div>" for i in range(5000)) + "</article>"
+    began = time.process_time()
+    assert text(page).count("\n") == 4999 and time.process_time() - began < 4
+    graph = html_extract.Graph(page)
+    keep = html_extract.minimum_cut(graph.odds, graph.edges)
+    assert any(keep[i] != (graph.odds[i] > 0) for i in graph.nodes)  # the edges decide
+    pages = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (None, None, None, None), (2, "v", "", "y")], "page_id long, url string, html string, n_chars string")
+    out = html_extract.extract(pages).collect()
+    assert [r.n_chars for r in out] == [len(text(page))] * 2 + [0, 0] and out[2].text == ""
+    assert html_extract.extract(pages.limit(0)).count() == 0
 
 
 def test_main_text():
@@ -340,3 +364,89 @@ def test_rows_of_one_id_and_repeated_rows(spark):
     stay = [r for r in out if r.stays]
     assert sorted((r.doc_id or 0, r.n_shingles) for r in stay) == [(0, 36), (1, 2), (1, 36), (4, 0), (5, 0), (6, 1), (7, 2)]
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_edited_texts_and_fingerprints_by_brute_force(spark, parts):
+    import hashlib
+
+    rng = random.Random(parts)
+    rows = [(i * 7 % 100, " ".join(f"é{rng.randrange(50)}" for _ in range(rng.randrange(40)))) for i in range(60)]
+    rows += [(None, f"no id {i}") for i in range(12)] + [(None, None), (7, "same id"), (7, "same id"), (7, None), (200, "x " * 30000)]
+    df = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, part int, key int")
+    signed = {r.text: r.h for r in df.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -r[0] if r[0] is not None else -signed[r[1]], r[1] or ""))
+    words, want = decontaminate.Words(), []
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        f, fe, fn = (order_minhash.fingerprint(x, words) for x in (t, edited, nxt))
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, fe, order_minhash.likeness(f, fe), order_minhash.likeness(f, fn)))
+    got = [tuple(r) for r in order_minhash.fingerprints(df, parts=parts).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert order_minhash.fingerprints(df.limit(0)).count() == 0
+
+
+def test_fingerprint_by_its_definition():
+    """Each function: number k-mers by occurrence, take the two smallest by the function's hash, in text order."""
+    words = decontaminate.Words()
+    mix = order_minhash._mixed
+    text = "a b a c b a d"
+    a = np.random.default_rng(23).integers(1, 1 << 63, order_minhash.HASHES, dtype=np.uint64) | np.uint64(1)
+    seen, grams = {}, []
+    for w in text.split():
+        nth = seen.get(w, 0)
+        seen[w] = nth + 1
+        with np.errstate(over="ignore"):
+            grams.append(mix(mix(np.array([words[w]], np.uint64)) + np.uint64(nth) * order_minhash._MIX[1])[0])
+    out = ""
+    with np.errstate(over="ignore"):
+        for f in a:
+            v = [g * f for g in grams]
+            v = [x ^ (x >> np.uint64(32)) for x in v]
+            low = sorted(sorted(range(len(v)), key=lambda i: v[i])[:2])
+            h = np.zeros(1, np.uint64)
+            for i in low:
+                h = mix(h ^ v[i])
+            out += f"{int(h[0]) >> 48:04x}"
+    assert order_minhash.fingerprint(text, words) == out
+
+
+def test_equal_rows_at_the_edge_are_counted(spark):
+    """30 equal rows in each of two sources; and a draw by brute force: ranks, certain copies, the edge on the nearer side."""
+    rows = [(1, "w " * 10, s) for s in ("a", "b") for _ in range(30)] + [(2, "w " * 10, "c")] * 40 + [(3, None, None), (3, "", "c")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_times=3.0, share=0.5).collect()
+    taken, target = {}, {}
+    for r in out:
+        taken[r.source_size, r.target] = taken.get((r.source_size, r.target), 0) + r.taken
+        target[r.source_size, r.target] = r.target
+    assert len(out) == len(rows) and all(abs(taken[k] - target[k]) <= 5 for k in taken)
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice("abcd")) for i in range(200)] + [(999, "w " * 7, "d")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = df.selectExpr("doc_id", "text", "source", "xxhash64(doc_id, 17, xxhash64(text)) AS h").collect()
+    size = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcd"}
+    got = mixing.mix(df)
+    goal = {r.source_size: r.target for r in got.collect()}
+    want = {}
+    for s in "abcd":
+        times = goal[size[s]] / size[s]
+        whole, part = int(times), times - int(times)
+        draw = []
+        for r in hashed:
+            if r.source == s:
+                u = ((r.h & ((1 << 64) - 1)) >> 11) + 0.5
+                u /= float(1 << 53)
+                odds = u / (1 - u) / (part / (1 - part) if 0 < part < 1 else 1)
+                draw.append((int(odds / (1 + odds) * float(1 << 48)), u, r.doc_id, len(r.text.split())))
+        left = goal[size[s]] - whole * size[s]
+        for _, _, i, n in sorted(draw):
+            take = left > 0 and (n <= left or n - left <= left)
+            left = left - n if take else 0
+            want.setdefault((s, i), []).append(n * (whole + take))
+    have = {}
+    for r in got.collect():
+        s = next(x for x in "abcd" if size[x] == r.source_size)
+        have.setdefault((s, r.doc_id), []).append(r.taken)
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
