@@ -6,25 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` doesn't have, in any case."""
+    names = {c.lower() for c in df.columns}
+    while stem.lower() in names:
+        stem += "_"
+    return stem
+
+
 def keep_best(df: DataFrame, key: list[str], *preference: Column) -> DataFrame:
     """One row for each key, the first by `preference`; the others go."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*preference))).where("_n = 1").drop("_n")
+    n = unused(df, "nth")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*preference))).where(F.col(n) == 1).drop(n)
 
 
 def top_k(df: DataFrame, key: list[str], k: int, *order: Column) -> DataFrame:
-    """The first `k` rows of each key, with their rank."""
+    """The first `k` rows of each key, with their rank; a column of that name gives way."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def newest_wins(df: DataFrame, key: list[str], *newest: Column) -> DataFrame:
     """The newest row of each key by a combining aggregate, with no sort of a key's rows."""
-    rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*newest)).alias("_r")).select(*key, "_r.*")
+    rest, row = [c for c in df.columns if c not in key], unused(df, "newest")
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*newest)).alias(row)).select(*key, f"{row}.*")
 
 
 def zero_filled(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """A count for each of a fixed list of values, 0 where none occurs."""
-    dim = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    dim = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
     return dim.join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -83,9 +92,10 @@ def nearest_within(df: DataFrame, key: str, order: str, is_target: Column, toler
     mark = F.when(is_target, F.col(order))
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = df.withColumn("_b", before).withColumn("_a", after)
-    pick = F.when(F.col("_a").isNull() | (F.col(order) - F.col("_b") <= F.col("_a") - F.col(order)), F.col("_b")).otherwise(F.col("_a"))
-    return near.withColumn("anchor", pick).withColumn("anchor", F.when(F.abs(F.col("anchor") - F.col(order)) <= tolerance, F.col("anchor"))).drop("_a", "_b")
+    b, a = unused(df, "before"), unused(df, "after")
+    near = df.withColumns({b: before, a: after})
+    pick = F.when(F.col(a).isNull() | (F.col(order) - F.col(b) <= F.col(a) - F.col(order)), F.col(b)).otherwise(F.col(a))
+    return near.withColumn("anchor", F.when(F.abs(pick - F.col(order)) <= tolerance, pick)).drop(a, b)
 
 
 def smallest_containing(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, longest: int) -> DataFrame:
@@ -95,12 +105,12 @@ def smallest_containing(points: DataFrame, spans: DataFrame, point: str, start:
     one point are equal here: points are taken once each.
     """
     width = max(longest // 2, 1)
-    bins = spans.where((F.col(end) >= F.col(start)) & (F.col(end) - F.col(start) <= longest)).select(F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
-    bins = bins.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
-    at = points.select(point).distinct().withColumn("_bin", F.floor(F.col(point) / width))
-    best = F.min(F.when(F.col("_s").isNotNull(), F.struct((F.col("_e") - F.col("_s")).alias("length"), F.col("_s").alias("start"))))
-    held = at.join(bins, (at["_bin"] == bins["_bin"]) & (F.col("_s") <= F.col(point)) & (F.col(point) <= F.col("_e")), "left")
-    return held.groupBy(point).agg(best.alias("_x")).select(point, F.col("_x.start").alias("span_start"), F.col("_x.length").alias("span_length"))
+    fit = spans.select(F.col(start).alias("span_from"), F.col(end).alias("span_to")).where((F.col("span_to") >= F.col("span_from")) & (F.col("span_to") - F.col("span_from") <= longest)).distinct()
+    bins = fit.withColumn("span_bin", F.explode(F.sequence(F.floor(F.col("span_from") / width), F.floor(F.col("span_to") / width))))
+    at = points.select(F.col(point).alias("point_at")).distinct().withColumn("point_bin", F.floor(F.col("point_at") / width))
+    best = F.min(F.when(F.col("span_from").isNotNull(), F.struct((F.col("span_to") - F.col("span_from")).alias("length"), F.col("span_from").alias("start"))))
+    held = at.join(bins, (F.col("point_bin") == F.col("span_bin")) & F.col("point_at").between(F.col("span_from"), F.col("span_to")), "left")
+    return held.groupBy(F.col("point_at").alias(point)).agg(best.alias("best_span")).select(point, F.col("best_span.start").alias("span_start"), F.col("best_span.length").alias("span_length"))
 
 
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
@@ -132,15 +142,16 @@ def unique_prefix(short: DataFrame, full: DataFrame, prefix: str, name: str, len
 
 
 def running_numbers(df: DataFrame, key: str, order: str, removed: Column) -> DataFrame:
-    """Line numbers on the new side: a removed line doesn't advance them and has none."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("new_line", F.when(~removed, F.sum(F.when(removed, 0).otherwise(1)).over(w)).cast("long"))
+    """Line numbers on the new side: a removed line doesn't advance them and has none; one that may or may not be removed (null) isn't."""
+    w, gone = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0), F.coalesce(removed, F.lit(False))
+    return df.withColumn("new_line", F.when(~gone, F.sum(F.when(gone, 0).otherwise(1)).over(w)).cast("long"))
 
 
 def around_changes(df: DataFrame, key: str, order: str, changed: Column, reach: int) -> DataFrame:
     """Rows at most `reach` rows from a changed row of their key."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-reach, reach)
-    return df.withColumn("_near", F.max(F.when(changed, 1).otherwise(0)).over(w)).where("_near = 1").drop("_near")
+    near = unused(df, "near")
+    return df.withColumn(near, F.max(F.when(changed, 1).otherwise(0)).over(w)).where(F.col(near) == 1).drop(near)
 
 
 def ordered_digest(df: DataFrame, key: str, order: str, line: str, length: int = 16) -> DataFrame:
@@ -153,8 +164,9 @@ def listed(df: DataFrame, key: str, column: str, most: int = 5) -> DataFrame:
     """A count, and the first `most` distinct values joined by commas with 'and n more' for the rest."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
     each = df.select(key, column).distinct()
-    ranked = each.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(column)))
-    names = F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.struct("_r", F.col(column).alias("v"))))), lambda x: x["v"].cast("string")))
+    r = unused(each, "nth")
+    ranked = each.withColumn(r, F.row_number().over(Window.partitionBy(key).orderBy(column)))
+    names = F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.when(F.col(r) <= most, F.struct(F.col(r).alias("r"), F.col(column).alias("v"))))), lambda x: x["v"].cast("string")))
     total = F.count(column)
     text = ranked.groupBy(key).agg(F.concat(names, F.when(total > most, F.concat(F.lit(" and "), total - most, F.lit(" more"))).otherwise("")).alias("names"))
     return n.join(text, key)
