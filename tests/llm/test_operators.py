@@ -4,19 +4,12 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import SparkSession
-
 from revlens.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, order_minhash, quality, toxicity
 
 DOCS = "doc_id long, text string, source string, n_lines string"
 ODD = [(1, None, None, "x"), (2, "", "a", None), (None, "one", "a", None), (4, "one", "a", None), (4, "one", "a", None), (5, "w " * 3000, "b", None)]
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
-
-
 @pytest.mark.parametrize("limit", [0, 200_000])
 def test_lines(spark, limit):
     rows = [(i, f" Shared {i}\nMENU\nown {i}\n\n", "a", None) for i in range(4)] + ODD
