@@ -56,8 +56,9 @@ class Stored:
         (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._revlens_path = path
-        # Spark's cleaner deletes a query's shuffle files once the driver has collected the query.
-        self.spark._jvm.System.gc()
+        if self.spark.sparkContext.master.split("[")[0] != "local":
+            # Spark's cleaner deletes a query's shuffle files once the driver has collected the query.
+            self.spark._jvm.System.gc()
         return out
 
     def drop(self, *dfs: DataFrame | None) -> None:
