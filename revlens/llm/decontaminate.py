@@ -163,7 +163,9 @@ def find(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, block: in
 
     A text holds an item if it holds all the item's words, or PART or more in a row of a longer item, with
     at most 1 - `identity` edits a word of these; a word that differs, is put in or left out is one edit. Null, empty and wordless texts and items hold and match nothing; equal items
-    are found each; a null item_id is left out. Items are read in blocks of `block`, each with its own pass.
+    are found each; a null item_id is left out. Items are read in blocks of `block`, each with its own pass. Texts of any length go
+    through whole; repeated rows are found alike; a column named items gives way, others stay; without items no text
+    holds any, and an empty table gives an empty table.
     """
     spark = docs.sparkSession
     n = benchmark.where(F.col("item_id").isNotNull()).count()

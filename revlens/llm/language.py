@@ -53,7 +53,9 @@ def identify(pages: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> D
     """`pages` (page_id, url, html) with lang and probability.
 
     A page's own evidence is left out of its host's prior. A null url belongs to no host and takes the
-    prior of all pages; null or empty html has no text evidence. Without labelled rows lang is null.
+    prior of all pages; null or empty html has no text evidence. Without labelled rows lang is null. Of languages as
+    likely the first by name is taken. Pages of any length count whole; repeated rows are pages of their own; other
+    columns are left out; an empty table gives an empty table.
     """
     spark = pages.sparkSession
     store = Stored(spark)

@@ -127,7 +127,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
 
     A null or empty text has one empty line, which is kept. A repeated row counts as a document of its
     own; a line repeated within a document counts once. New columns take the place of columns of their
-    names. An empty table gives an empty table. Lines that lose their text leave no trace but the count.
+    names. Texts of any length go through whole. An empty table gives an empty table. Lines that lose their text leave no trace but the count.
     """
     spark = docs.sparkSession
     store = Stored(spark)
