@@ -25,6 +25,8 @@ from revlens.llm.common import map_texts
 BUCKETS, WIDTH, NONZERO = 1 << 16, 32, 4
 #: At most so many labelled rows of each label fit the network.
 TRAIN_ROWS = 3000
+#: Tokens that are counted at once.
+SLICE = 1 << 20
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
@@ -50,19 +52,33 @@ def _index() -> tuple[np.ndarray, np.ndarray]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors (BUCKETS x WIDTH) over every text; the driver sums one matrix row for each bucket."""
 
+    end = np.array([-1])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sign = _index()
         ids, total = _Ids(), np.zeros(BUCKETS * WIDTH)
+
+        def add(runs: list[np.ndarray]) -> None:
+            nonlocal total
+            x = np.concatenate(runs)
+            a, b = x[:-1], x[1:]
+            ok = (a >= 0) & (b >= 0)
+            a, b = a[ok], b[ok]
+            for me, other in ((a, b), (b, a)):
+                for k in range(NONZERO):
+                    total += np.bincount(me * WIDTH + at[other, k], weights=sign[other, k], minlength=len(total))
+
+        # Counting costs a pass over the matrix, so texts wait until they have SLICE tokens, across batches.
+        runs, n = [end], 0
         for part in parts:
-            for i in range(0, part.num_rows, 2048):
-                runs = [x for t in part.column(0)[i : i + 512].to_pylist() for x in (token_ids(t, ids), np.array([-1]))]
-                x = np.concatenate(runs)
-                a, b = x[:-1], x[1:]
-                ok = (a >= 0) & (b >= 0)
-                a, b = a[ok], b[ok]
-                for me, other in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        total += np.bincount(me * WIDTH + at[other, k], weights=sign[other, k], minlength=len(total))
+            for text in part.column(0):
+                x = token_ids(text.as_py(), ids)
+                runs += (x, end)
+                n += len(x) + 1
+                if n >= SLICE:
+                    add(runs)
+                    runs, n = [end], 0
+        add(runs)
         m = total.reshape(BUCKETS, WIDTH)
         rows = np.flatnonzero(m.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(list(m[rows].astype(np.float32)), pa.list_(pa.float32()))], ["bucket", "v"])
