@@ -72,9 +72,10 @@ def mark(docs: DataFrame, part: str = "source", bits: int = 64, broadcast_classe
     rows = store.put(rows)
     live = rows.select(*keys)
     for key in keys:
-        shared = live.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+        # Written, so that the join below deals both sides anew and AQE can split a hot class.
+        shared = store.put(live.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
         refined = store.put(live.join(shared, key, "left_semi"))
-        store.drop(live if live is not rows else None)
+        store.drop(shared, live if live is not rows else None)
         live = refined
     classes = store.put(live.select(last).distinct())
     store.drop(live)
