@@ -112,3 +112,43 @@ def shed(nodes: DataFrame, key: str, base: str, extra: str, budget: int, *order:
 def pending(plan: DataFrame, done: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
     """The first `most` units of the plan that aren't done."""
     return plan.join(done.select(key).distinct(), key, "left_anti").orderBy(*order).limit(most)
+
+
+def shrink_to_fit(items: DataFrame, budgets: DataFrame, key: str, most: int = 60, least: int = 1000) -> DataFrame:
+    """(key, a, b, c, d, cost, fits): how many of each of four lists stay, so that all that stays fits the budget.
+
+    `items` (key, list, pos, cost) are the lists a to d, `budgets` (key, base, budget) what is there anyhow and what there may be. a and b are cut to
+    their first `most`. Then, until it fits, the longer of a and b is halved, b where they are as long; when both are empty, c is
+    halved; then d, down to one. A budget under `least` cuts nothing more. What fits nowhere ends at the last rung.
+
+    The lengths alone tell every rung, a hundred or so whatever the lengths; each meets the running costs of its four lists by
+    equal (key, list, length), and the first that fits is a grouped minimum.
+    """
+    lists = ("a", "b", "c", "d")
+    w = Window.partitionBy(key, "list").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = items.select(key, "list", F.row_number().over(Window.partitionBy(key, "list").orderBy("pos")).alias("n"), F.sum("cost").over(w).alias("total"))
+    counts = items.groupBy(key).agg(*[F.count_if(F.col("list") == x).cast("int").alias(x) for x in lists])
+    sizes = budgets.join(counts, key, "left").select(key, "base", "budget", *[F.least(F.coalesce(x, F.lit(0)), F.lit(most if x in "ab" else 2**31 - 1)).cast("int").alias(x) for x in lists])
+
+    def below(s: Column) -> Column:
+        """The next rung; itself at the last."""
+        half = lambda c: F.shiftright(c, 1)
+        evidence = (s["a"] > 0) | (s["b"] > 0)
+        return F.struct(
+            F.when(evidence & (s["b"] < s["a"]), half(s["a"])).otherwise(s["a"]).alias("a"),
+            F.when(evidence & (s["b"] >= s["a"]), half(s["b"])).otherwise(s["b"]).alias("b"),
+            F.when(~evidence & (s["c"] > 0), half(s["c"])).otherwise(s["c"]).alias("c"),
+            F.when(~evidence & (s["c"] <= 0) & (s["d"] > 1), half(s["d"])).otherwise(s["d"]).alias("d"),
+        )
+
+    start = F.array(F.struct(*lists))
+    # No list halves more often than 31 times.
+    ladder = F.aggregate(F.sequence(F.lit(1), F.lit(31 * len(lists))), start, lambda rungs, _: F.when(below(F.element_at(rungs, -1)) == F.element_at(rungs, -1), rungs).otherwise(F.concat(rungs, F.array(below(F.element_at(rungs, -1))))))
+    rungs = sizes.select(key, "base", "budget", F.posexplode(ladder).alias("rung", "s"))
+    parts = rungs.select(key, "rung", F.explode(F.array(*[F.struct(F.lit(x).alias("list"), F.col(f"s.{x}").alias("n")) for x in lists])).alias("p")).select(key, "rung", "p.list", "p.n").where("n > 0")
+    costs = parts.join(running, [key, "list", "n"]).groupBy(key, "rung").agg(F.sum("total").alias("listed"))
+    told = rungs.join(costs, [key, "rung"], "left").withColumn("cost", F.col("base") + F.coalesce("listed", F.lit(0)))
+    row = F.struct("s", "cost", "budget")
+    best = told.groupBy(key).agg(F.min(F.when((F.col("cost") <= F.col("budget")) | (F.col("budget") < least), F.struct("rung", row.alias("at")))).alias("fit"), F.max(F.struct("rung", row.alias("at"))).alias("last"))
+    at = F.coalesce("fit.at", "last.at")
+    return best.select(key, *[at["s"][x].alias(x) for x in lists], at["cost"].alias("cost"), (at["cost"] <= at["budget"]).alias("fits"))
