@@ -91,7 +91,8 @@ def nearest_within(df: DataFrame, key: str, order: str, is_target: Column, toler
     w = Window.partitionBy(key).orderBy(order)
     mark = F.when(is_target, F.col(order))
     before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Backwards, so that the frame grows by a row at a time.
+    after = F.last(mark, ignorenulls=True).over(Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0))
     b, a = unused(df, "before"), unused(df, "after")
     near = df.withColumns({b: before, a: after})
     pick = F.when(F.col(a).isNull() | (F.col(order) - F.col(b) <= F.col(a) - F.col(order)), F.col(b)).otherwise(F.col(a))

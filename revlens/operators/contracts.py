@@ -95,7 +95,7 @@ def schema_fields(lines: DataFrame, changed: DataFrame, key: str, bin_: int = 64
     Only added lines that stand directly in the body count. Classes and lines meet by bins of lines; a class without an
     end runs to the last line of its file.
     """
-    name = F.regexp_extract(F.ltrim("text"), r"(?U)\A([A-Za-z_]\w*)\s*(?::|=(?!=))", 1)
+    name = F.regexp_extract(F.ltrim("text", F.lit(" \t")), r"(?U)\A([A-Za-z_]\w*)\s*(?::|=(?!=))", 1)
     added = lines.join(changed.select(key, "line").distinct(), [key, "line"], "left_semi").select(key, "line", name.alias("name"), F.char_length(F.regexp_extract("text", r"\A([ \t]*)", 1)).alias("at"))
     added = added.where(traceable(F.col("name"), F.lit(True), F.lit(True))).withColumn("bin", F.floor(F.col("line") / bin_))
     last = lines.groupBy(key).agg(F.max("line").alias("last_line"))

@@ -155,9 +155,21 @@ def coverage(omissions: DataFrame, losses: tuple[str, ...]) -> DataFrame:
 
 
 def near_expected(findings: DataFrame, expected: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """(case, candidates, near): findings of a case's category (and file, where it names one), and those within the tolerance of its line."""
-    met = expected.join(findings, (expected["category"] == findings["category"]) & (F.coalesce(expected["file"], F.lit("")).isin("") | (expected["file"] == findings["file"])), "left")
-    return met.groupBy("case").agg(F.count("pos").alias("candidates"), F.count_if(F.abs(F.col("start_line") - F.col("line")) <= tolerance).alias("near"))
+    """(case, candidates, near): findings of a case's category (and file, where it names one), and those within the tolerance of its line.
+
+    Findings are counted by category, file and line first, once for their file and once for cases of any file. Candidates are sums of these
+    counts; near ones meet a case by equal category, file and bin of lines, so no case is compared with all of its category.
+    """
+    any_file = F.coalesce("file", F.lit(""))
+    by_line = findings.where("pos IS NOT NULL").select("category", F.explode(F.array_distinct(F.array(any_file, F.lit("")))).alias("of"), "start_line").groupBy("category", "of", "start_line").agg(F.count(F.lit(1)).alias("n"))
+    sums = by_line.groupBy("category", "of").agg(F.sum("n").alias("candidates"))
+    cases = expected.select("case", "category", any_file.alias("of"), "line")
+    spread = F.sequence(F.floor((F.col("line") - tolerance) / BIN), F.floor((F.col("line") + tolerance) / BIN))
+    lines = by_line.where("start_line IS NOT NULL").withColumn("bin", F.floor(F.col("start_line") / BIN))
+    met = cases.where("line IS NOT NULL").withColumn("bin", F.explode(spread)).join(lines, ["category", "of", "bin"]).where(F.abs(F.col("start_line") - F.col("line")) <= tolerance)
+    near = met.groupBy("case").agg(F.sum("n").alias("near"))
+    told = cases.join(sums, ["category", "of"], "left").groupBy("case").agg(F.coalesce(F.sum("candidates"), F.lit(0)).alias("candidates"))
+    return told.join(near, "case", "left").select("case", "candidates", F.coalesce("near", F.lit(0)).alias("near"))
 
 
 def decide(findings: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -184,7 +196,8 @@ def ambiguous_edits(edits: DataFrame, known: DataFrame, changed: DataFrame) -> D
     listed = known.select(*keys).distinct().withColumn("listed", F.lit(True))
     hit = _nearest(edits, changed, 0).select("pos", "hit")
     w = Window.partitionBy("file").orderBy("start_line", "pos")
-    before, after = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("start_line").over(w.rowsBetween(1, Window.unboundedFollowing))
+    # In the order of their starts the next one starts first of all that follow.
+    before, after = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("start_line").over(w)
     rows = edits.withColumn("clash", F.coalesce(before >= F.col("start_line"), F.lit(False)) | F.coalesce(after <= F.col("end_line"), F.lit(False)))
     met = rows.join(listed, keys, "left").join(hit, "pos", "left")
     why = F.when(F.col("listed").isNull(), "unknown").when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "range").when(~F.coalesce("hit", F.lit(False)), "unchanged").when(F.col("clash"), "ambiguous")

@@ -166,8 +166,7 @@ def decisions_fold(d: Data) -> DataFrame:
     return op.decide(d(FINDINGS), d(_DECISIONS)).select("pos", "severity", "evidence", "evidence_note")
 
 
-_EDITS = "SELECT l_orderkey * 10 + l_linenumber AS id, concat('src/m', CAST(l_suppkey % 45 AS STRING), '.py') AS file, CAST(l_partkey * 7 % 5000 + 1 AS BIGINT) AS start_line, CAST(l_partkey * 7 % 5000 + 1 + l_partkey % 4 AS BIGINT) AS end_line, concat('Title: error #', CAST(l_partkey % 40 AS STRING)) AS title FROM {lineitem}"
-_EDITS = f"SELECT row_number() OVER (ORDER BY id, file, start_line) AS pos, file, start_line, end_line, title FROM ({_EDITS})"
+_EDITS = "SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, concat('src/m', CAST(l_suppkey % 45 AS STRING), '.py') AS file, CAST(l_partkey * 7 % 5000 + 1 AS BIGINT) AS start_line, CAST(l_partkey * 7 % 5000 + 1 + l_partkey % 4 AS BIGINT) AS end_line, concat('Title: error #', CAST(l_partkey % 40 AS STRING)) AS title FROM {lineitem}"
 
 
 @query(
@@ -175,11 +174,11 @@ _EDITS = f"SELECT row_number() OVER (ORDER BY id, file, start_line) AS pos, file
     f"""WITH e AS ({_EDITS}), k AS (SELECT DISTINCT file, start_line, end_line, title FROM ({FINDINGS})),
 x AS (SELECT *, max(end_line) OVER (PARTITION BY file ORDER BY start_line, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start_line AS b, min(start_line) OVER (PARTITION BY file ORDER BY start_line, pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= end_line AS a FROM e),
 h AS (SELECT DISTINCT e.pos FROM e JOIN ({CHANGED}) c ON c.file = e.file AND line BETWEEN start_line AND end_line)
-SELECT reason, count(*) AS n FROM (SELECT CASE WHEN k.file IS NULL THEN 'unknown' WHEN h.pos IS NULL THEN 'unchanged' WHEN coalesce(a, FALSE) OR coalesce(b, FALSE) THEN 'ambiguous' END AS reason
-FROM x LEFT JOIN k USING (file, start_line, end_line, title) LEFT JOIN h ON h.pos = x.pos) GROUP BY reason""",
+SELECT x.pos, CASE WHEN k.file IS NULL THEN 'unknown' WHEN h.pos IS NULL THEN 'unchanged' WHEN coalesce(a, FALSE) OR coalesce(b, FALSE) THEN 'ambiguous' END AS reason
+FROM x LEFT JOIN k USING (file, start_line, end_line, title) LEFT JOIN h ON h.pos = x.pos""",
 )
 def edit_conflicts(d: Data) -> DataFrame:
-    return op.ambiguous_edits(d(_EDITS), d(FINDINGS), d(CHANGED)).groupBy("reason").agg(F.count("*").alias("n"))
+    return op.ambiguous_edits(d(_EDITS), d(FINDINGS), d(CHANGED)).select("pos", "reason")
 
 
 @query(

@@ -90,7 +90,7 @@ def pending_units(d: Data) -> DataFrame:
 
 #: Events next to each other are related where both are of one type, so runs of a type are the components.
 _RUN_NODES = "SELECT event_id AS id FROM {events}"
-_RUN_EDGES = "SELECT event_id AS a, after AS b FROM (SELECT event_id, event_type, lead(event_id) OVER (ORDER BY event_id) AS after, lead(event_type) OVER (ORDER BY event_id) AS then_ FROM {events}) WHERE event_type = then_"
+_RUN_EDGES = "SELECT e.event_id AS a, f.event_id AS b FROM {events} AS e JOIN {events} AS f ON f.event_id = e.event_id + 1 AND f.event_type = e.event_type"
 
 
 @query("components", "SELECT event_id AS id, min(event_id) OVER (PARTITION BY run) AS component FROM (SELECT event_id, sum(CASE WHEN event_type = before THEN 0 ELSE 1 END) OVER (ORDER BY event_id) AS run FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY event_id) AS before FROM {events}))")

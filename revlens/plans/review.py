@@ -39,7 +39,7 @@ QUERIES = {
     "gate": lambda s, d: op.rates(_scored(s, d)).select((F.coalesce("recall", F.lit(1.0)) >= 0.8).alias("recall_ok"), (F.coalesce("false_positive_rate", F.lit(0.0)) <= 0.1).alias("clean_ok")),
     "prefix_budget": lambda s, d: op.prefix_budget(_t(s, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("cost")), "conv_id", "cost", 2000, F.col("turn")).select("conv_id", "turn", "spent"),
     "nearest_snap": lambda s, d: op.nearest_before(_t(s, d, "events"), "user_id", "ts", F.col("event_type") == "purchase", "event_id").select("event_id", "nearest"),
-    "seen_antijoin": lambda s, d: op.unseen(_t(s, d, "benchmark"), _t(s, d, "documents").join(F.broadcast(_t(s, d, "benchmark").select("text").distinct()), "text", "left_semi"), "text").select("item_id"),
+    "seen_antijoin": lambda s, d: op.unseen(_t(s, d, "benchmark"), _t(s, d, "documents").join(_t(s, d, "benchmark").select("text").distinct(), "text", "left_semi"), "text").select("item_id"),
     "resume_merge": lambda s, d: op.merged(_t(s, d, "documents").select("doc_id", F.lit(-1).alias("quality")), _t(s, d, "labels").select("doc_id", "quality"), "doc_id", "quality"),
     "fingerprint": lambda s, d: _t(s, d, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "lang", "text")]), 256), 1, 16).alias("fingerprint")),
     "conditional_demote": lambda s, d: _t(s, d, "events").select("event_id", F.when((F.col("event_type") == "error") & (F.col("value") < 50), "minor").when(F.col("event_type") == "error", "critical").otherwise("info").alias("severity")),

@@ -183,7 +183,7 @@ def test_state(spark, tmp_path):
     publish_unseen(two, seen, str(tmp_path / "out"))
     publish_unseen(two, seen, str(tmp_path / "out"))
     assert sorted((r.key, r.fingerprint) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("j", "a"), ("k", "a"), ("k", "b"), ("k", "c")]
-    assert seen.versions() == [1, 2] and (tmp_path / "seen" / "v9").mkdir() is None and seen.versions() == [1, 2]
+    assert seen.versions() == [0, 1, 2] and (tmp_path / "seen" / "rows" / "unfinished").mkdir() is None and seen.versions() == [0, 1, 2]
 
 
 def test_operators_keep_columns_of_any_name(spark):
