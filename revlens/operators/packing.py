@@ -16,28 +16,42 @@ def _in_order(*order: Column, **fields: Column) -> Column:
     return F.array_sort(F.collect_list(F.struct(*names, *[c.alias(k) for k, c in fields.items()])))
 
 
+def budget_of(tokens: int, per: int = 4) -> int:
+    """The characters of joined text that a budget of estimated tokens holds: a text of n characters counts n // per."""
+    return per * tokens + per - 1
+
+
+def _runs(rows: DataFrame, key: list[str], nth: str, opens_at) -> DataFrame:
+    """`rows` with `bin`, from 1: bins open at the places that a fold over one key's rows in order (`opens_at`, an expression of places) gives.
+
+    The fold keeps the places where bins open and nothing of the rest, and a running count deals the rows to them, so a key of many
+    rows costs no more than its rows and its bins.
+    """
+    starts = rows.groupBy(*key).agg(opens_at.alias("starts")).select(*key, F.explode("starts").alias(nth)).withColumn("opens", F.lit(1))
+    w = Window.partitionBy(*key).orderBy(nth).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(starts, [*key, nth], "left").withColumn("bin", F.sum(F.coalesce("opens", F.lit(0))).over(w).cast("int")).drop("opens")
+
+
 def pack(items: DataFrame, key: str, item: str, group: str, cost: str, budget: int, *order: Column, joint: int = 1) -> DataFrame:
     """(key, item, bin): bins filled in order, from 1. A bin closes if a group's items don't all fit, then items go in one by one; `joint` is what joining two costs.
 
-    An item over the budget has a bin of its own. Groups are runs of items in order.
+    An item over the budget has a bin of its own. Groups are runs of items in order. For a budget of tokens of the joined text, cost is in characters,
+    joint the length of what stands between two, and budget budget_of() the tokens.
     """
-    total = F.sum(cost).over(Window.partitionBy(key, group)) + (F.count("*").over(Window.partitionBy(key, group)) - 1) * joint
-    lead = F.row_number().over(Window.partitionBy(key, group).orderBy(*order)) == 1
-    rows = items.withColumns({"pack_total": total, "pack_lead": lead})
-    line = _in_order(*order, item=F.col(item), cost=F.col(cost), total=F.col("pack_total"), lead=F.col("pack_lead"))
-    start = F.struct(F.lit(1).alias("bin"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("empty"), F.array().cast(f"array<struct<item:{items.schema[item].dataType.simpleString()},bin:int>>").alias("out"))
+    by_group = Window.partitionBy(key, group)
+    total = F.sum(cost).over(by_group) + (F.count("*").over(by_group) - 1) * joint
+    lead = F.row_number().over(by_group.orderBy(*order)) == 1
+    rows = items.select(key, item, F.col(cost).cast("bigint").alias("pack_cost"), total.cast("bigint").alias("pack_total"), lead.alias("pack_lead"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("pack_nth"))
+    line = F.array_sort(F.collect_list(F.struct("pack_nth", "pack_cost", "pack_total", "pack_lead")))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, x: Column) -> Column:
-        over = lambda used, empty, more: ~empty & (used + joint + more > budget)
-        closes = x["lead"] & over(s["used"], s["empty"], x["total"])
-        again = ~closes & over(s["used"], s["empty"], x["cost"])
-        fresh = s["empty"] | closes | again
-        bin_ = s["bin"] + (closes | again).cast("int")
-        used = F.when(fresh, x["cost"]).otherwise(s["used"] + joint + x["cost"]).cast("bigint")
-        return F.struct(bin_.alias("bin"), used.alias("used"), F.lit(False).alias("empty"), F.concat(s["out"], F.array(F.struct(x["item"].alias("item"), bin_.alias("bin")))).alias("out"))
+        full = lambda more: (F.size(s["starts"]) > 0) & (s["used"] + joint + more > budget)
+        opens = (F.size(s["starts"]) == 0) | (x["pack_lead"] & full(x["pack_total"])) | full(x["pack_cost"])
+        used = F.when(opens, x["pack_cost"]).otherwise(s["used"] + joint + x["pack_cost"])
+        return F.struct(used.cast("bigint").alias("used"), F.when(opens, F.array_append(s["starts"], x["pack_nth"])).otherwise(s["starts"]).alias("starts"))
 
-    packed = rows.groupBy(key).agg(F.aggregate(line, start, step, lambda s: s["out"]).alias("out"))
-    return packed.select(key, F.explode("out").alias("x")).select(key, F.col("x.item").alias(item), F.col("x.bin").alias("bin"))
+    return _runs(rows, [key], "pack_nth", F.aggregate(line, start, step, lambda s: s["starts"])).select(key, item, "bin")
 
 
 def keep_fitting(items: DataFrame, key: str, item: str, cost: str, budget: int, *order: Column, joint: int = 1) -> DataFrame:
@@ -152,3 +166,58 @@ def shrink_to_fit(items: DataFrame, budgets: DataFrame, key: str, most: int = 60
     best = told.groupBy(key).agg(F.min(F.when((F.col("cost") <= F.col("budget")) | (F.col("budget") < least), F.struct("rung", row.alias("at")))).alias("fit"), F.max(F.struct("rung", row.alias("at"))).alias("last"))
     at = F.coalesce("fit.at", "last.at")
     return best.select(key, *[at["s"][x].alias(x) for x in lists], at["cost"].alias("cost"), (at["cost"] <= at["budget"]).alias("fits"))
+
+
+def fragments(lines: DataFrame, key: list[str], size: str, budget: int, head: int = 0, context: int = 3) -> DataFrame:
+    """(key, fragment, first, last, from_, to, cost, too_large): a too large hunk in pieces, from `lines` (key, pos, mark, size) of its body.
+
+    A piece takes changed lines from where the one before ended, with all that stands between them, as long as its `size` and a `head` fit the
+    budget; then up to `context` unchanged lines before it, and up to as many after, one at a time, while they fit too. Changed lines stand in
+    one piece each; context may stand in two. `from_` to `to` are the changed lines' places, `first` to `last` those of all; a piece of one line
+    that doesn't fit is too_large and has no context. A hunk that fits, or without changes, is whole.
+
+    Costs along a hunk are running sums, so a piece is a difference of two; where pieces begin is a fold that keeps nothing but that.
+    """
+    w = Window.partitionBy(*key).orderBy("pos")
+    whole = Window.partitionBy(*key)
+    changed = F.col("mark").isin("+", "-")
+    rows = lines.where("mark IN ('+', '-', ' ')").select(*key, "pos", "mark", F.col(size).cast("bigint").alias("size"))
+    rows = rows.withColumns({"upto": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("size").over(whole), "any": F.max(changed.cast("int")).over(whole)})
+    near = {}
+    for side, move in (("b", F.lag), ("a", F.lead)):
+        for i in range(1, context + 1):
+            # What i unchanged lines in a row on this side cost; null where there aren't as many.
+            cost = F.when(~move(changed, i).over(w), move("size", i).over(w))
+            near[f"{side}{i}"] = cost if i == 1 else F.col(f"{side}{i - 1}") + cost
+    for name, column in near.items():
+        rows = rows.withColumn(name, column)
+    is_whole = (F.col("all") + head <= budget) | (F.col("any") == 0)
+    parts = rows.where(~is_whole).where(changed).withColumn("nth", F.row_number().over(w))
+    line = F.array_sort(F.collect_list(F.struct("nth", "upto", "size")))
+    start = F.struct(F.lit(0).cast("bigint").alias("base"), F.array().cast("array<int>").alias("starts"))
+
+    def step(s: Column, x: Column) -> Column:
+        opens = (F.size(s["starts"]) == 0) | (x["upto"] - s["base"] + head > budget)
+        return F.struct(F.when(opens, x["upto"] - x["size"]).otherwise(s["base"]).alias("base"), F.when(opens, F.array_append(s["starts"], x["nth"])).otherwise(s["starts"]).alias("starts"))
+
+    dealt = _runs(parts, key, "nth", F.aggregate(line, start, step, lambda s: s["starts"]))
+    ends = lambda pick, side: F.struct(pick("pos").alias("pos"), *[pick(f"{side}{i}").alias(f"n{i}") for i in range(1, context + 1)])
+    piece = dealt.groupBy(*key, "bin").agg(ends(lambda c: F.min_by(c, "nth"), "b").alias("b"), ends(lambda c: F.max_by(c, "nth"), "a").alias("a"), (F.max("upto") - F.min(F.col("upto") - F.col("size")) + head).alias("own"))
+    fits = F.col("own") <= budget
+
+    def taken(side: str, used: Column) -> tuple[Column, Column]:
+        n, cost = F.lit(0), F.lit(0).cast("bigint")
+        for i in range(1, context + 1):
+            more = F.col(f"{side}.n{i}")
+            ok = fits & more.isNotNull() & (used + more <= budget)
+            # One that doesn't fit ends it, whatever follows; costs only grow.
+            n, cost = F.when(ok, i).otherwise(n), F.when(ok, more).otherwise(cost)
+        return n, cost
+
+    n_b, cost_b = taken("b", F.col("own"))
+    piece = piece.withColumns({"n_b": n_b, "cost_b": cost_b})
+    n_a, cost_a = taken("a", F.col("own") + F.col("cost_b"))
+    piece = piece.withColumns({"n_a": n_a, "cost_a": cost_a})
+    cut = piece.select(*key, F.col("bin").alias("fragment"), (F.col("b.pos") - F.col("n_b")).alias("first"), (F.col("a.pos") + F.col("n_a")).alias("last"), F.col("b.pos").alias("from_"), F.col("a.pos").alias("to"), (F.col("own") + F.col("cost_b") + F.col("cost_a")).alias("cost"), (~fits).alias("too_large"))
+    full = rows.where(is_whole).groupBy(*key).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min(F.when(changed, F.col("pos"))).alias("from_"), F.max(F.when(changed, F.col("pos"))).alias("to"), (F.max("all") + head).alias("cost"))
+    return cut.unionByName(full.select(*key, F.lit(1).alias("fragment"), "first", "last", "from_", "to", "cost", F.lit(False).alias("too_large")))

@@ -69,15 +69,18 @@ def diff_numbered(d: Data) -> DataFrame:
     return rows.groupBy("id").agg(F.max(F.when(F.col("line") == " keep", F.col("shown"))).alias("keep"), F.max(F.when(F.col("line") == "-gone", F.col("shown"))).alias("gone"))
 
 
-#: A hunk of 31 context lines with changes at lines 12 and 16.
-_LONG = "SELECT s_suppkey AS id, concat('--- a/f.py', chr(10), '+++ b/f.py', chr(10), '@@ -1,30 +1,30 @@', chr(10), {body}) AS diff FROM {{supplier}}".format(body=", ".join(f"'{'+' if i == 12 else '-' if i == 16 else ' '}l{i}', chr(10)" for i in range(1, 34)))
+#: A hunk for each customer: an order is a line, a third of them changed; texts of orders.
+_ROWS = "SELECT o_custkey AS id, 1 AS block, CAST(o_custkey % 2 + 1 AS BIGINT) AS hunk, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS pos, CASE WHEN o_orderkey % 7 = 0 AND o_custkey % 5 > 0 THEN '+' ELSE ' ' END AS mark, concat('l', CAST(o_orderkey AS STRING)) AS line, o_orderkey AS new_line FROM {orders}"
+_KEPT = f"""SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY id ORDER BY pos) - 1 AS gap, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM (
+SELECT *, CASE WHEN n <= 9 THEN TRUE WHEN NOT changed THEN pos <= 9 WHEN s6 <= 9 THEN n6 WHEN s4 <= 9 THEN n4 WHEN s3 <= 9 THEN n3 WHEN s2 <= 9 THEN n2 ELSE n1 END AS keep FROM (
+SELECT *, count(*) OVER (PARTITION BY id) AS n, bool_or(mark = '+') OVER (PARTITION BY id) AS changed, {', '.join(f"count(*) FILTER (WHERE n{c}) OVER (PARTITION BY id) AS s{c}" for c in (6, 4, 3, 2, 1))} FROM (
+SELECT *, {', '.join(f"bool_or(mark = '+') OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {c} PRECEDING AND {c} FOLLOWING) AS n{c}" for c in (6, 4, 3, 2, 1))} FROM ({_ROWS})))) WHERE keep"""
 
 
-@query("diff_trim", "SELECT s_suppkey AS id, 11 AS kept, 0 AS gaps FROM {supplier}")
+@query("diff_trim", f"""WITH k AS ({_KEPT}) SELECT id, pos, 1 AS place, lpad(CAST(new_line AS VARCHAR), CAST(greatest(6, length(CAST(new_line AS VARCHAR))) AS INTEGER), ' ') || ' ' || line AS shown FROM k UNION ALL SELECT id, pos, 0, '... ' || gap || ' unchanged lines omitted ...' FROM k WHERE gap > 0 AND k > 1""")
 def diff_trim(d: Data) -> DataFrame:
-    """At most 11 lines: reaches of 6 and 4 are too wide, 3 gives lines 9 to 19."""
-    rows = read.trimmed(read.diff_lines(d(_LONG), "id", "diff"), "id", 11)
-    return rows.groupBy("id").agg(F.count("*").alias("kept"), F.sum("gap").alias("gaps"))
+    """At most 9 lines of a hunk as they are told, with a row for each gap."""
+    return read.with_gaps(read.trimmed(d(_ROWS), "id", 9), "id").select("id", "pos", "place", "shown")
 
 
 @query("whole_file", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE length(rtrim(text, chr(10))) - length(replace(text, chr(10), '')) + 1 + (length(text) - length(rtrim(text, chr(10)))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n FROM {documents} WHERE text <> ''")

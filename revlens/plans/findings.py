@@ -221,3 +221,36 @@ def review_report(d: Data) -> DataFrame:
     told = op.bucket(d(FINDINGS), files, d(CHANGED)).withColumn("r", X.rank_of(F.col("severity")))
     place = F.array_position(F.array(*[F.lit(b) for b in ("requirement_gap", "outside_diff", "nitpick", "actionable")]), F.col("bucket")) - 1
     return told.groupBy(place.cast("int").alias("bucket"), "file").agg(F.count("*").alias("n"), F.max("r").alias("worst"), F.count_if(F.col("r") >= 2).alias("blockers"))
+
+
+_REVIEWED = FINDINGS.replace("SELECT event_id AS pos", "SELECT user_id % 300 AS review, event_id AS pos", 1)
+_REVIEWS = "SELECT c_custkey AS review, CASE WHEN c_custkey % 2 = 0 THEN 'complete' ELSE 'partial' END AS status FROM {customer} WHERE c_custkey < 400"
+_JSON = r"""'{{"file":"' || file || '","start_line":' || start_line || ',"end_line":' || end_line || ',"severity":"' || severity || '","category":"' || category || '","kind":"' || kind || '","title":"' || title
+|| '","body":"' || replace(body, chr(10), '\n') || '","evidence":"' || evidence || '","evidence_note":"' || evidence_note || '"' || CASE WHEN suggestion <> '' THEN ',"suggestion":"' || suggestion || '"' ELSE '' END || '}}'"""
+
+
+@query(
+    "review_documents",
+    f"""WITH f AS ({_REVIEWED}), a AS (SELECT review, string_agg({_JSON}, ',' ORDER BY {RANK} DESC, file, start_line, pos) AS listed, count(*) AS n,
+concat_ws(',', {', '.join(f"CASE WHEN count(*) FILTER (WHERE severity = '{s}') > 0 THEN '\"{s}\":' || count(*) FILTER (WHERE severity = '{s}') END" for s in ('critical', 'major', 'minor', 'info'))}) AS by FROM f GROUP BY review)
+SELECT review, '{{{{"schema_version":7,"status":"' || status || '","summary":{{{{"total":' || coalesce(n, 0) || ',"by_severity":{{{{' || coalesce("by", '') || '}}}}}}}},"findings":[' || coalesce(listed, '') || ']}}}}' AS json FROM ({_REVIEWS}) LEFT JOIN a USING (review)""".replace("AS by FROM", 'AS "by" FROM'),
+)
+def review_documents(d: Data) -> DataFrame:
+    return sinks.documents(d(_REVIEWED), d(_REVIEWS), agent=True)
+
+
+_AT = "'`' || file || ':' || start_line || CASE WHEN end_line <> start_line THEN '-' || end_line ELSE '' END || '`'"
+
+
+@query(
+    "review_markdown",
+    f"""WITH f AS (SELECT *, CASE WHEN kind IN ('requirement_gap', 'nitpick') THEN kind ELSE 'actionable' END AS bucket FROM ({_REVIEWED})), s AS (SELECT review, bucket, '## ' || CASE bucket WHEN 'requirement_gap' THEN 'Requirement gaps' WHEN 'nitpick' THEN 'Nitpicks' ELSE 'Actionable' END || ' (' || count(*) || ')' || chr(10) || chr(10)
+|| '| Place | Severity | Finding |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || {_AT} || ' | ' || severity || ' | ' || title || ' |', chr(10) ORDER BY {RANK} DESC, file, start_line, pos) AS section FROM f GROUP BY review, bucket),
+t AS (SELECT review, string_agg(section, chr(10) || chr(10) ORDER BY list_position(['requirement_gap', 'actionable', 'nitpick'], bucket)) AS sections FROM s GROUP BY review),
+n AS (SELECT review, concat_ws(', ', {', '.join(f"count(*) FILTER (WHERE severity = '{s}') || ' {s}'" for s in ('critical', 'major', 'minor', 'info'))}) AS line FROM f GROUP BY review)
+SELECT review, '# Review: ' || status || chr(10) || chr(10) || coalesce(line, '0 critical, 0 major, 0 minor, 0 info') || chr(10) || chr(10) || coalesce(sections, 'No findings.') AS text FROM ({_REVIEWS}) LEFT JOIN n USING (review) LEFT JOIN t USING (review)""",
+)
+def review_markdown(d: Data) -> DataFrame:
+    """Reports in the short form; each finding in the bucket that its kind gives it."""
+    kind = F.col("kind")
+    return sinks.markdown_documents(d(_REVIEWED).withColumn("bucket", F.when(kind.isin("requirement_gap", "nitpick"), kind).otherwise("actionable")), d(_REVIEWS), full=False)

@@ -122,6 +122,23 @@ def tool_findings(d: Data) -> DataFrame:
     return tools.findings(d(_RUNS).select("tool", "stdout")).select("file", "start_line", "severity", "category", "rule_id")
 
 
+#: The same runs, of which some gave nothing, and a scanner's whose findings are reported whole.
+_ALL_RUNS = f"SELECT tool, CASE WHEN event_id % 4 > 0 THEN stdout END AS stdout, 'timed out' AS reason, event_id FROM ({_RUNS}) UNION ALL SELECT 'osv-scanner', concat('{{{{\"results\":[{{{{\"source\":{{{{\"path\":\"l', CAST(s_suppkey AS STRING), '\"}}}},\"packages\":[{{{{\"package\":{{{{\"name\":\"p\",\"version\":\"1\"}}}},\"vulnerabilities\":[{{{{\"id\":\"V', CAST(s_suppkey AS STRING), '\",\"summary\":\"s\"}}}}]}}}}]}}}}]}}}}'), NULL, s_suppkey FROM {{supplier}}"
+_TOUCHED = "SELECT concat('f', CAST(o_orderkey AS STRING)) AS file, CAST(o_custkey % 50 AS BIGINT) AS line FROM {orders}"
+
+
+@query(
+    "routed_findings",
+    f"""SELECT 'inline' AS part, 'f' || event_id AS file, event_id % 50 AS line, tool AS told FROM ({_ALL_RUNS}) r WHERE tool <> 'osv-scanner' AND stdout IS NOT NULL AND event_id % 50 > 0 AND NOT (tool = 'mypy' AND stdout LIKE '%"note"%') AND EXISTS (SELECT 1 FROM ({_TOUCHED}) t WHERE t.file = 'f' || r.event_id AND t.line = r.event_id % 50)
+UNION ALL SELECT 'reported', 'l' || s_suppkey, 1, 'osv-scanner/V' || s_suppkey FROM {{supplier}} UNION ALL SELECT DISTINCT 'unavailable', NULL, NULL, tool FROM ({_ALL_RUNS}) WHERE stdout IS NULL""",
+)
+def routed_findings(d: Data) -> DataFrame:
+    inline, reported, missing = tools.routed(d(_ALL_RUNS).select("tool", "stdout", "reason"), d(_TOUCHED))
+    row = lambda df, part, told: df.select(F.lit(part).alias("part"), "file", F.col("start_line").alias("line"), told.alias("told"))
+    out = row(inline, "inline", F.col("tool")).unionByName(row(reported, "reported", F.concat(F.lit("osv-scanner/"), F.regexp_extract("rule_id", r"([^/]*)\z", 1))))
+    return out.unionByName(missing.select(F.lit("unavailable").alias("part"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("line"), F.col("tool").alias("told")))
+
+
 _CODES = "SELECT l_orderkey AS k, l_linenumber AS n, concat(CASE l_linenumber % 5 WHEN 0 THEN 'F8' WHEN 1 THEN 'PERF' WHEN 2 THEN 'E' WHEN 3 THEN 'SIM' ELSE 'QQ' END, CAST(l_partkey % 30 AS STRING)) AS code, l_partkey % 30 AS p FROM {lineitem}"
 
 

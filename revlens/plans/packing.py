@@ -127,3 +127,40 @@ _TWO = "SELECT c_nationkey AS code, 'symbol' AS kind, c_custkey AS pos, c_name A
 @query("first_of_each", f"SELECT code, kind, told FROM (SELECT *, row_number() OVER (PARTITION BY code, kind ORDER BY source, pos) AS n FROM (SELECT *, 0 AS source FROM ({_ONE}) UNION ALL SELECT *, 1 FROM ({_TWO}))) WHERE n = 1")
 def first_of_each(d: Data) -> DataFrame:
     return graph.first_of_each([d(_ONE), d(_TWO)], ["code", "kind"]).select("code", "kind", "told")
+
+
+#: Turns as files of a plan by pairs; the cost is that of the joined text, in tokens.
+_TEXTS = "SELECT conv_id, turn, CAST(floor(turn / 2) AS BIGINT) AS pair, CAST(length(text) AS BIGINT) AS chars FROM {conversations}"
+_TEXT_ROWS = f"SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, row_number() OVER (PARTITION BY conv_id, pair ORDER BY turn) = 1 AS lead, sum(chars) OVER (PARTITION BY conv_id, pair) + 2 * (count(*) OVER (PARTITION BY conv_id, pair) - 1) AS total FROM ({_TEXTS})"
+
+
+@query(
+    "joined_pack",
+    f"""WITH RECURSIVE i AS ({_TEXT_ROWS}), w AS (SELECT conv_id, turn, n, 1 AS bin, chars AS used FROM i WHERE n = 1 UNION ALL
+SELECT i.conv_id, i.turn, i.n, w.bin + CASE WHEN (lead AND (used + 2 + total) // 4 > 250) OR (used + 2 + chars) // 4 > 250 THEN 1 ELSE 0 END,
+CASE WHEN (lead AND (used + 2 + total) // 4 > 250) OR (used + 2 + chars) // 4 > 250 THEN chars ELSE used + 2 + chars END FROM w JOIN i ON i.conv_id = w.conv_id AND i.n = w.n + 1)
+SELECT conv_id, turn, bin FROM w""",
+)
+def joined_pack(d: Data) -> DataFrame:
+    return op.pack(d(_TEXTS), "conv_id", "turn", "pair", "chars", op.budget_of(250), F.col("turn"), joint=2)
+
+
+#: Orders of a customer as the lines of a hunk: some changed, some not; long ones are cut into pieces.
+_HUNK = "SELECT o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS pos, CASE o_orderkey % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END AS mark, CAST(o_orderkey % 37 + 1 AS BIGINT) AS size FROM {orders}"
+
+
+@query(
+    "hunk_fragments",
+    f"""WITH RECURSIVE l AS (SELECT *, sum(size) OVER w AS upto, sum(size) OVER (PARTITION BY id) AS whole, max(mark <> ' ') OVER (PARTITION BY id) AS alters, row_number() OVER (PARTITION BY id, mark <> ' ' ORDER BY pos) AS nth FROM ({_HUNK}) WINDOW w AS (PARTITION BY id ORDER BY pos)),
+c AS (SELECT * FROM l WHERE mark <> ' ' AND whole + 8 > 60 AND alters),
+g AS (SELECT id, pos, nth, upto, size, 1 AS fragment, upto - size AS base FROM c WHERE nth = 1 UNION ALL SELECT c.id, c.pos, c.nth, c.upto, c.size, fragment + CASE WHEN c.upto - base + 8 > 60 THEN 1 ELSE 0 END, CASE WHEN c.upto - base + 8 > 60 THEN c.upto - c.size ELSE base END FROM g JOIN c ON c.id = g.id AND c.nth = g.nth + 1),
+p AS (SELECT id, fragment, min(pos) AS s, max(pos) AS e, max(upto) - min(upto - size) + 8 AS own FROM g GROUP BY id, fragment),
+b AS (SELECT id, fragment, s, e, own, 0 AS k, own AS cost FROM p UNION ALL SELECT b.id, fragment, s, e, own, k + 1, cost + l.size FROM b JOIN l ON l.id = b.id AND l.pos = b.s - k - 1 WHERE k < 3 AND own <= 60 AND l.mark = ' ' AND cost + l.size <= 60),
+bb AS (SELECT *, row_number() OVER (PARTITION BY id, fragment ORDER BY k DESC) AS r FROM b),
+a AS (SELECT id, fragment, s, e, own, k, 0 AS m, cost FROM bb WHERE r = 1 UNION ALL SELECT a.id, fragment, s, e, own, k, m + 1, cost + l.size FROM a JOIN l ON l.id = a.id AND l.pos = a.e + m + 1 WHERE m < 3 AND own <= 60 AND l.mark = ' ' AND cost + l.size <= 60),
+aa AS (SELECT *, row_number() OVER (PARTITION BY id, fragment ORDER BY m DESC) AS r FROM a)
+SELECT id, fragment, s - k AS first, e + m AS last, s AS from_, e AS to_, cost::BIGINT AS cost, own > 60 AS too_large FROM aa WHERE r = 1
+UNION ALL SELECT id, 1, min(pos), max(pos), min(pos) FILTER (WHERE mark <> ' '), max(pos) FILTER (WHERE mark <> ' '), (any_value(whole) + 8)::BIGINT, FALSE FROM l WHERE whole + 8 <= 60 OR NOT alters GROUP BY id""",
+)
+def hunk_fragments(d: Data) -> DataFrame:
+    return op.fragments(d(_HUNK), ["id"], "size", 60, head=8).withColumnRenamed("to", "to_")

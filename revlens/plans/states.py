@@ -100,3 +100,16 @@ def resolution_steps(d: Data) -> DataFrame:
 @query("plan_signature", "SELECT doc_id, sha256('{{{{\"budget\":100,\"text\":\"' || md5(text) || '\"}}}}') AS signature FROM {documents}".replace("{{{{", "{{").replace("}}}}", "}}"))
 def plan_signature(d: Data) -> DataFrame:
     return d.table("documents").select("doc_id", op.signature({"text": F.md5("text"), "budget": F.lit(100)}).alias("signature"))
+
+
+#: A state file for each customer: of the version that is read, of another, or broken.
+_STATES = """SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN concat('{{"version":2,"reviews":{{"k', CAST(c_custkey AS STRING), '":{{}}}}}}') WHEN 1 THEN '{{"version":1,"revi' WHEN 2 THEN '[1]'
+ELSE concat('{{"version":1,"reviews":{{"k', CAST(c_custkey AS STRING), '":{{"fingerprints":["', c_mktsegment, '","a","a"],"digest":"d', CAST(c_nationkey AS STRING), '"}},"odd', CAST(c_custkey AS STRING), '":', CASE WHEN c_nationkey % 2 = 0 THEN '7' ELSE '{{"head_sha":"h"}}' END, '}}}}') END AS text FROM {customer}"""
+
+
+@query(
+    "stored_reviews",
+    """SELECT 'k' || c_custkey AS key, c_mktsegment || ',a' AS fingerprints, '' AS head_sha, 'd' || c_nationkey AS digest FROM {customer} WHERE c_custkey % 5 > 2 UNION ALL SELECT 'odd' || c_custkey, '', 'h', '' FROM {customer} WHERE c_custkey % 5 > 2 AND c_nationkey % 2 = 1""",
+)
+def stored_reviews(d: Data) -> DataFrame:
+    return op.stored_reviews(d(_STATES)).select("key", F.array_join("fingerprints", ",").alias("fingerprints"), "head_sha", "digest")

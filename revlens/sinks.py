@@ -34,17 +34,53 @@ def ordered(findings: DataFrame) -> list[Column]:
     return [X.rank_of(F.col("severity")).desc(), F.col("file"), F.col("start_line"), F.col("pos")]
 
 
-def document(findings: DataFrame, status: str, agent: bool = False) -> DataFrame:
-    """One row (json): the whole review, its findings in order. A review's findings are limited, so one task can hold them."""
-    rank = F.struct((-X.rank_of(F.col("severity"))).alias("r"), F.col("file").alias("f"), F.col("start_line").alias("l"), F.col("pos").alias("p"))
-    body = findings.select(rank.alias("rank"), finding_json(findings, agent).alias("json")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "json"))), lambda x: x["json"]).alias("all"))
-    by = counts(findings).where("n > 0").agg(F.array_sort(F.collect_list(F.struct("place", "severity", "n"))).alias("by"), F.sum("n").alias("total"))
-    parts = F.transform("by", lambda x: F.concat(F.lit('"'), x["severity"], F.lit('":'), x["n"].cast("string")))
+def _order() -> Column:
+    """The order of findings in a report, as a struct that sorts."""
+    return F.struct((-X.rank_of(F.col("severity"))).alias("r"), F.col("file").alias("f"), F.col("start_line").alias("l"), F.col("pos").alias("p"))
+
+
+def documents(findings: DataFrame, reviews: DataFrame, agent: bool = False) -> DataFrame:
+    """(review, json): each of `reviews` (review, status) as one document with its findings (review, ...) in order; a review without findings has an empty list, and a severity without any no count.
+
+    What one review reports is limited, so one row can hold it; reviews are dealt to tasks like any key.
+    """
+    own = findings.select("review", F.struct(_order().alias("o"), finding_json(findings, agent).alias("json"), "severity").alias("x"))
+    met = own.groupBy("review").agg(F.array_sort(F.collect_list("x")).alias("all"), *[F.count_if(F.col("x.severity") == s).alias(f"n_{s}") for s in X.SEVERITIES])
+    rows = reviews.join(met, "review", "left")
+    counts_ = F.array_compact(F.array(*[F.when(F.col(f"n_{s}") > 0, F.concat(F.lit(f'"{s}":'), F.col(f"n_{s}").cast("string"))) for s in reversed(X.SEVERITIES)]))
+    listed = F.coalesce(F.transform("all", lambda x: x["json"]), F.array().cast("array<string>"))
     json = F.concat(
-        F.lit(f'{{"schema_version":{SCHEMA_VERSION},"status":"{status}","summary":{{"total":'), F.coalesce("total", F.lit(0)).cast("string"), F.lit(',"by_severity":{'),
-        F.array_join(parts, ","), F.lit('}},"findings":['), F.array_join("all", ","), F.lit("]}"),
+        F.lit(f'{{"schema_version":{SCHEMA_VERSION},"status":'), F.regexp_replace(F.to_json(F.array("status")), r"(?s)\A\[(.*)\]\z", "$1"), F.lit(',"summary":{"total":'), F.size(listed).cast("string"),
+        F.lit(',"by_severity":{'), F.array_join(counts_, ","), F.lit('}},"findings":['), F.array_join(listed, ","), F.lit("]}"),
     )
-    return body.join(by, F.lit(True)).select(json.alias("json"))
+    return rows.select("review", json.alias("json"))
+
+
+#: Parts of a report in the order in which they are told, and their heads.
+BUCKETS = {"requirement_gap": "Requirement gaps", "actionable": "Actionable", "nitpick": "Nitpicks", "outside_diff": "Outside the diff"}
+
+
+def markdown_documents(findings: DataFrame, reviews: DataFrame, full: bool = True) -> DataFrame:
+    """(review, text): a report of each of `reviews` (review, status): how many findings of each severity, then every finding (review, bucket, ...) under the head of its bucket.
+
+    The full form has each with its body and its replacement, in a fence that the text can't close; the short form a row of a table each. Both hold every finding.
+    """
+    at = F.concat(F.lit("`"), X.location(F.col("file"), F.col("start_line"), F.col("end_line")), F.lit("`"))
+    fix = F.coalesce(F.col("suggestion"), F.lit(""))
+    fence = X.fence_for(fix)
+    long = F.concat(F.lit("### "), X.flatten(F.col("title")), F.lit("\n\n"), at, F.lit(" · "), F.col("severity"), F.lit("\n\n"), X.strip(F.coalesce("body", F.lit(""))), F.when(fix != "", F.concat(F.lit("\n\n"), fence, F.lit("\n"), fix, F.lit("\n"), fence)).otherwise(""))
+    short = F.concat(F.lit("| "), at, F.lit(" | "), F.col("severity"), F.lit(" | "), X.escape_cell(X.flatten(F.col("title"))), F.lit(" |"))
+    place = F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), F.col("bucket"))
+    parts = findings.groupBy("review", "bucket").agg(F.array_sort(F.collect_list(F.struct(_order().alias("o"), (long if full else short).alias("t")))).alias("all"), F.first(place).alias("place"))
+    head = F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair])[F.col("bucket")]
+    body = F.array_join(F.transform("all", lambda x: x["t"]), "\n\n" if full else "\n")
+    table = F.lit("") if full else F.lit("| Place | Severity | Finding |\n| --- | --- | --- |\n")
+    sections = parts.select("review", "place", F.concat(F.lit("## "), head, F.lit(" ("), F.size("all").cast("string"), F.lit(")\n\n"), table, body).alias("section"))
+    texts = sections.groupBy("review").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda x: x["section"]), "\n\n").alias("sections"))
+    n = findings.groupBy("review").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in X.SEVERITIES])
+    line = F.array_join(F.array(*[F.concat(F.coalesce(F.col(f"n_{s}"), F.lit(0)).cast("string"), F.lit(f" {s}")) for s in reversed(X.SEVERITIES)]), ", ")
+    met = reviews.join(n, "review", "left").join(texts, "review", "left")
+    return met.select("review", F.concat(F.lit("# Review: "), "status", F.lit("\n\n"), line, F.lit("\n\n"), F.coalesce("sections", F.lit("No findings."))).alias("text"))
 
 
 def instructions(findings: DataFrame) -> DataFrame:

@@ -131,6 +131,15 @@ def trimmed(lines: DataFrame, key: str, most: int, reaches: tuple[int, ...] = (6
     return kept.select(*lines.columns, gap.alias("gap"))
 
 
+def with_gaps(kept: DataFrame, key: str) -> DataFrame:
+    """(key, block, hunk, pos, place, shown): trimmed() as it is told: the lines in order, and before each that follows a gap a row that says how many were left out, at the same pos and one place before."""
+    by = [key, "block", "hunk"]
+    note = F.concat(F.lit("... "), F.col("gap").cast("string"), F.lit(" unchanged lines omitted ..."))
+    rows = numbered(kept).select(*by, "pos", "gap", "shown")
+    told = rows.select(*by, "pos", F.explode(F.when(F.col("gap") > 0, F.array(F.struct(F.lit(0).alias("place"), note.alias("shown")), F.struct(F.lit(1).alias("place"), F.col("shown")))).otherwise(F.array(F.struct(F.lit(1).alias("place"), F.col("shown"))))).alias("r"))
+    return told.select(*by, "pos", "r.place", "r.shown")
+
+
 def whole_file(files: DataFrame, path: str, text: str) -> DataFrame:
     """The lines of a text as one hunk of additions: (path, line, position, text), position one more than the line."""
     rows = files.select(path, F.posexplode(split_lines(F.col(text))).alias("i", "text"))

@@ -9,7 +9,7 @@ from revlens.functions.paths import matches_any
 from revlens.functions.text import strip
 
 #: Directories that are never read.
-PRUNED = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".idea", ".vscode", "coverage", ".next", ".nuxt", ".gradle", ".terraform", "bower_components", "site-packages")
+PRUNED = (".git", ".hg", ".svn", ".bzr", "node_modules", "vendor", "dist", "build", "target", "out", "__pycache__", ".venv", "venv", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".cache", ".next", ".nuxt", ".gradle", ".idea", ".terraform")
 MOST_BYTES, HEAD = 512 * 1024, 8192
 
 

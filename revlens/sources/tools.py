@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.operators.findings import only_changed
 from revlens.operators.graph import longest_prefix
 from revlens.sources.diffs import split_lines
 
@@ -160,6 +161,16 @@ def findings(runs: DataFrame, readers: dict[str, Callable[[DataFrame], DataFrame
     return out
 
 
+def routed(runs: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inline, reported, unavailable) of a review's runs (tool, stdout, reason): findings whose span holds a changed line (file, line), all findings of the REPORT_ONLY tools, and (tool, reason) of the runs that gave no output."""
+    gave = runs.where(F.col("stdout").isNotNull())
+    out = findings(gave, {t: r for t, r in READERS.items() if t not in REPORT_ONLY})
+    reported = findings(gave, {t: READERS[t] for t in REPORT_ONLY})
+    # Equal findings share their fate, so what they say names them.
+    named = out.withColumn("pos", F.sha2(F.to_json(F.struct(*out.columns)), 256))
+    return only_changed(named, changed).drop("pos"), reported, runs.where(F.col("stdout").isNull()).select("tool", "reason").distinct()
+
+
 def applicable(tools: DataFrame, files: DataFrame) -> DataFrame:
     """(tool, path): a tool's files by its globs (regexes) if it has some, else by its languages, else all. `tools` (tool, globs, languages, network, named): one that needs the network runs only where it is named."""
     by_glob = F.exists("globs", lambda g: F.regexp_like(F.col("path"), g))

@@ -109,6 +109,24 @@ class VersionedTable:
             fs.delete(path(rows), True)
 
 
+#: The version of stored review files that is read.
+STATE_VERSION = 1
+
+
+def stored_reviews(files: DataFrame) -> DataFrame:
+    """(key, fingerprints, head_sha, digest, overview) of state files (text): a map of reviews under `reviews`, of version STATE_VERSION.
+
+    A file that is missing, null, no JSON or of another version has none, as if nothing had been stored; a review that isn't a map is left out. Of a
+    key that stands in several files the least record counts.
+    """
+    whole = files.select(F.try_parse_json("text").alias("v")).where(F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)) & (F.try_variant_get("v", "$.version", "int") == STATE_VERSION))
+    reviews = whole.select(F.try_variant_get("v", "$.reviews", "map<string,variant>").alias("m")).where("m IS NOT NULL").select(F.explode("m").alias("key", "r"))
+    text = lambda name: F.try_variant_get("r", f"$.{name}", "string")
+    known = F.coalesce(F.try_variant_get("r", "$.fingerprints", "array<string>"), F.array().cast("array<string>"))
+    rows = reviews.where(F.schema_of_variant("r").startswith("OBJECT")).select("key", F.array_sort(F.array_distinct(F.array_compact(known))).alias("fingerprints"), F.coalesce(text("head_sha"), F.lit("")).alias("head_sha"), F.coalesce(text("digest"), F.lit("")).alias("digest"), text("overview").alias("overview"))
+    return rows.groupBy("key").agg(F.min(F.struct("fingerprints", "head_sha", "digest", "overview")).alias("x")).select("key", "x.*")
+
+
 def record(stored: DataFrame, run: DataFrame) -> DataFrame:
     """Reviews (key, fingerprints, head_sha, digest, overview) after a run: fingerprints united, a cached overview only as long as the digest stays."""
     new = run.select("key", *[F.col(c).alias(f"new_{c}") for c in ("fingerprints", "head_sha", "digest", "overview")])
