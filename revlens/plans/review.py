@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens import operators as op
+from revlens.operators import relations
 
 _EVENTS = ["click", "purchase", "view", "error", "never_seen"]
 
@@ -44,7 +45,7 @@ QUERIES = {
     "fingerprint": lambda s, d: _t(s, d, "documents").select("doc_id", F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "lang", "text")]), 256), 1, 16).alias("fingerprint")),
     "conditional_demote": lambda s, d: _t(s, d, "events").select("event_id", F.when((F.col("event_type") == "error") & (F.col("value") < 50), "minor").when(F.col("event_type") == "error", "critical").otherwise("info").alias("severity")),
     "glob_filter": lambda s, d: _t(s, d, "pages").where(F.col("url").rlike(r"^https?://[^/]+/(en|de)/[^/]+\.html$")).select("page_id", "url"),
-    "division": lambda s, d: _t(s, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")).alias("ok")).where("ok").select("l_orderkey"),
+    "division": lambda s, d: relations.complete(_t(s, d, "lineitem").select("l_orderkey", "l_shipdate"), _t(s, d, "lineitem").where(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")).select("l_shipdate"), "l_orderkey", ["l_shipdate"]),
     "first_reason_counts": lambda s, d: _t(s, d, "documents").select(F.when(F.col("n_chars") < 200, "short").when(F.col("n_chars") > 5000, "long").when(F.col("lang") != "en", "language").otherwise("none").alias("reason"), "text").groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts")),
 }
 

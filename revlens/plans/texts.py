@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import paths as P
 from revlens.functions import text as X
-from revlens.operators import newest_wins
-from revlens.operators import packing
+from revlens.operators import newest_wins, packing, relations
 from revlens.plans.inputs import Data, query
 from revlens.sources import files, replies, tools
 
@@ -143,53 +142,69 @@ def common_directories(d: Data) -> DataFrame:
 @query("latest_links", "SELECT user_id, event_id AS last, first FROM (SELECT user_id, event_id, min(event_id) OVER (PARTITION BY user_id) AS first, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM {events}) WHERE n = 1 ORDER BY first LIMIT 30")
 def latest_links(d: Data) -> DataFrame:
     """The last event of each number, in the order in which numbers first appear."""
-    each = d.table("events").groupBy("user_id").agg(F.max("event_id").alias("last"), F.min("event_id").alias("first"))
-    return each.orderBy("first").limit(30).select("user_id", "last", "first")
+    events = d.table("events").select(F.lit(0).alias("change"), "user_id", "event_id")
+    return relations.linked_changes(events, "change", "user_id", "event_id", most=30).select("user_id", F.col("event_id").alias("last"), "first")
 
 
 @query("two_way_sets", "SELECT k, bool_or(side = 1) AS in_old, bool_or(side = 2) AS in_new FROM (SELECT c_nationkey AS k, 1 AS side FROM {customer} UNION ALL SELECT s_nationkey, 2 FROM {supplier}) GROUP BY k")
 def two_way_sets(d: Data) -> DataFrame:
-    old = d.table("customer").select(F.col("c_nationkey").alias("k"), F.lit(1).alias("side"))
-    both = old.unionByName(d.table("supplier").select(F.col("s_nationkey").alias("k"), F.lit(2).alias("side")))
-    return both.groupBy("k").agg(F.bool_or(F.col("side") == 1).alias("in_old"), F.bool_or(F.col("side") == 2).alias("in_new"))
+    return relations.sides(d.table("customer").select(F.col("c_nationkey").alias("k")), d.table("supplier").select(F.col("s_nationkey").alias("k")), "k")
 
 
 @query("documented_share", "SELECT lang, count(DISTINCT n_chars) AS symbols, count(DISTINCT CASE WHEN source = 'src0' THEN n_chars END) / nullif(count(DISTINCT n_chars), 0) AS ratio FROM {documents} GROUP BY lang")
 def documented_share(d: Data) -> DataFrame:
-    ratio = F.try_divide(F.count_distinct(F.when(F.col("source") == "src0", F.col("n_chars"))), F.count_distinct("n_chars"))
-    return d.table("documents").groupBy("lang").agg(F.count_distinct("n_chars").alias("symbols"), ratio.alias("ratio"))
+    return relations.documented_share(d.table("documents").select("lang", "n_chars", "source"), "lang", "n_chars", F.col("source") == "src0")
 
 
 @query("usage", "SELECT sum(length(text)) AS tokens, string_agg(role, ',' ORDER BY first) AS models FROM (SELECT role, min(conv_id * 100 + turn) AS first FROM {conversations} GROUP BY role), (SELECT sum(length(text)) AS x FROM {conversations}) LEFT JOIN (SELECT 0 AS z) ON FALSE GROUP BY x".replace("sum(length(text)) AS tokens", "x::BIGINT AS tokens"))
 def usage(d: Data) -> DataFrame:
     """Tokens summed, models in the order in which they first appear."""
-    each = d.table("conversations").groupBy("role").agg(F.sum(F.length("text")).alias("n"), F.min(F.col("conv_id") * 100 + F.col("turn")).alias("first"))
-    return each.agg(F.sum("n").alias("tokens"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "role"))), lambda x: x["role"]), ",").alias("models"))
+    out = relations.usage_total(d.table("conversations"), "role", F.length("text"), F.col("conv_id") * 100 + F.col("turn"))
+    return out.withColumn("models", F.array_join("models", ","))
 
 
 @query("chunks_by_path", "SELECT chunk, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT user_id % 50 AS path, min(event_id % 20) AS chunk FROM {events} GROUP BY 1) GROUP BY chunk")
 def chunks_by_path(d: Data) -> DataFrame:
-    first = d.table("events").groupBy((F.col("user_id") % 50).alias("path")).agg(F.min(F.col("event_id") % 20).alias("chunk"))
-    return first.groupBy("chunk").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+    ranges = d.table("events").select((F.col("user_id") % 50).alias("path"), (F.col("event_id") % 20).alias("chunk"))
+    return relations.paths_by_chunk(ranges, "path", "chunk").withColumn("paths", F.array_join("paths", ","))
 
 
 @query("report_outputs", "SELECT event_id, CASE WHEN event_type <> 'view' THEN props END AS output FROM {events} WHERE event_type <> 'click'")
 def report_outputs(d: Data) -> DataFrame:
     """Output is kept for runs that didn't pass; a run without anything relevant has no row."""
-    return d.table("events").where("event_type <> 'click'").select("event_id", F.when(F.col("event_type") != "view", F.col("props")).alias("output"))
+    runs = d.table("events").select("event_id", "event_type", F.col("props").alias("output"))
+    return relations.kept_outputs(runs, "event_type", "output", passed="view", nothing="click").select("event_id", "output")
 
 
 @query("check_views", "SELECT event_type, count(*) FILTER (WHERE value > 50 AND user_id % 2 = 0) AS blocking, count(*) FILTER (WHERE value > 50 AND user_id % 2 <> 0) AS warnings, count(*) FILTER (WHERE value <= 50) AS passed FROM {events} GROUP BY event_type")
 def check_views(d: Data) -> DataFrame:
-    failed, hard = F.col("value") > 50, F.col("user_id") % 2 == 0
-    return d.table("events").groupBy("event_type").agg(F.count_if(failed & hard).alias("blocking"), F.count_if(failed & ~hard).alias("warnings"), F.count_if(~failed).alias("passed"))
+    return relations.outcome_views(d.table("events"), "event_type", F.col("value") > 50, F.col("user_id") % 2 == 0)
 
 
 @query("prompt_cost", "SELECT conv_id, sum(length(role) + length(text)) + count(*) - 1 AS cost FROM {conversations} GROUP BY conv_id")
 def prompt_cost(d: Data) -> DataFrame:
-    return d.table("conversations").groupBy("conv_id").agg((F.sum(F.length("role") + F.length("text")) + F.count("*") - 1).alias("cost"))
+    return relations.joined_cost(d.table("conversations"), "conv_id", F.length("role") + F.length("text"))
 
 
 @query("ranked_notes", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM {events}")
 def ranked_notes(d: Data) -> DataFrame:
-    return d.table("events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).cast("long").alias("place"))
+    return relations.placed(d.table("events"), "user_id", F.desc("value"), F.col("event_id")).select("event_id", "place")
+
+
+_UNITS = "SELECT l_orderkey AS path, l_partkey AS part, l_suppkey AS supp FROM {lineitem}"
+_FINISHED = "SELECT l_partkey AS part, l_suppkey AS supp FROM {lineitem} WHERE l_quantity > 10"
+
+
+@query("complete_paths", f"SELECT DISTINCT path FROM ({_UNITS}) u WHERE path NOT IN (SELECT path FROM ({_UNITS}) WHERE (part, supp) NOT IN (SELECT (part, supp) FROM ({_FINISHED})))")
+def complete_paths(d: Data) -> DataFrame:
+    return relations.complete(d(_UNITS), d(_FINISHED), "path", ["part", "supp"])
+
+
+#: Line items as what a check found; orders as what a scanner told.
+_SPOTTED = "SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS told FROM {lineitem}"
+_SCANNED = "SELECT o_orderkey AS id, o_orderpriority AS told FROM {orders}"
+
+
+@query("all_findings", f"SELECT id, line, told FROM ({_SPOTTED}) UNION ALL SELECT id, NULL, told FROM ({_SCANNED})")
+def all_findings(d: Data) -> DataFrame:
+    return relations.all_findings(d(_SPOTTED), d(_SCANNED))
