@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import map_texts
+from revlens.llm.common import Stored, map_texts
 
 #: The most words that a mask counts, and the shortest part that counts of a longer item.
 WEIGHT, PART = 6, 13
@@ -158,39 +158,62 @@ def leaks(got: list[np.ndarray], texts: list[tuple[int, np.ndarray]], index, ide
     return found
 
 
+def _pass(rows: DataFrame, held, identity: float) -> DataFrame:
+    """`rows` with items: what each text holds of the items of one broadcast block."""
+
+    def make():
+        texts, index = _index(held.value, identity)
+        words = Words()
+
+        def f(got: list[str | None], part: pa.RecordBatch) -> dict[str, pa.Array]:
+            found, wait, size = [], [], 0
+            for text in got:
+                wait.append(words.of(text))
+                size += len(wait[-1])
+                if size >= CHUNK:
+                    found += leaks(wait, texts, index, identity)
+                    wait, size = [], 0
+            found += leaks(wait, texts, index, identity)
+            return {"items": pa.array([sorted(x) for x in found], pa.list_(pa.int64()))}
+
+        return f
+
+    return map_texts(rows, make, [("items", T.ArrayType(T.LongType()))])
+
+
 def find(docs: DataFrame, benchmark: DataFrame, identity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """`docs` with items: the sorted item_ids of `benchmark` that a text holds.
 
     A text holds an item if it holds all the item's words, or PART or more in a row of a longer item, with
     at most 1 - `identity` edits a word of these; a word that differs, is put in or left out is one edit. Null, empty and wordless texts and items hold and match nothing; equal items
-    are found each; a null item_id is left out. Items are read in blocks of `block`, each with its own pass. Texts of any length go
+    are found each; a null item_id is left out. Texts of any length go
     through whole; repeated rows are found alike; a column named items gives way, others stay; without items no text
     holds any, and an empty table gives an empty table.
+
+    Up to about `block` items are one pass over `docs`. More go in blocks by hash, one job each, whose index is dropped before the next: what a
+    block finds is written as (text's digest, items), and the texts meet what was found of them by digest at the end. So memory
+    follows a block, whatever the number of items.
     """
-    spark = docs.sparkSession
-    n = benchmark.where(F.col("item_id").isNotNull()).count()
-    out = docs.withColumn("items", F.array().cast("array<long>"))
-    rounds = max(1, -(-n // block))
+    spark, mark = docs.sparkSession, "_revlens_uid"
+    known = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
+    rounds = max(1, -(-known.count() // block))
+
+    def held_in(r: int):
+        rows = known.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).collect()
+        return spark.sparkContext.broadcast([(x[0], x[1]) for x in rows])
+
+    if rounds == 1:
+        return _pass(docs, held_in(0), identity)
+    store = Stored(spark)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    texts = docs.select("text", digest.alias(mark))
+    found = None
     for r in range(rounds):
-        rows = benchmark.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)).select("item_id", "text").collect()
-        held = spark.sparkContext.broadcast([(x[0], x[1]) for x in rows])
-
-        def make(held=held):
-            texts, index = _index(held.value, identity)
-            words = Words()
-
-            def f(got: list[str | None], part: pa.RecordBatch) -> dict[str, pa.Array]:
-                found, wait, size = [], [], 0
-                for text in got:
-                    wait.append(words.of(text))
-                    size += len(wait[-1])
-                    if size >= CHUNK:
-                        found += leaks(wait, texts, index, identity)
-                        wait, size = [], 0
-                found += leaks(wait, texts, index, identity)
-                return {"items": pa.array([sorted({*a, *b}) for a, b in zip(part.column("items").to_pylist(), found, strict=True)], pa.list_(pa.int64()))}
-
-            return f
-
-        out = map_texts(out, make, [("items", T.ArrayType(T.LongType()))])
-    return out
+        held = held_in(r)
+        some = store.put(_pass(texts, held, identity).where(F.size("items") > 0).select(mark, F.explode("items").alias("item")).distinct())
+        held.destroy()
+        found = some if found is None else found.unionByName(some)
+    by_text = found.groupBy(mark).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rest = docs.select(*[c for c in docs.columns if c.lower() != "items"], digest.alias(mark))
+    met = rest.join(by_text, mark, "left").drop(mark)
+    return met.withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
