@@ -65,7 +65,8 @@ def pieces(x: np.ndarray, ends: np.ndarray, width: int, hasher: _Hasher) -> tupl
     c = hasher.sums(x, 0)
     at = np.arange(len(x) - GRAM + 1)
     h = hasher.of(c, at, at + GRAM, 0)
-    bits = np.uint64(len(x).bit_length())
+    # The same bits of a hash decide in every batch, whatever its length, so equal windows choose one gram.
+    bits = np.uint64((SEGMENT + width).bit_length())
     m, span, need = (h >> bits << bits) | at.astype(np.uint64), 1, width - GRAM + 1
     while span < need:
         step = min(span, need - span)
