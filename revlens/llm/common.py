@@ -102,6 +102,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str | None], pa.R
     return df.mapInArrow(run, schema)
 
 
+def one_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label, text): a row for each of a bounded number of `labels` (doc_id, label) that `docs` has a text of, the first by hash where an id has several rows."""
+    met = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def connected(store: Stored, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of `edges` (a, b: long) reaches.
 

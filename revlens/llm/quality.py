@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import map_texts
+from revlens.llm.common import map_texts, one_text
 
 #: Buckets that words are hashed to, width of a vector, nonzero entries of an index vector.
 BUCKETS, WIDTH, NONZERO = 1 << 16, 32, 4
@@ -135,8 +135,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     """`docs` with score: the probability that quality is 1, from the text alone.
 
     `labels` (doc_id, label) may hold any rows that may be learned from; those of null label or id are
-    left out. At most `train_rows` of each label, the first by hash of doc_id, fit the network; a tenth
-    of them calibrates it. Without both labels every score is the share of label 1 (0.5 without any).
+    left out. At most `train_rows` of each label, the first by hash of doc_id, fit the network, each with one text, the first by
+    hash if the id has several rows; a tenth of them calibrates it. Without both labels every score is the share of label 1 (0.5 without any).
     Null and empty texts are scored as documents without words, long ones whole. An id with several labels counts
     once for each; repeated rows score alike, a row each; other columns stay, but one named score gives way. An empty
     table gives an empty table.
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         ids = _Ids()
         return lambda texts, _: {"pool": pa.array([pool(t, vectors.value, ids) for t in texts], pa.list_(pa.float32()))}
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    rows = one_text(docs, few[0].unionByName(few[1]))
     train = map_texts(rows, pooled, [("pool", T.ArrayType(T.FloatType()))]).drop("text").toPandas()
     net, share = None, float(train.label.mean()) if len(train) else 0.5
     if train.label.nunique() > 1:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.llm.common import map_texts
+from revlens.llm.common import map_texts, one_text
 
 #: Words of a window, words between the starts of neighbours, and units of the network in each direction.
 WINDOW, STRIDE, HIDDEN = 16, 1, 8
@@ -370,7 +370,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
 
     `labels` (doc_id, label) may hold any rows that may be learned from; null labels and ids are left out, an id
     with several labels counts once for each. At most `train_rows` of each label, the first by hash of doc_id, fit
-    the network. Without both labels every score is the share of label 1 (0.5 without any). Null and empty texts
+    the network, each with one text, the first by hash if the id has several rows. Without both labels every score is the share of label 1 (0.5 without any). Null and empty texts
     score as one empty window; the highest window decides, so a clean rest of a text hides nothing. Very long texts
     go through in parts. Repeated rows score alike, a row each; other columns stay, but one named score gives way.
     An empty table gives an empty table.
@@ -378,7 +378,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     spark = docs.sparkSession
     ok = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     few = [ok.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for v in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id").orderBy("doc_id", "label", F.xxhash64("text")).toPandas()
+    rows = one_text(docs, few[0].unionByName(few[1])).orderBy("doc_id", "label").toPandas()
     held, share = None, float(rows.label.mean()) if len(rows) else 0.5
     if rows.label.nunique() > 1:
         held = train([t or "" for t in rows.text], rows.label.to_numpy())
