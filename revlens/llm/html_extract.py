@@ -1,9 +1,13 @@
 """HTML extraction by minimum-cut labelling.
 
-A page's text blocks and the elements that hold them are the nodes of a graph. A log-linear classifier of each
-node's own features (an element's name and classes, a block's words and links) gives the costs of labelling it
-content and boilerplate, which become terminal capacities. DOM proximity (element and child) and adjacency
+A page's text blocks and the elements that hold them are the nodes of a graph. Log-linear classifiers give the costs
+of labelling each content and boilerplate, which become terminal capacities. DOM proximity (element and child) and adjacency
 (neighbouring blocks) become smoothness edges. The minimum cut labels all nodes; blocks on the source's side stay.
+
+The classifier of blocks is trained on the pages themselves: blocks that their page's own elements call an article's
+are examples of content, those below menus, footers, forms and the like of boilerplate, and what a block looks like
+(its element, words, links, depth, last character) must tell the two apart. So blocks that no element speaks for are judged
+by their likes. What an element's name says is stated below; its classes are one more word against it.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ import html
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.llm.common import map_texts
@@ -36,7 +42,13 @@ _ELEMENT = {"article": 5.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -
 _HINT = "ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|cookie|cookies|consent|notice|alert|popup|modal|newsletter|subscribe|signup|comment|comments|replies|disqus|related|share|sharing|social|widget|login|search"
 _PART = r"bar|box|block|area|container|wrap|wrapper|section|list|links?|form|item|items|banner|text|inner|outer|top|bottom|left|right|main|site|page|post|article|content|slot|unit|widget|buttons?|icons?|thread|\d+"
 _CLASS = re.compile(rf"(?:(?:{_PART})[_-])*(?:{_HINT})(?:[_-](?:{_PART}|{_HINT}))*", re.I)
-_HINT_WEIGHT, _LINK_WEIGHT, _WORD_WEIGHT, _BIAS = -9.0, -4.0, 0.4, -1.0
+#: Words that speak against an element wherever they stand in a class, id or role; the last ones against an article too: that of a reader.
+_STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo disqus cookie cookies newsletter comment comments reply replies responses".split())
+_READERS = frozenset("comment comments reply replies responses".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_HINT_WEIGHT = -9.0
+#: Log odds of a block lie between these, so that one in an article stays by what the article's edges cost; and what speaks against a block beside a page's article.
+_LEAST, _MOST, _BESIDE = -4.5, 3.0, -6.0
 #: Smoothness. What it costs to keep a child of boilerplate, and to leave out a child of content: a block below a sure
 #: element, a block elsewhere, an element of no evidence. Then for neighbouring blocks of one element, and of two.
 #: What holds for elements counts once for each block below them, so an element's evidence weighs as much as its blocks'.
@@ -44,10 +56,71 @@ _DOWN, _SURE, _LOOSE, _SAME, _NEAR, _ADJACENT = 12.0, 5.0, 0.3, 3.0, 1.0, 0.2
 _SPACE = re.compile(r"\s+")
 
 
+#: What a block looks like: its element, words, links, depth, last character; how many values each may take.
+_LOOKS = (6, 7, 3, 5, 2)
+_KINDS = {"p": 0, "li": 2, "dd": 2, "dt": 2, "td": 3, "th": 3, "div": 4, "section": 4}
+
+
+def looks(name: str, text: str, linked: int, depth: int) -> tuple[int, ...]:
+    """A block as a tuple of small numbers, one below each of _LOOKS."""
+    kind = 1 if len(name) == 2 and name[0] == "h" and name[1].isdigit() else _KINDS.get(name, 5)
+    share = 0 if not linked else 2 if linked > len(text) / 2 else 1
+    return (kind, min((text.count(" ", 0, 400) + 1).bit_length(), 6), share, min(depth // 2, 4), int(text[-1] in ".!?…:;\"”»"))
+
+
+class Model:
+    """Log odds of content by what a block looks like: a weight for each value, fitted by Newton steps to counts of examples.
+
+    Both labels weigh alike, whatever their numbers. Without examples of both, blocks of many words without links are
+    content.
+    """
+
+    def __init__(self, counts: list[tuple[tuple[int, ...], bool, int]]):
+        starts = np.concatenate([[0], np.cumsum(_LOOKS)])
+        self.starts, size = starts[:-1].tolist(), int(starts[-1]) + 1
+        total = [sum(n for _, label, n in counts if label is bool(v)) for v in (0, 1)]
+        w = np.zeros(size)
+        if not all(total):
+            w[-1] = -1.0
+            w[self.starts[1] : self.starts[1] + _LOOKS[1]] = [0.0, 0.4, 1.0, 2.0, 3.0, 4.0, 4.0]
+            w[self.starts[0]] = 1.0
+            w[self.starts[2] + 2] = -4.0
+            self.w = w.tolist()
+            return
+        x = np.zeros((len(counts), size))
+        x[:, -1] = 1.0
+        for i, (look, _, _) in enumerate(counts):
+            x[i, [a + v for a, v in zip(self.starts, look, strict=True)]] = 1.0
+        y = np.array([label for _, label, _ in counts], float)
+        weight = np.array([n / total[label] for _, label, n in counts]) * 500
+        for _ in range(25):
+            odds = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (weight * odds * (1 - odds))[:, None]).T @ x + np.eye(size), x.T @ (weight * (y - odds)) - w)
+            w += step
+            if np.abs(step).max() < 1e-9:
+                break
+        self.w = np.round(w, 9).tolist()
+
+    def odds(self, look: tuple[int, ...]) -> float:
+        return min(max(self.w[-1] + sum(self.w[a + v] for a, v in zip(self.starts, look, strict=True)), _LEAST), _MOST)
+
+
+def _against(attrs: str, article: bool) -> bool:
+    """Whether a class, id or role speaks against an element; of an article only what names it a reader's."""
+    for c in " ".join("".join(v) for v in _NAMED.findall(attrs)).split():
+        words = {w.lower() for w in _WORD.findall(c)}
+        if words & (_READERS if article else _STRONG) or not article and _CLASS.fullmatch(c):
+            return True
+    return False
+
+
 class Graph:
     """Text blocks and elements of a page, with the log odds of each and edges (a, b, cost if only a is content, cost if only b is)."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, model: Model):
+        self.examples: list[tuple[tuple[int, ...], bool]] = []  # blocks that elements above them speak for or against
+        outside: list[int] = []  # blocks below no article and nothing that speaks against them
+        inside = False
         self.odds: list[float] = [0.0]  # node 0 is the page
         self.edges: list[tuple[int, int, float, float]] = []
         self.texts: list[str] = []
@@ -56,7 +129,7 @@ class Graph:
         held: list[int] = []  # the element of each block
         parts: list[str] = []
         linked = 0
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, node, below an article, has evidence
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, node, below an article, below what speaks against it
         at, link, last = 0, 0, None
 
         def text(raw: str) -> None:
@@ -68,13 +141,18 @@ class Graph:
                     linked += len(raw)
 
         def close() -> None:
-            nonlocal linked, last
+            nonlocal linked, last, inside
             got = _SPACE.sub(" ", "".join(parts)).strip() if parts else ""
             if got:
-                parent, sure = stack[-1][1], stack[-1][2]
+                name, parent, sure, against = stack[-1]
                 node = len(self.odds)
-                words = got.count(" ", 0, 400) + 1
-                self.odds.append(_BIAS + _WORD_WEIGHT * min(words, 10) + _LINK_WEIGHT * (linked > len(got) / 2))
+                look = looks(name, got, linked, len(stack))
+                self.odds.append(model.odds(look))
+                if sure or against:
+                    self.examples.append((look, not against))
+                    inside = inside or not against
+                else:
+                    outside.append(node)
                 self.edges.append((parent, node, _SURE if sure else _LOOSE, _DOWN))
                 held.append(parent)
                 if last:
@@ -107,21 +185,24 @@ class Graph:
             elif name not in _VOID:
                 if name in _ALONE and stack[-1][0] == name:
                     stack.pop()
-                _, parent, sure, _ = stack[-1]
+                _, parent, sure, against = stack[-1]
                 weight = 0.0 if name == "header" and sure else _ELEMENT.get(name, 0.0)  # an article's own head
                 attrs = m[4] or m[5]
-                if attrs and name not in ("html", "body", "article", "main") and any(_CLASS.fullmatch(c) for v in _NAMED.findall(attrs) for c in "".join(v).split()):
-                    weight += _HINT_WEIGHT
+                if attrs and name not in ("html", "body", "main") and _against(attrs, name == "article"):
+                    weight = min(weight, 0.0) + _HINT_WEIGHT
                 if weight or name not in _ALONE and not re.fullmatch("h[1-6]", name):
                     node = len(self.odds)
                     self.odds.append(weight)
                     # An element with evidence of its own may differ from content that holds it for nothing.
                     above.append((node, parent, 0.0 if weight else _SAME if sure else _LOOSE))
-                    stack.append((name, node, weight > 0 or sure and not weight, bool(weight)))
+                    stack.append((name, node, weight > 0 or sure and not weight, against or weight < 0))
                 else:  # a paragraph is no node of its own
-                    stack.append((name, parent, sure, False))
+                    stack.append((name, parent, sure, against))
         text(page[at:])
         close()
+        if inside:
+            for node in outside:
+                self.odds[node] += _BESIDE
         blocks = [0] * len(self.odds)
         for parent in held:
             blocks[parent] += 1
@@ -233,26 +314,49 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float, float]]) -
     return [bool(x) for x in side]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model: Model | None = None) -> str:
     """The main text: content blocks in page order, joined by newlines; a null or empty page has none."""
-    graph = Graph(page or "")
+    graph = Graph(page or "", model or Model([]))
     if not graph.texts:
         return ""
     keep = minimum_cut(graph.odds, graph.edges)
     return "\n".join(t for t, i in zip(graph.texts, graph.nodes, strict=True) if keep[i])
 
 
+def train(pages: DataFrame, column: str = "html") -> Model:
+    """The classifier of blocks, from all of `pages`: examples are counted by what they look like, which takes a few hundred values, and the counts are what it is fitted to."""
+
+    def count(batches):
+        blank = Model([])
+        for batch in batches:
+            n: dict = {}
+            for i in range(batch.num_rows):
+                page = batch.column(0)[i].as_py()
+                for example in Graph(page, blank).examples if page else ():
+                    n[example] = n.get(example, 0) + 1
+            keys = sorted(n)
+            yield pa.RecordBatch.from_arrays([pa.array([list(look) for look, _ in keys], pa.list_(pa.int32())), pa.array([label for _, label in keys], pa.bool_()), pa.array([n[k] for k in keys], pa.int64())], ["look", "label", "n"])
+
+    rows = pages.select(column).mapInArrow(count, "look array<int>, label boolean, n long").groupBy("look", "label").agg(F.sum("n").alias("n")).collect()
+    return Model(sorted((tuple(r.look), r.label, r.n) for r in rows))
+
+
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """`pages` with text and n_chars; a row in gives a row out.
 
+    The classifier is trained on all of `pages` first. A block beside a page's article is boilerplate unless its looks say otherwise very
+    surely; on a page without one, its looks and neighbours decide.
+
     A null or empty page, and one of markup only, gives an empty text. Broken markup never fails: tags that aren't
     closed end with the page, quotes that aren't closed end with their tag. Pages of any length go through whole;
     memory follows the longest. Repeated rows give equal texts; columns named text or n_chars give way, others stay.
-    An empty table gives an empty table.
+    An empty table gives an empty table, and pages without examples are judged by words and links alone.
     """
+    model = train(pages, column)
+
     def make():
         def f(got, _):
-            out = [main_text(p) for p in got]
+            out = [main_text(p, model) for p in got]
             return {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
 
         return f
