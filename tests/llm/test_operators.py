@@ -101,7 +101,7 @@ def test_pages_of_odd_markup(spark):
     page = "<article>" + "".join(f"<p>{'word ' * (i % 13)}x</p><div class=ad><p>buy {i}</p></div>" for i in range(5000)) + "</article>"
     began = time.process_time()
     assert text(page).count("\n") == 4999 and time.process_time() - began < 4
-    graph = html_extract.Graph(page)
+    graph = html_extract.Graph(page, html_extract.Model([]))
     keep = html_extract.minimum_cut(graph.odds, graph.edges)
     assert any(keep[i] != (graph.odds[i] > 0) for i in graph.nodes)  # the edges decide
     pages = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (None, None, None, None), (2, "v", "", "y")], "page_id long, url string, html string, n_chars string")
