@@ -41,3 +41,32 @@ def select_commands(files: DataFrame, commands: list[tuple[str, list[str], list[
     return rows.select(key, "place", "c.name", "c.command", "c.scope")
 
 
+
+
+#: Origins whose files lie in the working tree.
+CHECKED_OUT = ("local", "paths")
+
+
+def availability(changes: DataFrame, checkouts: DataFrame) -> DataFrame:
+    """(change, reads, reason): whether the files on disk are those under review, of `changes` (change, origin, head) and `checkouts` (change, commit, status).
+
+    A local change's are. Of another the checkout must be at its head, and clean, by a status that could be read; the first reason that speaks against it is given.
+    """
+    met = changes.select("change", "origin", "head").join(checkouts.select("change", "commit", "status").dropDuplicates(["change"]), "change", "left")
+    told = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    reason = (
+        F.when(F.col("origin").isin(*CHECKED_OUT), None)
+        .when(told("head") == "", "no head")
+        .when(told("commit") == "", "no checkout")
+        .when(told("commit") != told("head"), "another commit")
+        .when(F.col("status").isNull(), "status unknown")
+        .when(told("status") != "", "uncommitted changes")
+    )
+    return met.select("change", reason.isNull().alias("reads"), reason.alias("reason"))
+
+
+def gated(runs: DataFrame, access: DataFrame) -> DataFrame:
+    """`runs` (change, ...) with state and note: those of a change whose files may not be read are refused, with the reason; the others are due."""
+    met = runs.join(access.select("change", "reads", "reason"), "change", "left")
+    free = F.coalesce("reads", F.lit(False))
+    return met.select(*runs.columns, F.when(free, "due").otherwise("refused").alias("state"), F.when(~free, F.coalesce("reason", F.lit("unknown change"))).alias("note"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from revlens.plans import inputs, review
 
-for _name in ("findings", "packages", "packing", "evaluation", "diffs", "texts", "states", "context", "comments"):
+for _name in ("findings", "packages", "packing", "evaluation", "diffs", "texts", "states", "context", "comments", "forge"):
     import_module(f"revlens.plans.{_name}")
 
 QUERIES = review.QUERIES | inputs.QUERIES
