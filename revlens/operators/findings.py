@@ -147,6 +147,15 @@ def gate(findings: DataFrame, checks: DataFrame, complete: Column, floor: str =
     return blocking.join(failed, F.lit(True)).select(verdict.alias("verdict"), "blocking", "failed_checks")
 
 
+def verdicts(reviews: DataFrame, findings: DataFrame, checks: DataFrame, floor: str = "critical") -> DataFrame:
+    """(review, verdict, blocking, failed_checks) of each of `reviews` (review, complete): error where it isn't complete, else blocked by findings (review, severity) of the floor or more or by checks (review, level, outcome, advisory) that fail at error, else pass."""
+    worst = findings.groupBy("review").agg(F.count_if(X.at_least(F.col("severity"), floor)).alias("blocking"))
+    failed = checks.groupBy("review").agg(F.count_if((F.col("level") == "error") & (F.col("outcome") == "failed") & ~F.coalesce("advisory", F.lit(False))).alias("failed_checks"))
+    met = reviews.select("review", "complete").join(worst, "review", "left").join(failed, "review", "left")
+    n, m = F.coalesce("blocking", F.lit(0)), F.coalesce("failed_checks", F.lit(0))
+    return met.select("review", F.when(~F.coalesce("complete", F.lit(False)), "error").when((n > 0) | (m > 0), "blocked").otherwise("pass").alias("verdict"), n.alias("blocking"), m.alias("failed_checks"))
+
+
 def coverage(omissions: DataFrame, losses: tuple[str, ...]) -> DataFrame:
     """(class, reason, paths): of each path its first loss, or its first reason where it has no loss; `omissions` (pos, path, reason), a null reason is a loss that beats none."""
     kind = F.when(F.col("reason").isin(*losses), 0).when(F.col("reason").isNull(), 1).otherwise(2)

@@ -254,3 +254,18 @@ def review_markdown(d: Data) -> DataFrame:
     """Reports in the short form; each finding in the bucket that its kind gives it."""
     kind = F.col("kind")
     return sinks.markdown_documents(d(_REVIEWED).withColumn("bucket", F.when(kind.isin("requirement_gap", "nitpick"), kind).otherwise("actionable")), d(_REVIEWS), full=False)
+
+
+#: A review for each customer: what events found there, and a check for each order.
+_FOUND = "SELECT user_id AS review, CASE event_id % 9 WHEN 0 THEN 'critical' WHEN 1 THEN 'major' ELSE 'info' END AS severity FROM {events} WHERE user_id % 3 = 0"
+_CHECKED = "SELECT o_custkey AS review, CASE o_orderstatus WHEN 'F' THEN 'error' ELSE 'warning' END AS level, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'passed' END AS outcome, CASE WHEN o_totalprice < 50000 THEN TRUE END AS advisory FROM {orders}"
+_RUNS = "SELECT c_custkey AS review, CASE WHEN c_custkey % 13 > 0 THEN c_custkey % 10 > 0 END AS complete FROM {customer}"
+
+
+@query(
+    "verdicts",
+    f"""SELECT review, CASE WHEN NOT coalesce(complete, FALSE) THEN 'error' WHEN coalesce(b, 0) + coalesce(c, 0) > 0 THEN 'blocked' ELSE 'pass' END AS verdict, coalesce(b, 0) AS blocking, coalesce(c, 0) AS failed_checks FROM ({_RUNS})
+LEFT JOIN (SELECT review, count(*) FILTER (WHERE severity = 'critical') AS b FROM ({_FOUND}) GROUP BY review) USING (review) LEFT JOIN (SELECT review, count(*) FILTER (WHERE level = 'error' AND outcome = 'failed' AND advisory IS NULL) AS c FROM ({_CHECKED}) GROUP BY review) USING (review)""",
+)
+def verdicts(d: Data) -> DataFrame:
+    return op.verdicts(d(_RUNS), d(_FOUND), d(_CHECKED))

@@ -65,9 +65,9 @@ def constraint_check(d: Data) -> DataFrame:
 _VERSIONS = "SELECT l_orderkey AS k, l_linenumber AS n, concat('v', CAST(l_linenumber AS STRING), '.', CAST(l_partkey % 12 AS STRING), '.', CAST(l_suppkey % 3 AS STRING)) AS a, concat(CAST(l_linenumber AS STRING), '.', CAST(l_suppkey % 12 AS STRING)) AS b, l_linenumber AS a1, l_partkey % 12 AS a2, l_suppkey % 12 AS b2 FROM {lineitem}"
 
 
-@query("version_move", f"SELECT CASE WHEN b2 < a2 THEN 'downgraded' ELSE 'upgraded' END AS move, count(*) AS n FROM ({_VERSIONS}) GROUP BY 1")
+@query("version_move", f"SELECT k, a, b, CASE WHEN b2 < a2 THEN 'downgraded' ELSE 'upgraded' END AS move FROM ({_VERSIONS})")
 def version_move(d: Data) -> DataFrame:
-    return d(_VERSIONS).groupBy(V.version_move(F.col("a"), F.col("b")).alias("move")).agg(F.count("*").alias("n"))
+    return d(_VERSIONS).select("k", "a", "b", V.version_move(F.col("a"), F.col("b")).alias("move"))
 
 
 _LOCKFILES = "SELECT p_brand AS dir, CASE p_size % 3 WHEN 0 THEN 'uv.lock' WHEN 1 THEN 'poetry.lock' ELSE 'pdm.lock' END AS name, CASE WHEN p_size % 5 = 0 THEN ' ' ELSE p_name END AS text FROM {part}"
@@ -144,8 +144,8 @@ _CODES = "SELECT l_orderkey AS k, l_linenumber AS n, concat(CASE l_linenumber %
 
 @query(
     "longest_prefix",
-    f"""SELECT code, category, severity, count(*) AS n FROM (SELECT code, CASE n % 5 WHEN 0 THEN 'bug' WHEN 1 THEN 'performance' WHEN 2 THEN CASE WHEN code LIKE 'E9%' THEN 'bug' ELSE 'style' END ELSE 'maintainability' END AS category,
-CASE n % 5 WHEN 0 THEN CASE WHEN code LIKE 'F82%' THEN 'critical' ELSE 'minor' END WHEN 2 THEN CASE WHEN code LIKE 'E9%' THEN 'critical' ELSE 'info' END ELSE 'minor' END AS severity FROM ({_CODES})) GROUP BY code, category, severity""",
+    f"""SELECT k, code, category, severity FROM (SELECT k, code, CASE n % 5 WHEN 0 THEN 'bug' WHEN 1 THEN 'performance' WHEN 2 THEN CASE WHEN code LIKE 'E9%' THEN 'bug' ELSE 'style' END ELSE 'maintainability' END AS category,
+CASE n % 5 WHEN 0 THEN CASE WHEN code LIKE 'F82%' THEN 'critical' ELSE 'minor' END WHEN 2 THEN CASE WHEN code LIKE 'E9%' THEN 'critical' ELSE 'info' END ELSE 'minor' END AS severity FROM ({_CODES}))""",
 )
 def longest_prefix(d: Data) -> DataFrame:
-    return graph.longest_prefix(d(_CODES).select("code"), "code", tools.RUFF, ("maintainability", "minor")).groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
+    return graph.longest_prefix(d(_CODES).select("k", "code"), "code", tools.RUFF, ("maintainability", "minor"))

@@ -101,9 +101,9 @@ def components(d: Data) -> DataFrame:
 _TERMS = "SELECT DISTINCT lang AS term FROM {documents} UNION SELECT DISTINCT r_name AS term FROM {region} UNION SELECT 'the' AS term UNION SELECT 'de' AS term"
 
 
-@query("token_join", rf"SELECT word AS term, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{{{{L}}}}_$][\p{{{{L}}}}\p{{{{N}}}}_$]*'))) AS word FROM {{documents}}) WHERE word IN (SELECT term FROM ({_TERMS})) GROUP BY word")
+@query("token_join", rf"SELECT doc_id, word AS term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{{{{L}}}}_$][\p{{{{L}}}}\p{{{{N}}}}_$]*'))) AS word FROM {{documents}}) WHERE word IN (SELECT term FROM ({_TERMS}))")
 def token_join(d: Data) -> DataFrame:
-    return graph.mentions(d(_TERMS), d("SELECT doc_id, text FROM {documents}"), "text").groupBy("term").agg(F.count("*").alias("n"))
+    return graph.mentions(d(_TERMS), d("SELECT doc_id, text FROM {documents}"), "text").select("doc_id", "term")
 
 
 @query("top_hits", "SELECT p_brand, p_partkey, nth, truncated FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS nth, count(*) OVER (PARTITION BY p_brand) > 5 AS truncated FROM {part}) WHERE nth <= 5")

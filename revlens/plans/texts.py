@@ -43,7 +43,7 @@ def prose(d: Data) -> DataFrame:
     return d(_BODIES).select("k", X.prose(F.col("body")).alias("prose"))
 
 
-_TITLES = "SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN 'Short' WHEN 2 THEN 'chore(scope):    ' WHEN 3 THEN 'fix: two words' WHEN 4 THEN 'wip fix update' ELSE concat('feat: teach ', s_name, ' to read') END AS title FROM {supplier}"
+_TITLES = "SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN repeat(' ', CAST(o_custkey % 4 AS INT)) WHEN 1 THEN substr(o_orderpriority, 3, 6) WHEN 2 THEN concat('chore(', o_orderpriority, '):    ') WHEN 3 THEN concat('fix: two ', CAST(o_orderkey AS STRING)) WHEN 4 THEN 'wip fix update' ELSE concat('feat: teach ', o_orderpriority, ' to read ', CAST(o_orderkey AS STRING)) END AS title FROM {orders}"
 
 
 @query("title_checks", f"SELECT k, CASE k % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'short' WHEN 2 THEN 'prefix_only' WHEN 3 THEN 'few_words' WHEN 4 THEN 'placeholder' END AS problem FROM ({_TITLES})")
@@ -51,7 +51,8 @@ def title_checks(d: Data) -> DataFrame:
     return d(_TITLES).select("k", X.title_problem(F.col("title")).alias("problem"))
 
 
-_PATHS = "SELECT p_partkey AS k, CASE p_size % 8 WHEN 0 THEN 'src/a.PY' WHEN 1 THEN 'x/Dockerfile.prod' WHEN 2 THEN '.github/workflows/deep/ci.yml' WHEN 3 THEN 'k8s/base/deploy.yaml' WHEN 4 THEN 'web/package-lock.json' WHEN 5 THEN 'requirements-dev.txt' WHEN 6 THEN 'docs/readme.md' ELSE 'tests/test_x.py' END AS path, p_size FROM {part}"
+_PATHS = """SELECT p_partkey AS k, CASE p_size % 8 WHEN 0 THEN concat('src/', CAST(p_partkey AS STRING), '/a.PY') WHEN 1 THEN concat('x', CAST(p_partkey AS STRING), '/Dockerfile.prod') WHEN 2 THEN concat('.github/workflows/d', CAST(p_partkey AS STRING), '/ci.yml') WHEN 3 THEN concat('k8s/b', CAST(p_partkey AS STRING), '/deploy.yaml')
+WHEN 4 THEN concat('web', CAST(p_partkey AS STRING), '/package-lock.json') WHEN 5 THEN concat('requirements-', CAST(p_partkey AS STRING), '.txt') WHEN 6 THEN concat('docs/', CAST(p_partkey AS STRING), '/readme.md') ELSE concat('tests/t', CAST(p_partkey AS STRING), '/test_x.py') END AS path, p_size FROM {part}"""
 
 
 @query(
@@ -69,9 +70,11 @@ def glob_match(d: Data) -> DataFrame:
     return d.table("pages").select("page_id", P.matches_any(F.col("url"), ["http*://*.com/en/*"]).alias("english"), P.matches_any(F.col("url"), ["nothing", "**/https://*", "http[!x]*"]).alias("any_"))
 
 
-@query("change_targets", "SELECT page_id, 'h.example.com' AS host, 'group/p' || page_id AS project, page_id AS number FROM {pages}")
+@query("change_targets", "SELECT page_id, CASE WHEN page_id % 9 > 0 THEN split_part(url, '/', 3) END AS host, CASE WHEN page_id % 9 > 0 THEN split_part(url, '/', 4) || '/' || source END AS project, CASE WHEN page_id % 9 > 0 THEN page_id END AS number FROM (SELECT *, 'p' || length(html) % 7 AS source FROM {pages})")
 def change_targets(d: Data) -> DataFrame:
-    at = F.concat(F.lit("https://h.example.com/group/p"), "page_id", F.when(F.col("page_id") % 2 == 0, "/-/merge_requests/").otherwise("/pull/"), "page_id", F.lit("/files"))
+    """Addresses of changes at the pages' hosts and first folders; every ninth names none."""
+    page = F.concat(F.substring_index("url", "/", 4), F.lit("/p"), F.length("html") % 7)
+    at = F.concat(page, F.when(F.col("page_id") % 9 == 0, "/tree/").when(F.col("page_id") % 2 == 0, "/-/merge_requests/").otherwise("/pull/"), "page_id", F.lit("/files"))
     return d.table("pages").select("page_id", X.target_of(at).alias("t")).select("page_id", "t.*")
 
 
@@ -120,17 +123,16 @@ def matching_rules(d: Data) -> DataFrame:
     many = lambda c, use: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(use))
     glob = F.when(F.col("pattern") == "docs/*", F.lit(P.glob_regex("docs/*"))).otherwise(F.lit(P.glob_regex("nowhere/*")))
     rules = d(_RULES).select("id", "severity", many("lang", F.col("lang")).alias("languages"), many("pattern", glob).alias("globs"))
-    # A file's path and language are few distinct values here: rules meet those, not every file.
     seen = d(_PATHS).select("path").distinct().withColumn("language", P.language(F.col("path")))
     return files.matching_rules(rules, seen).select("id")
 
 
-@query("applicable_tools", f"SELECT tool, count(*) AS n FROM (SELECT 'by_glob' AS tool FROM ({_PATHS}) WHERE p_size % 8 = 6 UNION ALL SELECT 'by_language' FROM ({_PATHS}) WHERE p_size % 8 IN (2, 3) UNION ALL SELECT 'all' FROM ({_PATHS})) GROUP BY tool")
+@query("applicable_tools", f"SELECT 'by_glob' AS tool, path FROM ({_PATHS}) WHERE p_size % 8 = 6 UNION ALL SELECT 'by_language', path FROM ({_PATHS}) WHERE p_size % 8 IN (2, 3) UNION ALL SELECT 'all', path FROM ({_PATHS})")
 def applicable_tools(d: Data) -> DataFrame:
     none = F.array().cast("array<string>")
     row = lambda name, globs, langs, network: F.struct(F.lit(name).alias("tool"), globs.alias("globs"), langs.alias("languages"), F.lit(network).alias("network"), F.lit(False).alias("named"))
     known = d.spark.range(1).select(F.explode(F.array(row("by_glob", F.array(F.lit(P.glob_regex("docs/*"))), F.array(F.lit("python")), False), row("by_language", none, F.array(F.lit("yaml")), False), row("all", none, none, False), row("network", none, none, True))).alias("t")).select("t.*")
-    return tools.applicable(known, d(_PATHS).withColumn("language", P.language(F.col("path")))).groupBy("tool").agg(F.count("*").alias("n"))
+    return tools.applicable(known, d(_PATHS).withColumn("language", P.language(F.col("path")))).select("tool", "path")
 
 
 @query("common_directories", "SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN 'root/' || user_id || '/' || min(event_type) ELSE 'root/' || user_id END AS dir FROM {events} GROUP BY user_id")
