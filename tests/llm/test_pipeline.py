@@ -35,3 +35,21 @@ def test_stages_drop_what_they_should(spark, tmp_path):
     assert ids == sorted([-1, -1, *range(20), 100, 200, 201, *range(300, 310), 400, 401, 403, 403, 404])
     assert {r.doc_id for r in kept["near_dedup"]} - {r.doc_id for r in kept["decontamination"]} == {200, 201}
     assert len(kept["mixing"]) == len(kept["decontamination"]) and all(r.taken <= 3 * r.size for r in kept["mixing"])
+
+
+def test_stages_of_empty_tables_and_clashing_names(spark, tmp_path):
+    """A stage of no rows has none, with the columns of documents; columns that operators use for themselves change nothing."""
+    empty = lambda schema: spark.createDataFrame([], schema)
+    empty(SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    empty("doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty("item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "one two three four five six", "en", "s", 27), (2, "one two three four five six", "en", None, 27), (None, None, None, None, None), (3, "", "de", "t", 0)]
+    some = spark.createDataFrame(rows, SCHEMA)
+    crowded = some
+    for name in ("score", "label", "text_hash", "n_shingles", "stays", "items", "kept_text", "size", "taken", "target", "part", "uid"):
+        crowded = crowded.withColumn(name, some.doc_id.cast("string"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty(SCHEMA), str(tmp_path))
+        assert none.count() == 0 and (name == "mixing" or none.columns == corpus_pipeline.COLUMNS)
+        plain = stage(spark, some, str(tmp_path))
+        assert sorted(map(str, stage(spark, crowded, str(tmp_path)).select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
