@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.consumers import CONFIG_LANGUAGES
 from revlens.operators.search import traceable
+from revlens.operators.symbols import blocks, indentation
 
 # Calls by which a name becomes a route, an event or a setting of the environment.
 VERBS = ("get", "post", "put", "patch", "delete")
@@ -73,20 +74,10 @@ def contracts(added: DataFrame) -> DataFrame:
 
 
 def python_classes(lines: DataFrame, key: str) -> DataFrame:
-    """(key, name, bases, start_line, end_line, indent, body): the classes of Python texts by indentation, from `lines` (key, line, text); body is the indentation of what stands directly in them.
-
-    A class ends before the next line that isn't blank and stands no further in. For each indentation at which a file has a
-    class, its lines as far in or less are one ordered window; a file has few of those. Brackets and texts that run over lines aren't parsed.
-    """
+    """(key, name, bases, start_line, end_line, indent, body): the classes among `lines` (key, line, text) of Python texts; body is the indentation of what stands directly in them. See symbols.blocks()."""
     head = r"(?U)\A\s*class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:"
-    rows = lines.where(F.col("text").rlike(r"\S")).select(key, "line", "text", F.char_length(F.regexp_extract("text", r"\A([ \t]*)", 1)).alias("indent"))
-    following = Window.partitionBy(key).orderBy("line")
-    rows = rows.withColumns({"next_indent": F.lead("indent").over(following), "is_head": F.col("text").rlike(head)})
-    levels = rows.where("is_head").select(key, F.col("indent").alias("level")).distinct()
-    at_level = rows.join(levels, key).where("indent <= level")
-    ended = at_level.withColumn("after", F.lead("line").over(Window.partitionBy(key, "level").orderBy("line"))).where("is_head AND indent = level")
     bases = F.transform(F.split(F.regexp_extract("text", head, 2), ","), lambda b: F.substring_index(F.substring_index(F.trim(b), "[", 1), ".", -1))
-    return ended.where("next_indent > indent").select(key, F.regexp_extract("text", head, 1).alias("name"), bases.alias("bases"), F.col("line").alias("start_line"), (F.col("after") - 1).alias("end_line"), "indent", F.col("next_indent").alias("body"))
+    return blocks(lines, key, head).where("next_indent > indent").select(key, F.regexp_extract("text", head, 1).alias("name"), bases.alias("bases"), F.col("line").alias("start_line"), "end_line", "indent", F.col("next_indent").alias("body"))
 
 
 def schema_fields(lines: DataFrame, changed: DataFrame, key: str, bin_: int = 64) -> DataFrame:
@@ -96,7 +87,7 @@ def schema_fields(lines: DataFrame, changed: DataFrame, key: str, bin_: int = 64
     end runs to the last line of its file.
     """
     name = F.regexp_extract(F.ltrim("text", F.lit(" \t")), r"(?U)\A([A-Za-z_]\w*)\s*(?::|=(?!=))", 1)
-    added = lines.join(changed.select(key, "line").distinct(), [key, "line"], "left_semi").select(key, "line", name.alias("name"), F.char_length(F.regexp_extract("text", r"\A([ \t]*)", 1)).alias("at"))
+    added = lines.join(changed.select(key, "line").distinct(), [key, "line"], "left_semi").select(key, "line", name.alias("name"), indentation(F.col("text")).alias("at"))
     added = added.where(traceable(F.col("name"), F.lit(True), F.lit(True))).withColumn("bin", F.floor(F.col("line") / bin_))
     last = lines.groupBy(key).agg(F.max("line").alias("last_line"))
     schema = python_classes(lines, key).where(F.arrays_overlap("bases", F.array(*[F.lit(b) for b in SCHEMA_BASES]))).join(last, key).withColumn("end_line", F.coalesce("end_line", "last_line"))

@@ -77,3 +77,11 @@ def quality(rows: DataFrame, checks: tuple[str, ...], kinds: tuple[str, ...] | N
 def deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, delta) of means that both summaries (metric, mean) have."""
     return current.select("metric", F.col("mean").alias("now")).join(baseline.select("metric", F.col("mean").alias("then")), "metric").select("metric", (F.col("now") - F.col("then")).alias("delta"))
+
+
+def baseline(files: DataFrame) -> DataFrame:
+    """(suite, metric, value) of recorded baselines (text): maps of suites to maps of metrics. What is no JSON, no map or no number has no row; of a metric that stands in several files the least counts."""
+    whole = files.select(F.try_variant_get(F.try_parse_json("text"), "$", "map<string,variant>").alias("m")).where("m IS NOT NULL")
+    suites = whole.select(F.explode("m").alias("suite", "v")).select("suite", F.try_variant_get("v", "$", "map<string,variant>").alias("m")).where("m IS NOT NULL")
+    rows = suites.select("suite", F.explode("m").alias("metric", "v")).where(F.schema_of_variant("v").rlike(r"\A(?:BIGINT|DOUBLE|DECIMAL)"))
+    return rows.select("suite", "metric", F.try_variant_get("v", "$", "double").alias("value")).where("value IS NOT NULL").groupBy("suite", "metric").agg(F.min("value").alias("value"))

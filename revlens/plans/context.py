@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from revlens.functions import codec
 from revlens.functions import paths as P
-from revlens.operators import consumers, contracts, grouping, packing, search, selection, settings, surfaces
+from revlens.operators import consumers, contracts, grouping, packing, search, selection, settings, surfaces, symbols
 from revlens.plans.inputs import Data, query
-from revlens.sources import pages
+from revlens.sources import files, pages
 
 #: Two kinds of layers for each key: a customer's document, then one for each of the key's orders. Maps, values and lists change places.
 _LAYERS = """SELECT c_custkey % 700 AS key, c_custkey AS rank, CASE c_custkey % 5
@@ -265,3 +265,36 @@ def marker_roundtrip(d: Data) -> DataFrame:
     packed = d.table("documents").select("doc_id", F.to_json(F.struct("text", "source")).alias("document")).withColumn("token", codec.encoded(F.col("document")))
     back = packed.withColumn("back", codec.decoded(F.col("token")))
     return back.select("doc_id", F.char_length("token").alias("n_token"), F.col("back").eqNullSafe(F.col("document")).alias("same"))
+
+
+#: A file of one function for each order, documented by a text, by a comment above its decorator, or not at all; its body is the order's line items.
+_SOURCE = """SELECT o_custkey AS change, concat('f', CAST(o_orderkey AS STRING), '.py') AS file, l.line, l.text FROM {orders} JOIN (SELECT o_orderkey AS k, 1 AS line, CASE o_orderkey % 5 WHEN 1 THEN '# told above' WHEN 2 THEN '# ---' ELSE 'import x' END AS text FROM {orders}
+UNION ALL SELECT o_orderkey, 2, '@wrapped' FROM {orders} UNION ALL SELECT o_orderkey, 3, CASE WHEN o_orderkey % 2 = 0 THEN 'def run():' ELSE 'class Run(Base):  # open' END FROM {orders}
+UNION ALL SELECT o_orderkey, 4, CASE o_orderkey % 5 WHEN 0 THEN '    "Tells."' WHEN 3 THEN '"no"' ELSE '    pass' END FROM {orders} UNION ALL SELECT o_orderkey, 6, '    last = 1' FROM {orders}
+UNION ALL SELECT o_orderkey, 7, concat('    async def inner', CAST(o_orderkey AS STRING), '(a):') FROM {orders} UNION ALL SELECT o_orderkey, 8, CASE WHEN o_orderkey % 3 = 0 THEN '        r"Tells.' ELSE '        pass' END FROM {orders} UNION ALL SELECT o_orderkey, 10, 'end = 1' FROM {orders}) AS l ON l.k = o_orderkey"""
+_ADDED_LINES = "SELECT o_custkey AS change, concat('f', CAST(o_orderkey AS STRING), '.py') AS file, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 10 END AS line FROM {orders}"
+
+
+@query(
+    "documentation",
+    """WITH s AS (SELECT o_custkey AS change, o_orderkey AS k, TRUE AS outer_, o_orderkey % 5 IN (0, 1) AS told, o_orderkey % 4 IN (1, 2) AND NOT (o_orderkey % 5 = 3) AS hit FROM {orders}
+UNION ALL SELECT o_custkey, o_orderkey, FALSE, o_orderkey % 3 = 0, o_orderkey % 4 = 2 FROM {orders})
+SELECT change, count(*) FILTER (WHERE told) AS documented, count(*) AS total FROM s WHERE hit GROUP BY change""",
+)
+def documentation(d: Data) -> DataFrame:
+    return symbols.documentation(d(_SOURCE), d(_ADDED_LINES), "change", "file").select("change", "documented", "total")
+
+
+_NOTES = """SELECT c_custkey AS change, CASE WHEN c_nationkey % 2 = 0 THEN 'base' ELSE 'tree' END AS revision, 'A.md' AS path, CASE c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'read B.md' ELSE c_name END AS text FROM {customer}
+UNION ALL SELECT c_custkey, 'tree', 'A.md', 'late' FROM {customer} WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 'base', 'B.md', CASE WHEN c_custkey % 3 = 0 THEN 'see C.md' ELSE 'b' END FROM {customer} UNION ALL SELECT c_custkey, 'tree', 'C.md', 'c rules' FROM {customer} WHERE c_custkey % 5 > 0"""
+
+
+@query(
+    "context_files",
+    """WITH t AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'read B.md' ELSE c_name END AS own, CASE WHEN c_custkey % 6 = 0 THEN 'late' ELSE '' END AS late, c_nationkey % 2 = 0 AS base, CASE WHEN c_custkey % 3 = 0 THEN 'see C.md' ELSE 'b' END AS b, CASE WHEN c_custkey % 5 > 0 THEN 'c rules' ELSE '' END AS c FROM {customer}),
+a AS (SELECT *, CASE WHEN base THEN CASE WHEN own <> '' THEN own ELSE late END ELSE CASE WHEN late = '' THEN own WHEN own = '' THEN late ELSE least(own, late) END END AS a FROM t),
+w AS (SELECT k, CASE WHEN a <> '' THEN 'A.md' ELSE 'B.md' END AS path, CASE WHEN a <> '' THEN CASE WHEN contains(a, 'B.md') THEN a || chr(10) || chr(10) || b ELSE a END ELSE b END AS text, c FROM a)
+SELECT k AS change, path, substr(CASE WHEN contains(text, 'C.md') AND c <> '' THEN text || chr(10) || chr(10) || c ELSE text END, 1, 20) AS text FROM w""",
+)
+def context_files(d: Data) -> DataFrame:
+    return files.context_files(d(_NOTES), ["A.md", "B.md", "C.md"], 20)

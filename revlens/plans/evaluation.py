@@ -78,3 +78,11 @@ def metric_deltas(d: Data) -> DataFrame:
     now = operators.metric_summary(d.table("labels").select(F.col("quality").alias("x"), F.col("toxic").alias("y")), ["x", "y"])
     then = operators.metric_summary(d.table("part").select(F.col("p_size").alias("y"), F.col("p_partkey").alias("z")), ["y", "z"])
     return op.deltas(now, then)
+
+
+_RECORDED = """SELECT CASE c_custkey % 4 WHEN 0 THEN '{{broken' WHEN 1 THEN '[1]' ELSE concat('{{"s', CAST(c_custkey AS STRING), '":{{"recall":0.', CAST(10 + c_nationkey AS STRING), ',"n":', CAST(c_custkey AS STRING), ',"why":"x","none":null}},"flat":3}}') END AS text FROM {customer}"""
+
+
+@query("baseline", "SELECT 's' || c_custkey AS suite, 'recall' AS metric, (10 + c_nationkey) / 100 AS value FROM {customer} WHERE c_custkey % 4 > 1 UNION ALL SELECT 's' || c_custkey, 'n', c_custkey FROM {customer} WHERE c_custkey % 4 > 1")
+def baseline(d: Data) -> DataFrame:
+    return op.baseline(d(_RECORDED))

@@ -84,6 +84,24 @@ def context_file(files: DataFrame, names: list[str], most: int = 6000) -> DataFr
     return rows.withColumn("n", F.row_number().over(Window.orderBy("rank"))).where("n = 1").select("path", "text")
 
 
+def context_files(files: DataFrame, names: list[str], most: int = 6000) -> DataFrame:
+    """(change, path, text): of each change the first of `names` that isn't blank, with the texts of later names that it, or what was added to it, points at by name, cut to `most` characters.
+
+    `files` (change, revision: base or tree, path, text): the base revision's text of a name comes before the tree's. Names are few, so each
+    is a column of one grouped row.
+    """
+    text = strip(F.coalesce("text", F.lit("")))
+    rows = files.where(F.col("path").isin(*names)).select("change", "path", text.alias("text"), (F.col("revision") != "base").cast("int").alias("late")).where("text <> ''")
+    one = rows.groupBy("change").agg(*[F.min_by(F.when(F.col("path") == n, F.col("text")), F.when(F.col("path") == n, F.struct("late", "text"))).alias(f"t{i}") for i, n in enumerate(names)])
+    told = F.lit(None).cast("struct<path:string,text:string>")
+    for i in reversed(range(len(names))):
+        whole = F.col(f"t{i}")
+        for j in range(i + 1, len(names)):
+            whole = F.when(whole.contains(names[j]) & F.col(f"t{j}").isNotNull(), F.concat(whole, F.lit("\n\n"), F.col(f"t{j}"))).otherwise(whole)
+        told = F.when(F.col(f"t{i}").isNotNull(), F.struct(F.lit(names[i]).alias("path"), F.substring(whole, 1, most).alias("text"))).otherwise(told)
+    return one.select("change", told.alias("c")).where("c IS NOT NULL").select("change", "c.path", "c.text")
+
+
 def at_revision(blobs: DataFrame, revision: str, most_bytes: int = 8 << 20) -> DataFrame:
     """(path, text) of a snapshot table (revision, path, text): larger texts are as good as missing."""
     return blobs.where((F.col("revision") == revision) & (F.octet_length("text") <= most_bytes)).select("path", "text")
