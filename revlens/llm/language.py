@@ -89,10 +89,9 @@ def identify(pages: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS) -> D
     for i, v in by_host.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v")).collect():
         whole[i] = v
     base = [(x + 1) / (sum(whole) + n) for x in whole]
-    # Hot hosts: pages meet their host's row in salted buckets.
-    salts = 16
-    prior = by_host.join(by_domain, "domain").drop("domain").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(prior, ["host", "salt"])
+    # A host is one row here, whatever its pages: AQE splits the pages of a hot one over as many tasks as they fill.
+    prior = by_host.join(by_domain, "domain").drop("domain")
+    met = own.join(prior, "host")
     less = lambda p, i: F.greatest(F.col(p)[i] - F.col("q")[i], F.lit(0.0))
     total = lambda p: F.aggregate(each(lambda i: less(p, i)), F.lit(0.0), lambda a, b: a + b)
     met = met.withColumns({"total_s": total("s"), "total_d": total("d")})
