@@ -171,3 +171,12 @@ def listed(df: DataFrame, key: str, column: str, most: int = 5) -> DataFrame:
     total = F.count(column)
     text = ranked.groupBy(key).agg(F.concat(names, F.when(total > most, F.concat(F.lit(" and "), total - most, F.lit(" more"))).otherwise("")).alias("names"))
     return n.join(text, key)
+
+
+def named_by_short(short: DataFrame, full: DataFrame, prefix: str, name: str) -> DataFrame:
+    """(prefix, name): each distinct `prefix`, of any length, that begins exactly one of the distinct names. Names are cut to the lengths that occur, so the join is by equal texts."""
+    wanted = short.select(prefix).where(F.col(prefix) != "").distinct().withColumn("n", F.char_length(prefix))
+    lengths = wanted.groupBy().agg(F.collect_set("n").alias("lengths"))
+    cut = full.select(name).distinct().join(F.broadcast(lengths), F.lit(True)).select(name, F.explode("lengths").alias("n")).where(F.char_length(name) >= F.col("n"))
+    keyed = cut.select(F.substr(F.col(name), F.lit(1), F.col("n")).alias(prefix), name)
+    return keyed.join(wanted.select(prefix), prefix, "left_semi").groupBy(prefix).agg(F.count(F.lit(1)).alias("k"), F.min(name).alias(name)).where("k = 1").select(prefix, name)

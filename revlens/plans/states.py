@@ -113,3 +113,13 @@ ELSE concat('{{"version":1,"reviews":{{"k', CAST(c_custkey AS STRING), '":{{"fin
 )
 def stored_reviews(d: Data) -> DataFrame:
     return op.stored_reviews(d(_STATES)).select("key", F.array_join("fingerprints", ",").alias("fingerprints"), "head_sha", "digest")
+
+
+_KEPT_STATE = "SELECT CAST(c_custkey AS STRING) AS key, c_mktsegment AS told FROM {customer}"
+_COMING = "SELECT CAST(o_custkey AS STRING) AS key, min(o_orderpriority) AS told FROM {orders} WHERE o_orderkey % 5 = 0 GROUP BY o_custkey"
+
+
+@query("state_overlay", f"WITH c AS ({_COMING}) SELECT key, told FROM ({_KEPT_STATE}) WHERE key NOT IN (SELECT key FROM c) AND key <> '7' UNION ALL SELECT key, told FROM c WHERE key <> '7'")
+def state_overlay(d: Data) -> DataFrame:
+    """What a run sees of a state that it couldn't write, after one key was cleared."""
+    return op.cleared(op.overlay(d(_KEPT_STATE), d(_COMING), "key"), "7")

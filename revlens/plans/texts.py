@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import paths as P
 from revlens.functions import text as X
-from revlens.operators import newest_wins, packing, relations
+from revlens.operators import named_by_short, newest_wins, packing, relations
 from revlens.plans.inputs import Data, query
 from revlens.sources import files, replies, tools
 
@@ -210,3 +210,69 @@ _SCANNED = "SELECT o_orderkey AS id, o_orderpriority AS told FROM {orders}"
 @query("all_findings", f"SELECT id, line, told FROM ({_SPOTTED}) UNION ALL SELECT id, NULL, told FROM ({_SCANNED})")
 def all_findings(d: Data) -> DataFrame:
     return relations.all_findings(d(_SPOTTED), d(_SCANNED))
+
+
+#: Files of a change for each line item, with and without hunks and texts.
+_CHANGED = """SELECT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), CASE l_suppkey % 4 WHEN 0 THEN '.lock' ELSE '.py' END) AS path, CASE l_partkey % 6 WHEN 0 THEN 'deleted' ELSE 'modified' END AS change_type, l_partkey % 5 = 0 AS is_binary, l_suppkey % 3 AS hunks, l_partkey % 7 = 0 AS zero_byte, l_partkey % 11 = 0 AS patch_unavailable,
+l_suppkey % 4 = 0 AS locked, l_partkey AS part FROM {lineitem}"""
+_STORED = "SELECT DISTINCT concat(CAST(l_orderkey AS STRING), '/', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '.py') AS path, 'x' AS text FROM {lineitem} WHERE l_partkey % 4 > 0"
+_TOLD = f"SELECT c.*, CASE WHEN NOT is_binary AND change_type <> 'deleted' THEN s.text END AS text FROM ({_CHANGED}) c LEFT JOIN ({_STORED}) s ON s.path = c.path"
+
+
+@query(
+    "reviewable_files",
+    f"""WITH t AS ({_TOLD}), k AS (SELECT path FROM t WHERE NOT is_binary AND NOT locked AND (hunks > 0 OR text IS NOT NULL)) SELECT path, 'kept' AS reason FROM k UNION ALL
+SELECT DISTINCT path, CASE WHEN zero_byte THEN 'zero_byte' WHEN patch_unavailable THEN 'patch_unavailable' WHEN is_binary THEN 'binary' WHEN locked THEN 'ignored' ELSE 'empty' END FROM t WHERE path NOT IN (SELECT path FROM k)""",
+)
+def reviewable_files(d: Data) -> DataFrame:
+    """Files that are reviewed, and why the others aren't."""
+    all_ = files.attach(d(_CHANGED), d(_STORED))
+    kept = files.reviewable(all_, ["**/*.lock"])
+    return kept.select("path", F.lit("kept").alias("reason")).unionByName(files.drops(all_, kept, ["**/*.lock"]))
+
+
+@query(
+    "told_rules",
+    f"""WITH h AS (SELECT DISTINCT k % 90 AS change, id, severity FROM ({_RULES}) r JOIN ({_PATHS}) p ON (lang IS NULL OR (lang = 'python' AND p_size % 8 IN (0, 7))) AND (pattern IS NULL OR (pattern = 'docs/*' AND p_size % 8 = 6)))
+SELECT change, id, row_number() OVER (PARTITION BY change ORDER BY CASE severity WHEN 'major' THEN 0 ELSE 1 END, id) AS place FROM h""",
+)
+def told_rules(d: Data) -> DataFrame:
+    many = lambda c, use: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(use))
+    glob = F.when(F.col("pattern") == "docs/*", F.lit(P.glob_regex("docs/*"))).otherwise(F.lit(P.glob_regex("nowhere/*")))
+    known = d(_RULES).select("id", "severity", many("lang", F.col("lang")).alias("languages"), many("pattern", glob).alias("globs"))
+    changed = d(_PATHS).select((F.col("k") % 90).alias("change"), "path", P.language(F.col("path")).alias("language"))
+    return files.told_rules(known, changed).withColumn("place", F.col("place").cast("long"))
+
+
+_SHORT = "SELECT DISTINCT substr(md5(CAST(event_id AS STRING)), 1, CAST(2 + event_id % 6 AS INT)) AS short FROM {events}"
+_FULL = "SELECT md5(CAST(o_orderkey AS STRING)) AS sha FROM {orders} UNION ALL SELECT md5(CAST(event_id AS STRING)) FROM {events}"
+
+
+@query("short_names", f"SELECT short, min(sha) AS sha FROM ({_SHORT}) s JOIN (SELECT DISTINCT sha FROM ({_FULL})) f ON starts_with(sha, short) GROUP BY short HAVING count(*) = 1")
+def short_names(d: Data) -> DataFrame:
+    return named_by_short(d(_SHORT), d(_FULL), "short", "sha")
+
+
+_GREP = "SELECT event_id AS k, CASE event_id % 4 WHEN 0 THEN concat('src/a.py:', CAST(event_id AS STRING), ':x: ', event_type) WHEN 1 THEN concat(':', CAST(event_id AS STRING), ':x') WHEN 2 THEN concat('b:x', CAST(event_id AS STRING), ':y') ELSE concat('c d:', CAST(event_id AS STRING), ':') END AS line, CASE event_id % 3 WHEN 0 THEN md5(CAST(event_id AS STRING)) WHEN 1 THEN concat(md5(event_type), '00000000') ELSE '' END AS ref FROM {events}"
+
+
+@query("grep_hits", f"SELECT k, CASE k % 4 WHEN 0 THEN 'src/a.py' WHEN 3 THEN 'c d' END AS path, CASE WHEN k % 4 IN (0, 3) THEN k END AS at, CASE k % 4 WHEN 0 THEN substr(line, length('src/a.py:' || k || ':') + 1) WHEN 3 THEN '' END AS text, k % 3 = 0 AS moves FROM ({_GREP})")
+def grep_hits(d: Data) -> DataFrame:
+    hit = X.grep_hit(F.col("line"))
+    return d(_GREP).select("k", hit["path"].alias("path"), hit["line"].alias("at"), hit["text"].alias("text"), X.mutable_ref(F.col("ref")).alias("moves"))
+
+
+_ANSWERS = """SELECT conv_id * 100 + turn AS id, conv_id, turn, concat('{{"evidence": [{{"claim": "', CAST(turn AS STRING), '", "file": "f"}}, {{"claim": " ", "file": "g"}}, {{"claim": "second", "file": "', role, '"}}, {{"claim": "third"}}], "decisions": [{{"candidate": "c9", "disposition": "drop"}}, {{"candidate": "c', CAST(turn AS STRING), '", "disposition": "',
+CASE turn % 3 WHEN 0 THEN 'Revise' WHEN 1 THEN 'maybe' ELSE 'confirm' END, '", "rationale": "r"}}, {{"candidate": "c', CAST(turn AS STRING), '", "disposition": "drop"}}]}}') AS reply, role FROM {conversations}"""
+
+
+@query("reply_evidence", f"SELECT id, turn::VARCHAR AS claim, 'f' AS file FROM ({_ANSWERS}) UNION ALL SELECT id, 'second', role FROM ({_ANSWERS})")
+def reply_evidence(d: Data) -> DataFrame:
+    return replies.evidence(d(_ANSWERS), "id", "reply", "evidence", ["claim", "file"], ["claim"], most=2).select("id", "claim", "file")
+
+
+@query("reply_decisions", f"SELECT id, 'c' || turn AS candidate, CASE turn % 3 WHEN 0 THEN 'revise' WHEN 1 THEN 'drop' ELSE 'confirm' END AS disposition FROM ({_ANSWERS}) WHERE conv_id % 2 = 0 AND turn <> 9")
+def reply_decisions(d: Data) -> DataFrame:
+    """The first decision of a known kind on each candidate that was asked about."""
+    asked = d(_ANSWERS).where("conv_id % 2 = 0").select("id", F.concat(F.lit("c"), "turn").alias("candidate"))
+    return replies.decisions(d(_ANSWERS), "id", "reply", asked).select("id", "candidate", "disposition")

@@ -131,6 +131,12 @@ def trimmed(lines: DataFrame, key: str, most: int, reaches: tuple[int, ...] = (6
     return kept.select(*lines.columns, gap.alias("gap"))
 
 
+def positions(points: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """`points` (key, block, line) with hunk and position: where a line of the new side stands in the diff, in the first hunk that shows it; null where none does. `lines` are those of diff_lines()."""
+    at = lines.where("new_line IS NOT NULL").groupBy(key, "block", F.col("new_line").alias("line")).agg(F.min(F.struct("hunk", "position")).alias("at"))
+    return points.join(at, [key, "block", "line"], "left").select(*points.columns, "at.hunk", "at.position")
+
+
 def with_gaps(kept: DataFrame, key: str) -> DataFrame:
     """(key, block, hunk, pos, place, shown): trimmed() as it is told: the lines in order, and before each that follows a gap a row that says how many were left out, at the same pos and one place before."""
     by = [key, "block", "hunk"]

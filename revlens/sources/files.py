@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.paths import matches_any
-from revlens.functions.text import strip
+from revlens.functions.text import rank_of, strip
 
 #: Directories that are never read.
 PRUNED = (".git", ".hg", ".svn", ".bzr", "node_modules", "vendor", "dist", "build", "target", "out", "__pycache__", ".venv", "venv", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".cache", ".next", ".nuxt", ".gradle", ".idea", ".terraform")
@@ -77,6 +77,19 @@ def matching_rules(rules_: DataFrame, files: DataFrame) -> DataFrame:
     return rules_.join(files.select("path", "language"), on, "left_semi")
 
 
+def told_rules(rules_: DataFrame, files: DataFrame) -> DataFrame:
+    """(change, id, place) of the rules that hold for any file of a change (`files`: change, path, language), the most severe first and then by id.
+
+    What a rule asks of a path is asked once for each distinct path and language, and changes meet the answers by these.
+    """
+    kinds = files.select("path", "language").distinct()
+    on = ((F.size("languages") == 0) | F.array_contains("languages", F.col("language"))) & ((F.size("globs") == 0) | F.exists("globs", lambda g: F.regexp_like(F.col("path"), g)))
+    hits = kinds.join(rules_.select("id", "severity", "languages", "globs"), on).select("path", F.col("language").alias("_l"), "id", "severity")
+    met = files.select("change", "path", "language").distinct().join(hits, "path").where(F.col("language").eqNullSafe(F.col("_l"))).select("change", "id", "severity").distinct()
+    place = F.row_number().over(Window.partitionBy("change").orderBy(rank_of(F.col("severity")).desc(), "id"))
+    return met.select("change", "id", place.alias("place"))
+
+
 def context_file(files: DataFrame, names: list[str], most: int = 6000) -> DataFrame:
     """The first of `names` that isn't empty, the base revision's before the tree's, cut to `most` characters. `files` (revision: base or tree, path, text)."""
     rank: Column = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("path"))
