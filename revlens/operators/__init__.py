@@ -1,10 +1,16 @@
-"""Review operators as DataFrame transformations, each free of driver-side loops and Python workers."""
+"""Review operators as DataFrame transformations, free of driver-side loops over rows; only `search` uses Python workers."""
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Functions go to the workers by value, so that a cluster need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules["revlens.operators"])
+
 
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that `df` doesn't have, in any case."""
