@@ -42,7 +42,7 @@ def published_identities(d: Data) -> DataFrame:
 @query(
     "newest_summary",
     f"""WITH c AS ({_COMMENTS}), v AS ({_VIEWERS}), s AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY coalesce(created_at, '') DESC, ordinal DESC, nth DESC) AS n FROM c JOIN v USING (change) WHERE contains(body, '<!-- lens:summary -->') AND surface <> 'line' AND {_MINE})
-SELECT change, id, surface, 'abc123' AS flow, NULL AS carried FROM s WHERE n = 1""",
+SELECT change, id, surface, 'abc123' AS flow, CAST(NULL AS VARCHAR) AS carried FROM s WHERE n = 1""",
 )
 def newest_summary(d: Data) -> DataFrame:
     return comments.newest_summary(d(_COMMENTS), d(_VIEWERS), MARK)
@@ -149,7 +149,7 @@ e AS (SELECT id, 0 AS part, spot[1] AS pos, path, name, spot[2] AS kind, spot[3]
 SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, pos, path) AS place, path, name, kind, line::BIGINT AS line FROM e) WHERE place <= 4""",
 )
 def contract_contexts(d: Data) -> DataFrame:
-    return summary.contract_contexts(d(_ROLES), d(_TRACED), "id", 4)
+    return summary.contract_contexts(d(_ROLES), d(_TRACED), "id", 4).withColumn("place", F.col("place").cast("long"))
 
 
 _TOUCHED = "SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, CASE l_partkey % 9 WHEN 0 THEN 'a/package.json' WHEN 1 THEN 'uv.lock' WHEN 2 THEN 'Dockerfile' WHEN 3 THEN 'x/Pipfile.lock' WHEN 4 THEN 'y/Pipfile.lock' WHEN 5 THEN 'main.tf' WHEN 6 THEN '.npmrc' ELSE concat('src/', CAST(l_suppkey AS STRING), '.py') END AS path, l_quantity > 45 AS is_binary FROM {lineitem}"

@@ -218,7 +218,7 @@ SELECT id, place, name, command, 'targeted' AS scope FROM r WHERE place < 2 UNIO
 )
 def command_selection(d: Data) -> DataFrame:
     out = selection.select_commands(d(_CHANGED), _COMMANDS, ["make", "check"], ["pyproject.toml"], 2, "id")
-    return out.withColumn("command", F.array_join("command", " "))
+    return out.withColumn("command", F.array_join("command", " ")).withColumn("place", F.col("place").cast("long"))
 
 
 _LISTS = "SELECT o_custkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'a' WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'b' WHEN 4 THEN 'c' ELSE 'd' END AS list, o_orderkey AS pos, CAST(o_orderkey % 900 AS BIGINT) AS cost FROM {orders}"

@@ -109,6 +109,6 @@ def diff_recovered(d: Data) -> DataFrame:
 _POINTS = "SELECT conv_id * 100 + turn AS id, 1 AS block, CAST(CASE turn % 4 WHEN 0 THEN 10 + turn WHEN 1 THEN 200 WHEN 2 THEN 11 + turn ELSE 9999 END AS BIGINT) AS line FROM {conversations}"
 
 
-@query("diff_positions", f"SELECT id, 1 AS block, CASE turn % 4 WHEN 0 THEN 10 + turn WHEN 1 THEN 200 WHEN 2 THEN 11 + turn ELSE 9999 END AS line, CASE turn % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS hunk, CASE turn % 4 WHEN 0 THEN 2 WHEN 1 THEN {_N} + 6 WHEN 2 THEN 4 END AS position FROM ({_DIFFS})")
+@query("diff_positions", f"SELECT id, 1 AS block, CASE turn % 4 WHEN 0 THEN 10 + turn WHEN 1 THEN 200 WHEN 2 THEN 11 + turn ELSE 9999 END AS line, CAST(CASE turn % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS BIGINT) AS hunk, CASE turn % 4 WHEN 0 THEN 2 WHEN 1 THEN {_N} + 6 WHEN 2 THEN 4 END AS position FROM ({_DIFFS})")
 def diff_positions(d: Data) -> DataFrame:
     return read.positions(d(_POINTS), _lines(d), "id")

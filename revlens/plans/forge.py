@@ -26,7 +26,7 @@ def pull_files(d: Data) -> DataFrame:
     return forge.pull_files(d(_PULL)).drop("patch", "diff")
 
 
-@query("pull_hunks", f"SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS id, 1 AS old_start, 2 AS old_lines, 1 AS new_start, 2 AS new_lines, 'f' AS header FROM {_LEFT} AND {_HAS}")
+@query("pull_hunks", f"SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS id, 1::BIGINT AS old_start, 2 AS old_lines, 1::BIGINT AS new_start, 2 AS new_lines, 'f' AS header FROM {_LEFT} AND {_HAS}")
 def pull_hunks(d: Data) -> DataFrame:
     """The patches of the entries, read as diffs."""
     rows = d(_PULL)
