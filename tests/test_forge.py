@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlens import sinks
 from revlens.functions import text as X
 from revlens.operators import checks, comments, edits, packing, selection
+from revlens.plans import catalog
 from revlens.sources import forge
 from revlens.streaming import state
 
@@ -223,3 +224,9 @@ def test_gates(spark):
     runs = spark.createDataFrame([(c,) for c in (1, 2, 3, 4, 5)], "change long")
     got = {r.change: (r.state, r.note) for r in selection.gated(runs, selection.availability(changes, trees.withColumn("commit", F.regexp_replace("commit", "\n", "")))).collect()}
     assert got == {1: ("due", None), 2: ("due", None), 3: ("refused", "uncommitted changes"), 4: ("refused", "no head"), 5: ("refused", "unknown change")}
+
+
+def test_verdicts_meet_their_threads_by_key(spark):
+    """A join on either of two equalities compares all pairs, which a larger table doesn't bear."""
+    plan = catalog.QUERIES["threads_retired"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
