@@ -35,13 +35,14 @@ def report_facts(assets: DataFrame, nodes: DataFrame, operations: DataFrame, key
 
 def listed_assets(files: DataFrame, key: str, most: int = 20) -> tuple[DataFrame, DataFrame]:
     """(key, pos, path, kind, truncated) of the first `most` assets of each change in its order, and (key, name, path, pos) of locks that can't be read, the first file of each name; `files` (key, pos, path, is_binary). Binary files are neither."""
-    told = files.where(~F.coalesce("is_binary", F.lit(False))).select(key, "pos", "path", P.asset_kind(F.col("path")).alias("kind"))
-    assets = told.where("kind IS NOT NULL")
-    counts = assets.groupBy(key).agg((F.count(F.lit(1)) > most).alias("truncated"))
-    first = assets.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("nth") <= most).drop("nth")
-    name = P.base_name(F.col("path"))
-    unread = told.where("kind IS NULL").where(name.isin(*UNREAD_LOCKS)).groupBy(key, name.alias("name")).agg(F.min(F.struct("pos", "path")).alias("f")).select(key, "name", "f.path", "f.pos")
-    return first.join(counts, key), unread
+    text, name = files.where(~F.coalesce("is_binary", F.lit(False))), P.base_name(F.col("path"))
+    # A row's number, besides settling ties, keeps Spark from moving conditions on the kind below its computation, which would repeat the computation of path for every glob.
+    told = lambda rows: rows.select(key, "pos", "path", P.asset_kind(F.col("path")).alias("kind"), F.monotonically_increasing_id().alias("row"))
+    # One more than wanted tells that there are more.
+    first = told(text).where("kind IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("pos", "row"))).where(F.col("nth") <= most + 1).drop("row")
+    first = first.withColumn("truncated", F.max("nth").over(Window.partitionBy(key)) > most).where(F.col("nth") <= most).drop("nth")
+    unread = told(text.where(name.isin(*UNREAD_LOCKS))).where("kind IS NULL").groupBy(key, name.alias("name")).agg(F.min(F.struct("pos", "path", "row")).alias("f")).select(key, "name", "f.path", "f.pos")
+    return first, unread
 
 
 def contract_contexts(files: DataFrame, nodes: DataFrame, key: str, most: int = 12) -> DataFrame:

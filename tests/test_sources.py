@@ -1,11 +1,13 @@
 """Readers on small files of each form, versions, and cases that must not fail."""
 
+import functools
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from revlens.functions import paths, text, versions
+from revlens.operators import summary
 from revlens.sources import diffs, files, packages, replies, tools
 
 FILES = {
@@ -173,6 +175,27 @@ def test_globs(spark, glob, path, want):
     assert spark.range(1).select(paths.matches_any(F.lit(path), [glob]).alias("x")).first().x is want
 
 
+def test_globs_together_are_as_each_alone(spark):
+    globs = [g for kind in paths.ASSETS.values() for g in kind] + ["**/*", "docs/*", "a/**/x?.py", "**/[ab]c", "exact/name", "**/*b/c.d"]
+    parts = [g.replace("**/", "").replace("*", "q").replace("?", "z").replace("[ab]", "b") for g in globs]
+    names = sorted({q for p in parts for q in (p, "w/" + p, "w" + p, p + "w", p + "/w", p + "\n", p.upper())} | {"", "/", "é/Dockerfile.x/y.lock"})
+    frame = spark.createDataFrame([(n,) for n in [*names, None]], "path string")
+    for some in (globs[:11], globs[11:19], globs[19:34], globs[34:44], globs[45:], globs[44:45]):
+        alone = functools.reduce(lambda a, b: a | b, [F.col("path").rlike(paths.glob_regex(g)) for g in some])
+        assert frame.where(~paths.matches_any(F.col("path"), some).eqNullSafe(alone)).collect() == []
+    assert frame.where(paths.matches_any(F.col("path"), [])).count() == 0
+
+
+def test_the_kind_of_an_asset_is_told_once_a_row(spark):
+    """A condition on the kind that Spark moves below it tells it again, and computes the path anew for every glob; a change without a key keeps its rows."""
+    files = spark.createDataFrame([(1, 0, "Dockerfile", False), (1, 1, "x.tf", False), (1, 2, "a/.npmrc", None), (1, 3, "src/a.py", False), (None, 0, "uv.lock", False), (2, 0, "b/Gemfile.lock", False), (2, 1, "Gemfile.lock", False), (2, 2, "main.tf", True)], "id long, pos long, path string, is_binary boolean")
+    first, unread = summary.listed_assets(files.withColumn("path", F.concat("path", F.lit(""))), "id", 2)
+    assert sorted(map(tuple, first.select("id", "pos", "kind", "truncated").collect()), key=str) == [(1, 0, "container", True), (1, 1, "iac", True), (None, 0, "dependency_lock", False)]
+    assert [tuple(r) for r in unread.collect()] == [(2, "Gemfile.lock", "b/Gemfile.lock", 0)]
+    for frame in (first, unread):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("azure-pipelines.yml") == 1
+
+
 def test_state(spark, tmp_path):
     from revlens.streaming.state import VersionedTable, publish_unseen
 
