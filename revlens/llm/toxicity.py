@@ -228,50 +228,57 @@ class Net:
                     table[row] -= rate * (0.2 * d / np.sqrt(total[row])[:, None] + 1e-3 * table[row]) * (row > 0)[:, None]
 
     def gates(self, x: np.ndarray) -> np.ndarray:
-        """What words add to all gates of both directions, one column for each gate: computed once a word. Signs and factors are those of sweep()."""
+        """What words add to all gates of both directions, one column for each gate, then the states after them as a window's first word: computed once a word. Signs and factors are those of sweep()."""
         h = HIDDEN
         sign = np.repeat([-1.0, -1.0, -2.0], h)
-        return np.concatenate([(x @ self.p[f"W{d}"] + self.p[f"c{d}"]) * sign for d in "fb"], axis=1).astype(np.float32)
+        out = np.concatenate([(x @ self.p[f"W{d}"] + self.p[f"c{d}"]) * sign for d in "fb"], axis=1).astype(np.float32)
+        with np.errstate(over="ignore"):
+            e = 1 + np.exp(out)
+        return np.concatenate([out, *((2 / e[:, i + 2 * h : i + 3 * h] - 1) / e[:, i : i + h] for i in (0, 3 * h))], axis=1)
 
     def sweep(self, gates: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Logits of the windows that start at every STRIDE-th of `ids`, the same as forward() of these windows.
 
         All windows take a step together: step t of window k meets word k * STRIDE + t, so a step's words are one
         slice of each residue's words. The pooled sum is kept as two numbers a window, so no states are stored.
+        Number 0 pads: its row of `gates` is set so that a state stays as it is.
         """
         h, n = HIDDEN, len(ids) // STRIDE
+        gates[0] = 0
+        gates[0, :h] = gates[0, 3 * h : 4 * h] = 1e30
         ids = np.concatenate([ids, np.zeros(WINDOW, ids.dtype)])
         words = [gates[ids[r::STRIDE]].T.copy() for r in range(STRIDE)]  # (gates, windows and more)
         real = [(ids[r::STRIDE] > 0).astype(np.float32) for r in range(STRIDE)]
         there = lambda t: slice(t // STRIDE, t // STRIDE + n)
         pool = np.empty((2, WINDOW, 2, n), np.float32)
-        pre, q, rs = (np.empty((k * h, n), np.float32) for k in (2, 1, 1))
-        for d in (0, 1):
-            name = "fb"[d]
-            u, v = (-self.p[f"U{name}"].T).astype(np.float32).copy(), (-2 * self.p[f"V{name}"].T).astype(np.float32).copy()
-            look = np.stack([self.p["a"][d * h : d * h + h], self.p["o"][d * h : d * h + h]]).astype(np.float32)
-            s = np.zeros((h, n), np.float32)
-            for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
-                g = words[t % STRIDE][3 * h * d : 3 * h * d + 3 * h, there(t)]
-                np.matmul(u, s, out=pre)
-                pre += g[: 2 * h]
-                np.minimum(pre, 30, out=pre)
-                np.exp(pre, out=pre)
-                pre += 1
-                np.reciprocal(pre, out=pre)
-                np.multiply(pre[h:], s, out=rs)
-                np.matmul(v, rs, out=q)
-                q += g[2 * h :]
-                np.minimum(q, 60, out=q)
-                np.exp(q, out=q)
-                q += 1
-                np.divide(2, q, out=q)
-                q -= 1
-                q -= s
-                q *= pre[:h]
-                q *= real[t % STRIDE][there(t)]
-                s += q
-                np.matmul(look, s, out=pool[d, t])
+        pre, q, rs = (np.empty((k, n), np.float32) for k in (2 * h + 2, h, h))
+        zr, z, r = pre[: 2 * h], pre[:h], pre[h : 2 * h]
+        # Beyond what exp() holds a gate is shut: one over infinity.
+        with np.errstate(over="ignore"):
+            for d in (0, 1):
+                name = "fb"[d]
+                look = np.stack([self.p["a"][d * h : d * h + h], self.p["o"][d * h : d * h + h]]).astype(np.float32)
+                u, v = np.concatenate([-self.p[f"U{name}"].T, look]).astype(np.float32), (-2 * self.p[f"V{name}"].T).astype(np.float32).copy()
+                first, *steps = range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1)
+                last, s = first, words[first % STRIDE][6 * h + h * d : 7 * h + h * d, there(first)].copy()
+                for t in steps:
+                    g = words[t % STRIDE][3 * h * d : 3 * h * d + 3 * h, there(t)]
+                    np.matmul(u, s, out=pre)
+                    pool[d, last], last = pre[2 * h :], t
+                    zr += g[: 2 * h]
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.divide(s, r, out=rs)
+                    np.matmul(v, rs, out=q)
+                    q += g[2 * h :]
+                    np.exp(q, out=q)
+                    q += 1
+                    np.divide(2, q, out=q)
+                    q -= 1
+                    q -= s
+                    q /= z
+                    s += q
+                np.matmul(look, s, out=pool[d, last])
         e = np.clip(pool[0, :, 0] + pool[1, :, 0], -30, 30)
         np.exp(e, out=e)
         for t in range(WINDOW):
@@ -312,8 +319,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.tokens = Tokens()
-        # The padding word's own entry is never used: it doesn't count.
-        self.gates = np.zeros((1 << 14, 6 * HIDDEN), np.float32)
+        self.gates = np.zeros((1 << 14, 8 * HIDDEN), np.float32)
 
     def learn(self) -> None:
         first = self.tokens.count - len(self.tokens.fresh)
@@ -346,10 +352,12 @@ class Scorer:
             step = CHUNK // STRIDE
             for a in range(0, total, step):
                 n = min(step, total - a)
-                part = [self.tokens[w] for w in words[a * STRIDE : (a + n - 1) * STRIDE + WINDOW]]
+                part = words[a * STRIDE : (a + n - 1) * STRIDE + WINDOW]
                 room = _room(n)
                 of.append((k, size // STRIDE, n))
-                ids.append(np.array(part + [0] * (room - len(part)), np.int64))
+                own = np.zeros(room, np.int64)
+                own[: len(part)] = list(map(self.tokens.__getitem__, part))
+                ids.append(own)
                 size += room
                 if size >= CHUNK:
                     done()
